@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash
+from . import mixing, packing, quality_rules, simhash, suffix_dedup, token_shards
 
 QUERIES = {
+    "op1_power_of_two_packing": packing.op1_power_of_two_packing,
+    "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
+    "op5_sainte_lague_mixing": mixing.op5_sainte_lague_mixing,
+    "op6_training_order_shards": token_shards.op6_training_order_shards,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_simhash_bktree": simhash.op10_simhash_bktree,
 }
 
 ORACLE_SQL = {
+    "op3_suffix_array_dedup": suffix_dedup.ORACLE,
+    "op5_sainte_lague_mixing": mixing.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_simhash_bktree": simhash.ORACLE,
 }
