@@ -21,6 +21,8 @@ from .common import table, written
 from .tokens import END, VOCABULARY, encoder
 
 SEQ_LEN, SHARD_ROWS, SEED, ROUNDS = 512, 8192, 20240917, 4
+#: rows of the table of tasks up to which it is broadcast
+MOST_BROADCAST = 200_000
 
 
 def _round(x: np.ndarray, key: int, mask: np.uint64) -> np.ndarray:
@@ -87,8 +89,10 @@ def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int =
     made = written(cut.withColumn("part", F.spark_partition_id()), "sequences")
     made = made.select("*", F.col("_metadata.row_index").alias("row_index"))
     sizes = made.groupBy("part").agg(F.count("*").alias("rows"))  # a row for each task
-    n = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    n, tasks = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
     before = sizes.select("part", (F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")).alias("before"))
+    if tasks <= MOST_BROADCAST:  # else the join sorts the tokens by part first
+        before = F.broadcast(before)
     slots = made.join(before, "part").withColumn("slot", slot(F.col("before") + F.col("row_index"), n, seed))
     slots = slots.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int"))
     # slots are dense, so equal ranges of them need no sample

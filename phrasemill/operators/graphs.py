@@ -33,9 +33,11 @@ def cooccurrences(occ: DataFrame, window: int = 3, cross_sentence: bool = False,
 
     The look-ahead of a fixed number of rows stands for the range join.
     """
+    if window < 2:
+        raise ValueError("window must be at least 2")
     parts = ["doc_id"] if cross_sentence else ["doc_id", "sentence_idx"]
     w = Window.partitionBy(*parts).orderBy("token_idx")
-    ahead = occ.select("doc_id", "key", F.explode(F.array(*(F.lead("key", d).over(w) for d in range(1, window)))).alias("next")) if window > 1 else occ.select("doc_id", "key", F.lit(None).cast("string").alias("next"))
+    ahead = occ.select("doc_id", "key", F.array(*(F.lead("key", d).over(w) for d in range(1, window))).alias("ahead")).select("doc_id", "key", F.explode("ahead").alias("next"))
     pairs = ahead.where("next IS NOT NULL AND key <> next").select("doc_id", F.least("key", "next").alias("a"), F.greatest("key", "next").alias("b"))
     return pairs.groupBy("doc_id", "a", "b").agg((F.lit(1) if binary else F.count("*")).cast("double").alias("w"))
 
