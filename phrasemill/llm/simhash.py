@@ -1,15 +1,15 @@
 """SimHash near-duplicates, found with BK-trees.
 
 A document's fingerprint has 128 bits: bit i is set where more than half of its distinct words have bit i
-set in their MD5.  Two documents are near-duplicates if their first 64 bits differ in at most ``RADIUS``
-places and all 128 in at most ``TOTAL``; groups are what such pairs connect.
-
-Search.  The first 64 bits are four blocks of 16.  If two fingerprints differ in 7 places, one block has
-at most one of them, so it is enough to compare within *shards*, one for each block and value, which a
-fingerprint enters as a member (its own value) or visits (its value with one 0 turned into 1).  Each shard
-has its BK-tree: children keyed by integer Hamming distance to the parent, and a query follows only edges
-within the radius.  The trees live with their shards' rows instead of being broadcast: all trees together
-grow with the corpus.  The search is exact, and every distinct fingerprint is a query.
+set in their MD5.  Two documents are near-duplicates if their fingerprints differ in at most ``TOTAL``
+places; groups are what such pairs connect.
+
+Search.  The fingerprint is cut into ``TOTAL // 2 + 1`` blocks.  If two fingerprints differ in TOTAL places,
+one block has at most one of them, so it is enough to compare within *shards*, one for each block and value,
+which a fingerprint enters as a member (its own value) or visits (its value with one 0 turned into 1).
+Each shard has its BK-tree: children keyed by integer Hamming distance to the parent, and a query follows
+only edges within the radius.  The trees live with their shards' rows instead of being broadcast: all
+trees together grow with the corpus.  The search is exact, and every distinct fingerprint is a query.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, Known, kept, plain, row_hash, table, written
 
-RADIUS, TOTAL = 7, 14
+TOTAL = 17
 LEAF = 64
 
 
@@ -57,14 +57,19 @@ def fingerprints(text: Column) -> Column:
     return F.arrow_udf(run, "hi long, lo long")(text)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints whose last axis is (hi, lo)."""
+    return np.bitwise_count(a[..., 0] ^ b[..., 0]) + np.bitwise_count(a[..., 1] ^ b[..., 1])
+
+
 class BKTree:
-    """A BK-tree over distinct 64-bit values, whose small subtrees are flat leaves; queries go through together."""
+    """A BK-tree over distinct fingerprints (n x 2 unsigned), whose small subtrees are flat leaves; queries go through together."""
 
     def __init__(self, values: np.ndarray, at: np.ndarray | None = None):
         self.at = np.arange(len(values)) if at is None else at
         self.values, self.edges = values, {}
         if len(values) > LEAF:
-            far = np.bitwise_count(values[1:] ^ values[0])
+            far = _apart(values[1:], values[0])
             self.edges = {int(d): BKTree(values[1:][far == d], self.at[1:][far == d]) for d in np.unique(far)}
 
     def within(self, queries: np.ndarray, radius: int, q_at: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -73,11 +78,11 @@ class BKTree:
         if not self.edges:
             step = max(1, 2_000_000 // max(1, len(self.values)))
             for i in range(0, len(queries), step):
-                q, v = np.nonzero(np.bitwise_count(queries[i : i + step, None] ^ self.values[None, :]) <= radius)
+                q, v = np.nonzero(_apart(queries[i : i + step, None], self.values[None, :]) <= radius)
                 if len(q):
                     yield q_at[q + i], self.at[v]
             return
-        far = np.bitwise_count(queries ^ self.values[0]).astype(np.int64)
+        far = _apart(queries, self.values[0]).astype(np.int64)
         if (near := far <= radius).any():
             yield q_at[near], np.full(int(near.sum()), self.at[0])
         for edge, child in self.edges.items():
@@ -99,37 +104,52 @@ def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def _shard_pairs(hi: np.ndarray, lo: np.ndarray, members: int, radius: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+def _shard_pairs(values: np.ndarray, members: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect just what the shard's pairs connect. The first ``members`` rows are members."""
-    labels = np.arange(len(hi))
-    for q, v in BKTree(hi[:members]).within(hi, radius):
-        ok = (q != v) & (np.bitwise_count(hi[q] ^ hi[v]).astype(int) + np.bitwise_count(lo[q] ^ lo[v]) <= total)
-        if ok.any():
+    labels = np.arange(len(values))
+    for q, v in BKTree(values[:members]).within(values, total):
+        if (ok := q != v).any():
             labels = _merge(labels, q[ok], v[ok])
-    moved = np.nonzero(labels != np.arange(len(hi)))[0]
+    moved = np.nonzero(labels != np.arange(len(values)))[0]
     return moved, labels[moved]
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hi, lo = (batch.column(c).to_numpy() for c in ("hi", "lo"))
-        value, parts = hi.view(np.uint64), []
-        for block in range(4):
-            v = ((value >> np.uint64(48 - 16 * block)) & np.uint64(0xFFFF)).astype(np.int32)
-            parts.append((v + (block << 16), np.arange(len(v)), True))
-            for bit in range(16):
-                at = np.nonzero((v >> bit) & 1 == 0)[0]
-                parts.append(((v[at] | (1 << bit)) + (block << 16), at, False))
-        key, at = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (0, 1))
-        member = np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
-        for i in range(0, len(key), 100_000):
-            s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[s].astype(np.int32)), pa.array(~member[s]), pa.array(hi[at[s]]), pa.array(lo[at[s]])], names=["shard", "visits", "hi", "lo"]
-            )
-
-
-def _search(radius: int, total: int):
+def blocks(total: int) -> list[tuple[int, int]]:
+    """(first bit, width) of total // 2 + 1 blocks of the 128 bits, the wider ones first."""
+    each, more = divmod(128, total // 2 + 1)
+    widths = [each + (i < more) for i in range(total // 2 + 1)]
+    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+
+
+def _block(hi: np.ndarray, lo: np.ndarray, first: int, width: int) -> np.ndarray:
+    u, last = np.uint64, first + width
+    if last <= 64:
+        value = hi >> u(64 - last)
+    elif first >= 64:
+        value = lo >> u(128 - last)
+    else:
+        value = hi << u(last - 64) | lo >> u(128 - last)
+    return (value & u((1 << width) - 1)).astype(np.int64)
+
+
+def _keys(total: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                hi, lo = (batch.column(c).slice(start, 2000).to_numpy() for c in ("hi", "lo"))
+                parts = []
+                for i, (first, width) in enumerate(blocks(total)):
+                    v = _block(hi.view(np.uint64), lo.view(np.uint64), first, width)
+                    at, bit = np.nonzero((v[:, None] >> np.arange(width)) & 1 == 0)
+                    key = np.concatenate([v, v[at] | np.left_shift(1, bit)]) + (i << 32)
+                    parts.append((key, np.arange(len(key)) >= len(v), np.concatenate([np.arange(len(v)), at])))
+                key, visits, at = (np.concatenate(c) for c in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(visits), pa.array(hi[at]), pa.array(lo[at])], names=["shard", "visits", "hi", "lo"])
+
+    return run
+
+
+def _search(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] = []  # the shard that the last batch ended in
         names = ["a_hi", "a_lo", "b_hi", "b_lo"]
@@ -140,7 +160,7 @@ def _search(radius: int, total: int):
             for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(shard)]):
                 members = int((~visits[i:j]).sum())
                 if j - i > 1 and members:
-                    a, b = _shard_pairs(hi[i:j].view(np.uint64), lo[i:j].view(np.uint64), members, radius, total)
+                    a, b = _shard_pairs(np.stack([hi[i:j], lo[i:j]], 1).view(np.uint64), members, total)
                     if len(a):
                         out.append((hi[i:j][a], lo[i:j][a], hi[i:j][b], lo[i:j][b]))
             if out:
@@ -191,19 +211,19 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return stars.union(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
-def fingerprint_groups(prints: DataFrame, radius: int = RADIUS, total: int = TOTAL) -> DataFrame:
+def fingerprint_groups(prints: DataFrame, total: int = TOTAL) -> DataFrame:
     """(node, label) for the fingerprints (hi, lo) that have a near-duplicate among the others."""
     distinct = prints.select("hi", "lo").where("hi is not null").distinct()
     shards = (
-        distinct.mapInArrow(_keys, "shard int, visits boolean, hi long, lo long")
+        distinct.mapInArrow(_keys(total), "shard long, visits boolean, hi long, lo long")
         .repartition("shard")
         .sortWithinPartitions("shard", "visits")
     )
-    pairs = shards.mapInArrow(_search(radius, total), "a_hi long, a_lo long, b_hi long, b_lo long")
+    pairs = shards.mapInArrow(_search(total), "a_hi long, a_lo long, b_hi long, b_lo long")
     return components(pairs.select(F.xxhash64("a_hi", "a_lo").alias("a"), F.xxhash64("b_hi", "b_lo").alias("b")))
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, total: int = TOTAL) -> DataFrame:
+def groups(docs: DataFrame, total: int = TOTAL) -> DataFrame:
     """One row for each row of docs: row_key, doc_id, group_id, group_size, is_kept.
 
     group_id is the least doc_id of the group; the row with that stays (is_kept), of several such rows the
@@ -218,7 +238,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, total: int = TOTAL) -> DataFra
         ),
         "prints",
     )
-    labels = fingerprint_groups(prints, radius, total)
+    labels = fingerprint_groups(prints, total)
     node = F.when(F.col("hi").isNotNull(), F.xxhash64("hi", "lo"))
     labelled = prints.withColumn("node", node).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # rows without a fingerprint: no two in one group, and no one task for them all
@@ -238,9 +258,9 @@ def groups(docs: DataFrame, radius: int = RADIUS, total: int = TOTAL) -> DataFra
     )
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS, total: int = TOTAL) -> DataFrame:
+def deduplicated(docs: DataFrame, total: int = TOTAL) -> DataFrame:
     """docs without all but one document of each group, its columns as they are.  See groups()."""
-    stays = groups(docs, radius, total).groupBy("row_key").agg(F.sum(F.col("is_kept").cast("long")).alias("n")).where("n > 0")
+    stays = groups(docs, total).groupBy("row_key").agg(F.sum(F.col("is_kept").cast("long")).alias("n")).where("n > 0")
     names = docs.columns
     rows = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), row_hash(docs).alias("row_key"))
     w = Window.partitionBy("row_key").orderBy("row_key")
@@ -267,7 +287,7 @@ fp AS (
   FROM s GROUP BY doc_id),
 near AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM fp a, fp b
-  WHERE bit_count(xor(a.hi, b.hi)::BIT) <= {RADIUS} AND bit_count(xor(a.hi, b.hi)::BIT) + bit_count(xor(a.lo, b.lo)::BIT) <= {TOTAL}),
+  WHERE bit_count(xor(a.hi, b.hi)::BIT) + bit_count(xor(a.lo, b.lo)::BIT) <= {TOTAL}),
 cc(id, label) AS (
   SELECT doc_id, doc_id FROM fp
   UNION
