@@ -54,10 +54,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """df's column of exactly that name, whatever is in it: dots and the like."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets a name of an operator's."""
+    return F.struct(*(column(df, c).alias(c) for c in df.columns))
+
+
 def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     """64 bits over the row's values; a null isn't taken for an empty or a missing neighbour."""
     names = columns or [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    return F.xxhash64(*(c for n in names for c in (df[n], F.isnull(df[n]))))
+    return F.xxhash64(*(c for n in names for c in (column(df, n), F.isnull(column(df, n)))))
 
 
 def kept(name: str, make):

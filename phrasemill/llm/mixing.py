@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import row_of, table, written
 
 BLOCK_TOKENS, SHARD_TOKENS, FRACTION, SEED = 2048, 1 << 22, 0.6, 17
 #: sources that aren't named weigh 1
@@ -136,7 +136,7 @@ def mixed(
     n_shards = _n_shards(counted.agg(F.sum("n")).first()[0], shard_tokens)
     lists = chosen_blocks(counted.withColumn("shard", _shard(n_shards)), weights, block_tokens, fraction, seed)
     names = docs.columns
-    parts = parts_in(_streams(docs, [F.struct(*(docs[c] for c in names)).alias("row")], n_shards, seed), lists, block_tokens)
+    parts = parts_in(_streams(docs, [row_of(docs).alias("row")], n_shards, seed), lists, block_tokens)
     whole = (F.col("first_word") == 0) & (F.col("end_word") == F.col("n"))
     cut = F.array_join(F.slice(_pieces(F.col("row.text")), F.col("first_word").cast("int") + 1, (F.col("end_word") - F.col("first_word")).cast("int")), "")
     parts = parts.select("row", whole.alias("whole"), F.when(whole, F.col("row.text")).otherwise(cut).alias("part"))

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_of, table
 
 STOP_WORDS = (
     "the of and to in is it that for was as with on be at by this from are or an not he she they "
@@ -110,8 +110,7 @@ def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that break no rule, with their columns as they are (see verdicts())."""
-    names = docs.columns
-    measured = with_statistics(docs, [F.struct(*(docs[c] for c in names)).alias("row")])
+    measured = with_statistics(docs, [row_of(docs).alias("row")])
     out = F.lit(False)
     for r in rules:
         out = out | broken(r, F.col)

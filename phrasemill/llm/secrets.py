@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_of, table
 
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -201,7 +201,7 @@ def without_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return pa.array(out, pa.string())
 
     names = docs.columns
-    rows = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.arrow_udf(run, "string")(_candidates(docs["text"])).alias("new"))
+    rows = docs.select(row_of(docs).alias("row"), F.arrow_udf(run, "string")(_candidates(docs["text"])).alias("new"))
     own = {"text": F.coalesce("new", "row.text")}
     if "n_chars" in names:
         own["n_chars"] = F.when(F.col("new").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast("long"))

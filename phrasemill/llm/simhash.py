@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Known, kept, plain, row_hash, table, written
+from .common import SPACES, Known, kept, plain, row_hash, row_of, table, written
 
 TOTAL = 17
 LEAF = 64
@@ -261,8 +261,7 @@ def groups(docs: DataFrame, total: int = TOTAL) -> DataFrame:
 def deduplicated(docs: DataFrame, total: int = TOTAL) -> DataFrame:
     """docs without all but one document of each group, its columns as they are.  See groups()."""
     stays = groups(docs, total).groupBy("row_key").agg(F.sum(F.col("is_kept").cast("long")).alias("n")).where("n > 0")
-    names = docs.columns
-    rows = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), row_hash(docs).alias("row_key"))
+    rows = docs.select(row_of(docs).alias("row"), row_hash(docs).alias("row_key"))
     w = Window.partitionBy("row_key").orderBy("row_key")
     return rows.join(stays, "row_key").withColumn("k", F.row_number().over(w)).where("k <= n").select("row.*")
 
