@@ -101,6 +101,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES, pena
         if held.any() and not held.all():
             by_rows.setdefault(held.tobytes(), path)  # of rules that hold for the same rows, the shortest
     kept = list(by_rows.values())
+    if not kept:  # nothing tells the labels apart
+        return Ensemble(float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), ())
     b, w = _lasso(np.stack([_holds(p, x, names) for p in kept], 1).astype(float), y.astype(float), penalty)
     return Ensemble(b, tuple((p, float(c)) for p, c in zip(kept, w) if abs(c) > 1e-6))
 
