@@ -144,7 +144,7 @@ def write_shards(rows: DataFrame, folder: str) -> DataFrame:
         if shard is not None:
             close()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names=["shard", "rows", "n_bytes", "is_new"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int32(), pa.int64(), pa.int64(), pa.bool_()))], names=["shard", "rows", "n_bytes", "is_new"])
 
     return rows.select("shard", "tokens").mapInArrow(run, "shard int, rows long, n_bytes long, is_new boolean")
 
