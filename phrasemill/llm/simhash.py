@@ -115,9 +115,10 @@ def _shard_pairs(values: np.ndarray, members: int, total: int) -> tuple[np.ndarr
 
 
 def blocks(total: int) -> list[tuple[int, int]]:
-    """(first bit, width) of total // 2 + 1 blocks of the 128 bits, the wider ones first."""
-    each, more = divmod(128, total // 2 + 1)
-    widths = [each + (i < more) for i in range(total // 2 + 1)]
+    """(first bit, width) of total // 2 + 1 blocks of the 128 bits, at least 4, the wider ones first."""
+    n = max(4, total // 2 + 1)
+    each, more = divmod(128, n)
+    widths = [each + (i < more) for i in range(n)]
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 
 
