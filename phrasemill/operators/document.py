@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.stopwords import LISTS, StopWords, language_code
 from ..plans.config import Plan, TextRankConfig
+from .spread import spread
 
 
 class Token(NamedTuple):
@@ -663,10 +664,11 @@ def _documents(plan: Plan, batches: Iterator[pa.RecordBatch], size: int = 128) -
 
 
 def _input(docs: DataFrame, plan: Plan) -> DataFrame:
+    doc_id = docs["doc_id"].cast("long").alias("doc_id")
     if "tokens" in docs.columns:
-        return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["tokens"].cast(TOKEN_FIELDS).alias("tokens"))
+        return spread(docs.select(doc_id, docs["tokens"].cast(TOKEN_FIELDS).alias("tokens")))
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(plan.config.language)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), lang.alias("lang"))
+    return spread(docs.select(doc_id, docs["text"].cast("string").alias("text"), lang.alias("lang")))
 
 
 def _offsets(p: Phrase) -> list[dict]:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stopwords import language_of, stopword_table
+from .spread import spread
 
 
 def items(docs: DataFrame) -> DataFrame:
     """doc_id, lang, piece, sentence (its text), k, item: words and gaps of docs(doc_id, text, lang?)."""
     lang = docs["lang"] if "lang" in docs.columns else F.lit("en")
-    cut = docs.select("doc_id", lang.alias("lang"), F.posexplode(T.sentences_of(docs["text"])).alias("piece", "sentence"))
+    whole = spread(docs.select("doc_id", docs["text"].alias("text"), lang.alias("lang")))
+    cut = whole.select("doc_id", "lang", F.posexplode(T.sentences_of(whole["text"])).alias("piece", "sentence"))
     return cut.select("doc_id", "lang", "piece", "sentence", F.posexplode(T.items_of(F.col("sentence"))).alias("k", "item"))
 
 
