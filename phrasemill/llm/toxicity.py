@@ -1,6 +1,6 @@
 """Toxicity from confirmed examples and unlabelled text: non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of words and word beginnings minimises the non-negative PU risk
+A linear classifier over the presence of words and word beginnings (and of two or three words that begin so) minimises the non-negative PU risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 with the logistic loss, by proximal Adam steps in numpy.  Positives are documents labelled toxic; the
 unlabelled ones are labelled documents whose labels are hidden, except that their toxic share gives the
@@ -10,7 +10,7 @@ class prior.  Both samples are bounded (MOST_POSITIVE, MOST_UNLABELLED); all doc
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,16 +31,21 @@ class Model(NamedTuple):
     prior: float
 
 
-def features(token: bytes) -> tuple[bytes, ...]:
-    word = plain(token)
-    if not word:
-        return ()
+def features(word: bytes) -> tuple[bytes, ...]:
+    """Of a word as plain() gives it: itself, and how it begins."""
     start = word.decode()[:BEGINNING].encode()
     return (word, b"^" + start) if len(start) < len(word) else (word,)
 
 
+def counted(words: Iterable[tuple[bytes, ...]]) -> set[bytes]:
+    """Features of distinct words, and those that two and that three words share once more under names of their own."""
+    counts = Counter(f for own in words for f in own)
+    return {k + f for f, n in counts.items() for k in (b"", b"2", b"3")[:n]}
+
+
 def document_features(text: str | None) -> set[bytes]:
-    return {f for t in set((text or "").encode().split()) for f in features(t)}
+    words = {plain(t) for t in set((text or "").encode().split())}
+    return counted(features(w) for w in words if w)
 
 
 def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float, l1: float = L1, steps: int = STEPS, rate: float = RATE) -> Model:
@@ -115,14 +120,21 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     bias, weights = model.bias, model.weights
 
     def run(texts: pa.Array) -> pa.Array:
-        heavy = Known(lambda t: tuple(f for f in features(t) if f in weights), 200_000)
+        base = {f for k in weights for f in (k, k[1:] if k[:1] in b"23" else k)}
+
+        def known(token: bytes) -> tuple[bytes, tuple[bytes, ...]] | None:
+            word = plain(token)
+            own = tuple(f for f in features(word) if f in base) if word else ()
+            return (word, own) if own else None
+
+        heavy = Known(known, 200_000)
         out = []
         for t in texts.cast(pa.binary()):
-            own: set[bytes] = set()
+            own: dict[bytes, tuple[bytes, ...]] = {}  # words that weigh something, once each
             for token in set((t.as_py() or b"").split()):
                 if found := heavy[token]:
-                    own.update(found)
-            out.append(bias + sum(sorted(weights[f] for f in own)))
+                    own[found[0]] = found[1]
+            out.append(bias + sum(sorted(weights.get(f, 0.0) for f in counted(own.values()))))
         return pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30))))
 
     score = F.arrow_udf(run, "double")(docs["text"].cast("string"))
