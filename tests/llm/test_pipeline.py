@@ -1,11 +1,19 @@
-from collections import Counter
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 
-from phrasemill.llm import packing, quality_rules, secrets, simhash
+from phrasemill.llm import mixing, packing, quality_rules, secrets, simhash, tokens
 
 from .data import OTHER, PROSE, documents, hard
-from .test_simhash import corpus
+from .test_mixing import apportioned
+from .test_quality_rules import brute as statistics
+from .test_quality_rules import verdict
+from .test_simhash import brute as groups
+from .test_simhash import brute_print, corpus
 
 
 def staged(spark, docs):
@@ -15,6 +23,44 @@ def staged(spark, docs):
     return out
 
 
+def brute(rows):
+    """The pipeline over (doc_id, text, source), no doc_id twice, in plain Python."""
+    rows = [r for r in rows if verdict(statistics(r[1])) == ""]
+    labels = dict((i, g) for i, g, _ in groups([r[:2] for r in rows], simhash.TOTAL))
+    rows = [(i, secrets.redacted(t), s) for i, t, s in rows if labels[i] == i or brute_print(t) is None]
+    md5 = lambda *x: hashlib.md5("|".join(map(str, (mixing.SEED, *x))).encode()).hexdigest()
+    pieces = {i: re.findall(mixing.PIECE, t) for i, t, _ in rows}
+    shards = max(1, math.ceil(sum(map(len, pieces.values())) / mixing.SHARD_TOKENS))
+    streams = defaultdict(list)
+    for i, t, s in rows:
+        if pieces[i]:
+            streams[int(md5(i)[:8], 16) % shards, "" if s is None else "=" + s].append((md5(i), i, t))
+    out = []
+    for shard in {k[0] for k in streams}:
+        own = {s: sorted(v) for (k, s), v in streams.items() if k == shard}
+        blocks = {s: sum(len(pieces[i]) for _, i, _ in v) // mixing.BLOCK_TOKENS for s, v in own.items()}
+        quota = apportioned(blocks, {"=" + k: w for k, w in mixing.WEIGHTS.items()}, math.floor(mixing.FRACTION * sum(blocks.values())))
+        for s, stream in own.items():
+            chosen = set(sorted(range(blocks[s]), key=lambda b: (md5(shard, s, b), b))[: quota[s]])
+            at = 0
+            for _, i, text in stream:
+                words, run = pieces[i], []
+                for k in range(len(words) + 1):
+                    if k < len(words) and (at + k) // mixing.BLOCK_TOKENS in chosen:
+                        run.append(words[k])
+                    elif run:
+                        out.append((i, text if len(run) == len(words) else "".join(run)))
+                        run = []
+                at += len(words)
+    rows = []
+    for i, text in out:
+        ids, start = tokens.encoding(tokens.VOCABULARY).encode_ordinary(text), 0
+        for piece, log in enumerate(packing.binary_lengths(len(ids))):
+            rows.append((i, piece, log, start, 1 << log, tuple(ids[start : start + (1 << log)])))
+            start += 1 << log
+    return sorted(rows)
+
+
 def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "secret scans", "mixing sources to target weights", "packing"]
     the = "the of and to in is it that "
@@ -31,15 +77,22 @@ def test_stages(spark):
         assert out[name].columns == docs.columns
 
 
-def test_run_is_its_stages(spark, tmp_path):
-    rows = [(i, " ".join(f"the of and w{i}x{j}" for j in range(1500)), f"src{i % 3}") for i in range(40)] + [(40, None), (41, "")]
+def test_run_against_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for i in range(30):
+        words = [f"w{rng.randrange(3000)}x{i}" if k % 3 else rng.choice(["the", "of", "and"]) for k in range(2600)]
+        rows.append((10 * i, " ".join(words), f"src{i % 3}" if i % 7 else None))
+        if i % 4 == 0:
+            words[5:9] = ["another", "few", "words", "here"]
+            rows.append((10 * i + 1, " ".join(words), "src1"))
+    rows[3] = (rows[3][0], rows[3][1] + '\napi_key = "a8F3kd93LmQ0zz7"\n', rows[3][2])
+    rows += [(901, "BUY!! NOW!! CHEAP!!", "src0"), (902, None, "src0"), (903, "", "src1"), (904, "a | b | c | d", None)]
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    expected = staged(spark, docs)["packing"]
     found = corpus_pipeline.run(spark, str(tmp_path))
-    key = lambda df: sorted((r.doc_id, r.piece, r.n_tokens, hash(tuple(r.tokens))) for r in df.collect())
-    assert key(found) == key(expected) and key(found)
-    assert found.columns == packing.packed(docs).columns
+    expected = brute(rows)
+    assert found.columns == packing.packed(documents(spark, rows)).columns and expected
+    assert sorted((*r[:5], tuple(r.tokens)) for r in found.collect()) == expected
 
 
 def test_every_stage_stands_hard_rows(spark):
