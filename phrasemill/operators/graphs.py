@@ -96,6 +96,18 @@ def topic_teleport(nodes: DataFrame, weights: dict[str, float], min_weight: floa
     return teleport(nodes, F.coalesce(F.element_at(known, F.col("lemma")), F.lit(float(min_weight))) if weights else F.lit(float(min_weight)))
 
 
+def sparse_teleport(nodes: DataFrame, weights: DataFrame) -> DataFrame:
+    """teleport() by weights(doc_id, key, weight); nodes that aren't there weigh 0."""
+    own = nodes.select("doc_id", "key").join(weights.select("doc_id", "key", "weight"), ["doc_id", "key"], "left")
+    return teleport(own, F.coalesce("weight", F.lit(0.0)))
+
+
+def top_nodes(scores: DataFrame, n: int) -> DataFrame:
+    """The n best of scores(doc_id, key, score) in each document, with rank; scores count to ten decimals, ties go by key."""
+    w = Window.partitionBy("doc_id").orderBy(F.round("score", 10).desc(), "key")
+    return scores.select("doc_id", "key", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= n)
+
+
 def sentence_sets(tokens: DataFrame) -> DataFrame:
     """doc_id, sentence_idx, lemmas: the distinct lemmas of the sentence's tokens that aren't stop words."""
     return tokens.groupBy("doc_id", "sentence_idx").agg(F.array_sort(F.collect_set(F.when(~F.col("is_stopword"), F.col("lemma")))).alias("lemmas"))

@@ -263,6 +263,19 @@ def teleport_topic(spark, sf_dir):
     return G.topic_teleport(G.word_candidates(G.occurrences(toks(spark, sf_dir))), TOPICS).withColumn("p", F.round("p", 9))
 
 
+@query(_teleport_sql("CASE WHEN first_position % 5 = 0 THEN 1.0 + length(lemma) ELSE 0.0 END"))
+def teleport_sparse(spark, sf_dir):
+    nodes = G.word_candidates(G.occurrences(toks(spark, sf_dir)))
+    some = nodes.where("first_position % 5 = 0").select("doc_id", "key", (F.lit(1.0) + F.length("lemma")).alias("weight"))
+    return G.sparse_teleport(nodes, some).withColumn("p", F.round("p", 9))
+
+
+@query(TOKENS + _rank("1.0") + """ SELECT doc_id, key, round(score, 6) AS score, rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 10) DESC, key) AS rank FROM scores) WHERE rank <= 5""")
+def top_nodes(spark, sf_dir):
+    return rounded(G.top_nodes(D.node_scores(documents(spark, sf_dir), fixed()), 5), "score")
+
+
 def _node_query(name: str, sql: str, plan: Callable[[], Plan], weighted: bool = True) -> None:
     def run(spark, sf_dir):
         return rounded(D.node_scores(documents(spark, sf_dir), plan(), weighted).select("doc_id", "key", "score"), "score")

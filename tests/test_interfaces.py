@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from phrasemill.operators import document as D
 from phrasemill.operators.spread import MOST_SPREAD, spread
 from phrasemill.plans import api
+from phrasemill.plans.builder import PipelineBuilder
 from phrasemill.plans.config import TextRankConfig, plan_for
 from phrasemill.sources import json_docs as J
 from phrasemill.sources.topic_weights import weights_from_topics
@@ -90,6 +91,19 @@ def test_tables_give_what_the_classes_give(spark):
     assert [r.text for r in D.extract(tokens, plan_for("textrank")).orderBy("rank").collect()][:2] == ["Machine learning models", "Machine learning"]
 
 
+def test_builder(spark):
+    docs = spark.createDataFrame([(1, TEXT, "en"), (2, "skip me please", "en")], "doc_id long, text string, lang string")
+    built = PipelineBuilder("topic_rank").clustering(0.25).config(top_n=3).preprocess(lambda df: df.where("doc_id = 1")).postprocess(lambda df: df.select("doc_id", "text", "score")).build()
+    expected = api.TopicRank(top_n=3).extract_keywords(TEXT).as_tuples()
+    assert [(r.text, r.score) for r in built.run(docs).orderBy(F.desc("score")).collect()] == expected
+    own = PipelineBuilder().graph("cooccurrence", cross_sentence=True, binary=False).build()
+    assert own.run_documents([TR3]) == D.run_documents([TR3], plan_for("single_rank"))
+    assert PipelineBuilder.from_spec("multipartite_rank").build().plan.alpha == 1.1
+    assert PipelineBuilder().teleport("focus", ["neural"], 10.0).build().run_documents([TR3]) == D.run_documents([TR3], plan_for("biased_textrank", focus_terms=("neural",), bias_weight=10.0))
+    with pytest.raises(ValueError):
+        PipelineBuilder().config(damping=2.0)
+
+
 def test_small_tables_are_dealt_out_and_large_ones_are_not(spark, monkeypatch):
     docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     assert "Exchange" in spread(docs)._jdf.queryExecution().executedPlan().toString()
