@@ -106,8 +106,10 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), pa.array(found, pa.binary())], names=["id", "part", "found"])
 
     taken = texts.mapInArrow(run, "id long, part int, found binary").toArrow().sort_by([("id", "ascending"), ("part", "ascending"), ("found", "ascending")])
-    part, found = taken["part"].to_numpy(), [set(x.split(b"\n")) - {b""} for x in taken["found"].to_pylist()]
-    return fit([f for f, x in zip(found, part) if x == 1], [f for f, x in zip(found, part) if x == 0], toxic / n)
+    part, found = taken["part"].to_pylist(), taken["found"]
+    positive = [set(f.as_py().split(b"\n")) - {b""} for f, x in zip(found, part) if x == 1]
+    own = {f: f for d in positive for f in d}  # fit() looks at no others, so the driver needn't hold them
+    return fit(positive, [{own[f] for f in d.as_py().split(b"\n") if f in own} for d, x in zip(found, part) if x == 0], toxic / n)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
