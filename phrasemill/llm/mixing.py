@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-Documents fall into shards of about ``shard_tokens`` tokens by a hash of their id.  In each shard a source's
-documents, in seeded order, are one stream of tokens, cut into blocks of ``block_tokens``; what is left at
-its end, less than a block, isn't offered.  The shard has as many seats as ``fraction`` of its blocks.
-They go one by one to the source with the highest quotient weight / (2 * seats + 1) that still has a block;
-the integer quotas are then filled with blocks in seeded order.  All of this is local to a shard, so
-a source that is most of the corpus is as many groups as there are shards.  Tokens are words here:
-whatever ASCII white space separates.
+Documents fall into shards of about ``shard_tokens`` tokens by a hash of their id.  A source's documents,
+shard after shard and in seeded order within each, are one stream of tokens, cut into blocks of
+``block_tokens``.  A block is offered by the shard that it ends in, so what is left at a shard's end is
+carried into the next; only the end of the whole source, less than a block, isn't offered.  The shard has
+as many seats as ``fraction`` of its blocks.  They go one by one to the source with the highest quotient
+weight / (2 * seats + 1) that still has a block; the integer quotas are then filled with blocks in seeded
+order.  Shards exchange nothing but their sources' token counts and the chosen ones of the blocks that they
+share, so a source that is most of the corpus is as many groups as there are shards.  Tokens are words
+here: whatever ASCII white space separates.
 """
 
 from __future__ import annotations
@@ -34,11 +36,13 @@ def _seeded(seed: int, *parts: Column) -> Column:
 
 
 def quotas(supply: DataFrame, weights: dict[str, float], block_tokens: int, fraction: float) -> DataFrame:
-    """(shard, source_key, n_blocks, quota) from supply(shard, source_key, source, tokens)."""
+    """(shard, source_key, n_blocks, quota) from supply(shard, source_key, source, and n_blocks or tokens)."""
     weight = F.lit(1.0)
     for name, x in sorted(weights.items()):
         weight = F.when(F.col("source").eqNullSafe(name), F.lit(float(x))).otherwise(weight)
-    blocks = supply.withColumn("n_blocks", F.floor(F.col("tokens") / block_tokens).cast("long")).withColumn("weight", weight)
+    if "n_blocks" not in supply.columns:
+        supply = supply.withColumn("n_blocks", F.floor(F.col("tokens") / block_tokens).cast("long"))
+    blocks = supply.withColumn("weight", weight)
     blocks = blocks.withColumn("seats", F.floor(F.lit(float(fraction)) * F.sum("n_blocks").over(Window.partitionBy("shard"))))
     each = blocks.where("n_blocks > 0 AND weight > 0").withColumn("k", F.explode(F.expr("sequence(0L, n_blocks - 1)")))
     by_quotient = Window.partitionBy("shard").orderBy((F.col("weight") / (2 * F.col("k") + 1)).desc(), "source_key")
@@ -67,31 +71,66 @@ def _streams(docs: DataFrame, keep: list[Column], n_shards: int, seed: int) -> D
     ).where("n > 0").withColumn("shard", _shard(n_shards))
 
 
+def supplies(counted: DataFrame, block_tokens: int) -> DataFrame:
+    """(shard, source_key, source, begin, first_block, n_blocks, tail): where a shard's part of a source's stream
+    begins, the blocks that end in it, and the block that it begins and doesn't end, if there is one."""
+    own = counted.groupBy("shard", "source_key").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("n").alias("tokens"))
+    # a source has as many rows here as there are shards
+    upto = F.sum("tokens").over(Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("upto", upto).selectExpr(
+        "shard",
+        "source_key",
+        "source",
+        "upto - tokens AS begin",
+        f"(upto - tokens) div {block_tokens} AS first_block",
+        f"upto div {block_tokens} - (upto - tokens) div {block_tokens} AS n_blocks",
+        f"CASE WHEN upto % {block_tokens} > 0 THEN upto div {block_tokens} END AS tail",
+    )
+
+
 def chosen_blocks(counted: DataFrame, weights: dict[str, float], block_tokens: int, fraction: float, seed: int) -> DataFrame:
-    """(shard, source_key, blocks): the numbers of the blocks that fill the quotas."""
-    supply = counted.groupBy("shard", "source_key").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("n").alias("tokens"))
-    picked = quotas(supply, weights, block_tokens, fraction).where("quota > 0")
+    """(shard, source_key, begin, blocks, tail, tail_shard): the numbers of the blocks that fill the quotas.
+
+    tail is the one of them that ends in a later shard, tail_shard, if there is one.
+    """
+    supply = written(supplies(counted, block_tokens), "supply")
+    at = ["shard", "source_key"]
+    picked = quotas(supply, weights, block_tokens, fraction).where("quota > 0").join(supply.select(*at, "begin", "first_block"), at)
     key = _seeded(seed, F.col("shard").cast("string"), F.col("source_key"), F.col("b").cast("string"))
-    # a list for each (shard, source): at most shard_tokens / block_tokens blocks
-    return (
-        picked.withColumn("b", F.explode(F.expr("sequence(0L, n_blocks - 1)")))
-        .withColumn("place", F.row_number().over(Window.partitionBy("shard", "source_key").orderBy(key, "b")))
+    chosen = (
+        picked.withColumn("b", F.explode(F.expr("sequence(first_block, first_block + n_blocks - 1)")))
+        .withColumn("place", F.row_number().over(Window.partitionBy(*at).orderBy(key, "b")))
         .where("place <= quota")
-        .groupBy("shard", "source_key")
-        .agg(F.collect_set("b").alias("blocks"))
+        .select(*at, "begin", "b")
+    )
+    tails = supply.where("tail IS NOT NULL").select(*at, "begin", F.col("tail").alias("b")).join(chosen.select(F.col("shard").alias("tail_shard"), "source_key", "b"), ["source_key", "b"])
+    # a list for each (shard, source): at most shard_tokens / block_tokens blocks, and two that it shares
+    return (
+        chosen.withColumn("tail_shard", F.lit(None).cast("long"))
+        .unionByName(tails)
+        .groupBy(*at)
+        .agg(
+            F.min("begin").alias("begin"),
+            F.collect_set("b").alias("blocks"),
+            F.max(F.when(F.col("tail_shard").isNotNull(), F.col("b"))).alias("tail"),
+            F.max("tail_shard").alias("tail_shard"),
+        )
     )
 
 
 def parts_in(streams: DataFrame, lists: DataFrame, block_tokens: int) -> DataFrame:
-    """streams with one row for each run of chosen blocks that a document is in: first_block, last_block, first_word, end_word."""
+    """streams with one row for each run of a shard's chosen blocks that a document is in: first_block, last_block, first_word, end_word.
+
+    shard is the blocks' shard, which for the last block of a document's shard may be a later one.
+    """
     w = Window.partitionBy("shard", "source_key").orderBy("order", "id", "text_key")
     placed = streams.withColumn("from", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    own = placed.join(lists, ["shard", "source_key"]).withColumn(
+    own = placed.join(lists, ["shard", "source_key"]).withColumn("from", F.col("from") + F.col("begin")).withColumn(
         "own", F.expr(f"filter(sequence(`from` div {block_tokens}, (`from` + n - 1) div {block_tokens}), b -> array_contains(blocks, b))")
     )
     runs = own.withColumn(
         "run",
-        F.explode(F.arrays_zip(F.expr("filter(own, b -> NOT array_contains(own, b - 1))").alias("s"), F.expr("filter(own, b -> NOT array_contains(own, b + 1))").alias("e"))),
+        F.explode(F.arrays_zip(F.expr("filter(own, b -> NOT array_contains(own, b - 1) OR b <=> tail)").alias("s"), F.expr("filter(own, b -> NOT array_contains(own, b + 1) OR b + 1 <=> tail)").alias("e"))),
     )
     return runs.select(
         "*",
@@ -99,7 +138,7 @@ def parts_in(streams: DataFrame, lists: DataFrame, block_tokens: int) -> DataFra
         F.col("run.e").alias("last_block"),
         F.greatest(F.lit(0).cast("long"), F.col("run.s") * block_tokens - F.col("from")).alias("first_word"),
         F.least(F.col("n"), (F.col("run.e") + 1) * block_tokens - F.col("from")).alias("end_word"),
-    ).drop("run", "own", "blocks")
+    ).withColumn("shard", F.expr("CASE WHEN first_block <=> tail THEN tail_shard ELSE shard END")).drop("run", "own", "blocks", "begin", "tail", "tail_shard")
 
 
 def _n_shards(tokens: int | None, shard_tokens: int) -> int:
@@ -113,7 +152,7 @@ def mix(
 
     A null source is a source like any other, of weight 1.  Texts that are null, empty or without a word have
     no token and no part.  Repeated rows are so many documents; a null doc_id sorts first.  Equal quotients
-    go to the source whose name is less.  A source with less than one block in a shard has no seat in it.
+    go to the source whose name is less.  A source with less than one block in all has no seat.
     An empty table has an empty result; columns beside doc_id, text and source have no part.
     """
     counted = written(_streams(docs, [], 1, seed).drop("shard"), "counted")

@@ -85,3 +85,30 @@ def test_hard_rows(spark):
     assert mixing.mix(documents(spark, [(1, None), (2, "")])).count() == 0
 
 
+def test_small_source_over_many_shards_keeps_its_blocks(spark):
+    """A heavy source with less than a block in each shard is offered whole but for the last short block."""
+    docs = documents(spark, [(i, f"w{i} " * 20, "rare" if i % 30 == 0 else "common") for i in range(1800)])
+    out = mixing.mix(docs, {"rare": 5.0}, block_tokens=50, shard_tokens=1200, fraction=0.6).collect()
+    rare = [r for r in out if r.source == "rare"]
+    assert len({r.shard for r in out}) == 30
+    assert sum(r.end_word - r.first_word for r in rare) == 1200  # 60 documents of 20 words in 24 blocks
+    taken = Counter()
+    for r in out:
+        taken[r.shard, r.source] += r.end_word - r.first_word
+    assert all(n % 50 == 0 for n in taken.values())
+    # no word is taken twice, and the stage cuts the same
+    words = [(r.doc_id, w) for r in out for w in range(r.first_word, r.end_word)]
+    assert len(words) == len(set(words))
+    stage = mixing.mixed(docs, {"rare": 5.0}, block_tokens=50, shard_tokens=1200, fraction=0.6)
+    assert sum(len(r.text.split()) for r in stage.where("source = 'rare'").collect()) == 1200
+
+
+def test_blocks_run_on_over_shards(spark):
+    """All blocks chosen: only each source's last words, less than a block, are missing."""
+    docs = corpus(spark)
+    have, got = Counter(), Counter()
+    for r in docs.collect():
+        have[r.source] += len(r.text.split())
+    for r in mixing.mix(docs, block_tokens=50, shard_tokens=700, fraction=1.0).collect():
+        got[r.source] += r.end_word - r.first_word
+    assert got == Counter({s: n // 50 * 50 for s, n in have.items()})
