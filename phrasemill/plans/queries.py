@@ -463,7 +463,7 @@ def mmr_summary(spark, sf_dir):
 
 @query()
 def document_results(spark, sf_dir):
-    return D.extract_results(documents(spark, sf_dir), plan_for("textrank", TextRankConfig(max_tokens=5000, debug_level="top_nodes", debug_top_k=5)))
+    return D.extract_results(documents(spark, sf_dir), plan_for("textrank", TextRankConfig(debug_level="top_nodes", debug_top_k=5)))
 
 
 @query()

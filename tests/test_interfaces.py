@@ -150,3 +150,15 @@ def test_the_rest_stands_without_the_pipeline_operators(tmp_path):
         "assert not any(m.startswith('phrasemill.llm') for m in sys.modules)\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_document_results_of_long_documents(spark, tmp_path):
+    from phrasemill.plans.queries import QUERIES
+
+    long = " ".join(f"Harbour{i % 50} boats carry grain{i % 70} to the mill." for i in range(1000))  # 7,000 words
+    spark.createDataFrame([(1, TEXT, "en"), (2, long, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["document_results"](spark, str(tmp_path)).collect()
+    assert len(found) == 2 and all(r.error is None and r.phrases for r in found)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    limited = {r.doc_id: r for r in D.extract_results(docs, plan_for("textrank", TextRankConfig(max_tokens=5000))).collect()}
+    assert limited[1].error is None and limited[2].error.code == "limit_exceeded" and not limited[2].phrases
