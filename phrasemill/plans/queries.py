@@ -509,8 +509,8 @@ def topic_weight_join(spark, sf_dir):
 def lda_topic_weights(spark, sf_dir):
     from ..sources.topic_weights import fit_lda, topic_weights_from_lda
 
-    model, vectors, vocabulary = fit_lda(toks(spark, sf_dir), k=5, vocabulary=1000, iterations=3)
-    return topic_weights_from_lda(model, vectors, vocabulary, 20)
+    model, vectors, vocabulary = fit_lda(toks(spark, sf_dir))
+    return topic_weights_from_lda(model, vectors, vocabulary)
 
 
 @query()

@@ -162,3 +162,22 @@ def test_document_results_of_long_documents(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     limited = {r.doc_id: r for r in D.extract_results(docs, plan_for("textrank", TextRankConfig(max_tokens=5000))).collect()}
     assert limited[1].error is None and limited[2].error.code == "limit_exceeded" and not limited[2].phrases
+
+
+def test_lda_learns_from_all_documents(spark, tmp_path):
+    from phrasemill.plans.queries import QUERIES
+    from phrasemill.sources.topic_weights import fit_lda, topic_weights_from_lda
+
+    groups = (("boat", "harbour", "sail", "tide"), ("mill", "grain", "flour", "stone"))
+    rows = [(i, w, False) for i in range(40) for w in groups[i % 2] * 3]
+    model, vectors, vocabulary = fit_lda(spark.createDataFrame(rows, "doc_id long, lemma string, is_stopword boolean"), k=2)
+    assert model.getSubsamplingRate() == 1.0 and model.getMaxIter() == 10
+    best = {}
+    for r in topic_weights_from_lda(model, vectors, vocabulary, 8).collect():
+        best.setdefault(r.doc_id, []).append((r.weight, r.lemma))
+    assert all({w for _, w in sorted(b)[-4:]} == set(groups[i % 2]) for i, b in best.items()) and len(best) == 40
+
+    docs = [(i, " ".join(f"Word{chr(97 + i % 20)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60)), "en") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["lda_topic_weights"](spark, str(tmp_path)).groupBy("doc_id").count().collect()
+    assert len(found) == 40 and all(r["count"] > 5 * 20 for r in found)  # 10 topics of 50 words
