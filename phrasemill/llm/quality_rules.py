@@ -29,13 +29,19 @@ STATISTICS = (
 
 
 class Rule(NamedTuple):
-    """A text of at least ``from_words`` words breaks the rule if the statistic isn't within [least, most]."""
+    """A text of at least ``from_words`` words breaks the rule if the statistic isn't within [least, most].
+
+    With ``root_least``, least is root_least / n_words ** 0.5 where that is less.  With ``also``, that
+    statistic must be outside too.
+    """
 
     name: str
     statistic: str
     least: float | None
     most: float | None
     from_words: int = 0
+    root_least: float | None = None
+    also: str | None = None
 
 
 RULES = (
@@ -44,8 +50,10 @@ RULES = (
     Rule("symbols", "symbol_ratio", None, 0.08),
     Rule("exclamations", "exclamation_ratio", None, 0.35),
     Rule("stop_words", "stop_word_ratio", 0.02, 0.95, 30),
-    Rule("few_words", "distinct_word_ratio", 0.12, None, 20),
-    Rule("repeated_lines", "repeat_line_ratio", None, 0.5),
+    # the share of distinct words falls with a text's length, about as its root: from 13,612 words on the bound does, too
+    Rule("few_words", "distinct_word_ratio", 0.12, None, 20, root_least=14),
+    # blank lines, which set paragraphs apart, aren't repetitions
+    Rule("repeated_lines", "repeat_line_ratio", None, 0.5, also="repeat_text_line_ratio"),
     Rule("bars", "bar_ratio", None, 0.2),
 )
 
@@ -59,8 +67,8 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
 
 
-def _measured(t: Column, w: Column, lines: Column) -> dict[str, Column]:
-    """STATISTICS of the text t with its words w and lines; a ratio to nothing is 0."""
+def _measured(t: Column, w: Column, lines: Column, text_lines: Column) -> dict[str, Column]:
+    """STATISTICS of the text t with its words w and lines, and what only rules use of the lines that aren't blank; a ratio to nothing is 0."""
     n = F.size(w)
     return {
         "n_chars": F.length(t).cast("long"),
@@ -73,28 +81,39 @@ def _measured(t: Column, w: Column, lines: Column) -> dict[str, Column]:
         "repeat_line_ratio": _ratio(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
         "words_a_line": _ratio(n, F.size(lines)),
         "bar_ratio": _ratio(_count(t, "|"), n),
+        "repeat_text_line_ratio": _ratio(F.size(text_lines) - F.size(F.array_distinct(text_lines)), F.size(text_lines)),
     }
 
 
 def with_statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """keep, then STATISTICS.  A null text counts as an empty one; words and lines are cut once."""
+    """keep, then STATISTICS and repeat_text_line_ratio.  A null text counts as an empty one; words and lines are cut once."""
     t = F.coalesce(docs["text"].cast("string"), F.lit(""))
     cut = docs.select(F.struct(*keep).alias("kept"), t.alias("t")).select(
         "kept",
         "t",
         F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("w"),
         F.split("t", "\n").alias("l"),
+        F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\x0b")) != "").alias("p"),
     )
-    return cut.select("kept.*", *(c.alias(k) for k, c in _measured(F.col("t"), F.col("w"), F.col("l")).items()))
+    return cut.select("kept.*", *(c.alias(k) for k, c in _measured(F.col("t"), F.col("w"), F.col("l"), F.col("p")).items()))
 
 
 def broken(rule: Rule, column) -> Column:
     """Whether the rule is broken; column(name) gives a statistic."""
-    x, out = column(rule.statistic), F.lit(False)
-    if rule.least is not None:
-        out = out | (x < F.lit(float(rule.least)))
-    if rule.most is not None:
-        out = out | (x > F.lit(float(rule.most)))
+    def outside(x: Column) -> Column:
+        out = F.lit(False)
+        if rule.least is not None:
+            least = F.lit(float(rule.least))
+            if rule.root_least is not None:
+                least = F.least(least, F.lit(float(rule.root_least)) / F.sqrt(F.greatest(column("n_words"), F.lit(1))))
+            out = out | (x < least)
+        if rule.most is not None:
+            out = out | (x > F.lit(float(rule.most)))
+        return out
+
+    out = outside(column(rule.statistic))
+    if rule.also is not None:
+        out = out & outside(column(rule.also))
     return out & (column("n_words") >= rule.from_words)
 
 
@@ -105,7 +124,7 @@ def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     null doc_id stays null, an empty table has an empty result; columns beside doc_id and text have no part.
     """
     names = [F.when(broken(r, F.col), F.lit(r.name)) for r in rules]
-    return with_statistics(docs, [docs["doc_id"].cast("long").alias("doc_id")]).withColumn("broken_rules", F.concat_ws(",", *names)).withColumn("is_kept", F.col("broken_rules") == "")
+    return with_statistics(docs, [docs["doc_id"].cast("long").alias("doc_id")]).withColumn("broken_rules", F.concat_ws(",", *names)).withColumn("is_kept", F.col("broken_rules") == "").drop("repeat_text_line_ratio")
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

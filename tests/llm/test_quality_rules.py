@@ -66,3 +66,20 @@ def test_hard_rows_and_stage(spark):
     assert kept.columns == docs.columns
     assert rows(kept) == sorted((tuple(r) for r in docs.collect() if verdict(brute(r.text)) == ""), key=repr)
     assert Q.verdicts(empty(spark)).count() == 0 and Q.passing(empty(spark)).count() == 0
+
+
+def test_long_and_widely_spaced_texts_are_kept(spark):
+    book = " ".join(f"word{i * i % 39989} of the" for i in range(60_000))  # 180,000 words
+    dull = " ".join(f"word{i % 150} of the" for i in range(60_000))
+    paragraphs = [f"{PROSE} Paragraph {i}." for i in range(6)]
+    spaced = "\n\n\n".join(paragraphs)
+    crlf = "\r\n\r\n\r\n".join(paragraphs)
+    repeated = "\n\n\n".join([PROSE] * 6)
+    texts = [book, "", dull, spaced, crlf, repeated]
+    docs = documents(spark, list(enumerate(texts)))
+    found = {r.doc_id: r.broken_rules for r in Q.verdicts(docs).collect()}
+    ratios = {r.doc_id: r.distinct_word_ratio for r in Q.verdicts(docs).collect()}
+    assert 0.05 < ratios[0] < 0.12
+    assert "few_words" not in found[0] and "few_words" in found[2]
+    assert (found[3], found[4], found[5]) == ("", "", "repeated_lines")
+    assert {r.doc_id for r in Q.passing(docs).collect()} >= {0, 3, 4}
