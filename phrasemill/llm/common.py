@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 #: ASCII white space; what ``bytes.split()`` cuts at, and a class that Java, RE2 and Python read alike.
 SPACES = r"[ \t\n\r\x0B\f]+"
@@ -21,22 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that every executor sees: what spark.checkpoint.dir or setCheckpointDir names.
+
+    Only a session of one machine may do without: it has a folder of its own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        at = tempfile.mkdtemp(prefix="phrasemill-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return at
+    if at:
+        return at
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="phrasemill-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut there, and it outlives any executor.
 
-    The table goes when the driver's Python ends.
+    The table goes when it is discarded, or when the driver's Python ends.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/phrasemill-{name}-{uuid.uuid4().hex}"
@@ -51,7 +55,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
             pass
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._phrasemill_remove = remove
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        t._phrasemill_remove()
+        atexit.unregister(t._phrasemill_remove)
 
 
 def column(df: DataFrame, name: str) -> Column:
@@ -64,10 +77,20 @@ def row_of(df: DataFrame) -> Column:
     return F.struct(*(column(df, c).alias(c) for c in df.columns))
 
 
-def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
+def _hashable(c: Column, kind: DataType) -> Column:
+    """c, or its JSON where its type holds a map or a variant anywhere: Spark hashes neither."""
+
+    def odd(t: DataType) -> bool:
+        inner = [f.dataType for f in t.fields] if isinstance(t, StructType) else [t.elementType] if isinstance(t, ArrayType) else []
+        return t.typeName() in ("map", "variant") or any(map(odd, inner))
+
+    return F.to_json(F.struct(c.alias("c"))) if odd(kind) else c
+
+
+def row_hash(df: DataFrame, columns: list[str] | None = None, seed: int | None = None) -> Column:
     """64 bits over the row's values; a null isn't taken for an empty or a missing neighbour."""
-    names = columns or [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    return F.xxhash64(*(c for n in names for c in (column(df, n), F.isnull(column(df, n)))))
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    return F.xxhash64(*([] if seed is None else [F.lit(seed)]), *(x for f in fields for c in [column(df, f.name)] for x in (_hashable(c, f.dataType), F.isnull(c))))
 
 
 def kept(name: str, make):
@@ -79,16 +102,25 @@ def kept(name: str, make):
 
 
 class Known(dict):
-    """A dict that makes what is missing, and starts anew beyond ``most`` entries."""
+    """A dict that makes what is missing, and starts anew beyond ``most`` entries or ``most_bytes`` of keys.
+
+    A key that is long, such as a line without a space, isn't kept: it would hardly be met again.
+    """
+
+    LONG = 64
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 400_000, most_bytes: int = 24 << 20):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.most_bytes, self.held = make, most, most_bytes, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.LONG:
+            if len(self) >= self.most or self.held >= self.most_bytes:
+                self.clear()
+                self.held = 0
+            self[key] = value
+            self.held += len(key)
         return value
 
 

@@ -1,15 +1,13 @@
-import hashlib
-import math
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import corpus_pipeline
 
 from phrasemill.llm import mixing, packing, quality_rules, secrets, simhash, tokens
 
 from .data import OTHER, PROSE, documents, hard
-from .test_mixing import apportioned
+from .test_mixing import brute as mix
 from .test_quality_rules import brute as statistics
 from .test_quality_rules import verdict
 from .test_simhash import brute as groups
@@ -28,30 +26,11 @@ def brute(rows):
     rows = [r for r in rows if verdict(statistics(r[1])) == ""]
     labels = dict((i, g) for i, g, _ in groups([r[:2] for r in rows], simhash.TOTAL))
     rows = [(i, secrets.redacted(t), s) for i, t, s in rows if labels[i] == i or brute_print(t) is None]
-    md5 = lambda *x: hashlib.md5("|".join(map(str, (mixing.SEED, *x))).encode()).hexdigest()
-    pieces = {i: re.findall(mixing.PIECE, t) for i, t, _ in rows}
-    shards = max(1, math.ceil(sum(map(len, pieces.values())) / mixing.SHARD_TOKENS))
-    streams = defaultdict(list)
-    for i, t, s in rows:
-        if pieces[i]:
-            streams[int(md5(i)[:8], 16) % shards, "" if s is None else "=" + s].append((md5(i), i, t))
+    texts = {i: t for i, t, _ in rows}
     out = []
-    for shard in {k[0] for k in streams}:
-        own = {s: sorted(v) for (k, s), v in streams.items() if k == shard}
-        blocks = {s: sum(len(pieces[i]) for _, i, _ in v) // mixing.BLOCK_TOKENS for s, v in own.items()}
-        quota = apportioned(blocks, {"=" + k: w for k, w in mixing.WEIGHTS.items()}, math.floor(mixing.FRACTION * sum(blocks.values())))
-        for s, stream in own.items():
-            chosen = set(sorted(range(blocks[s]), key=lambda b: (md5(shard, s, b), b))[: quota[s]])
-            at = 0
-            for _, i, text in stream:
-                words, run = pieces[i], []
-                for k in range(len(words) + 1):
-                    if k < len(words) and (at + k) // mixing.BLOCK_TOKENS in chosen:
-                        run.append(words[k])
-                    elif run:
-                        out.append((i, text if len(run) == len(words) else "".join(run)))
-                        run = []
-                at += len(words)
+    for *_, i, first, end in mix(rows, mixing.TARGETS, mixing.BLOCK_TOKENS, mixing.SHARD_TOKENS):
+        words = re.findall(mixing.PIECE, texts[i])
+        out.append((i, texts[i] if end - first == len(words) else "".join(words[first:end])))
     rows = []
     for i, text in out:
         ids, start = tokens.encoding(tokens.VOCABULARY).encode_ordinary(text), 0
