@@ -25,7 +25,7 @@ def scrubbed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The parts of documents in the blocks that the sources' quotas take."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, mixing.TARGETS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
