@@ -4,28 +4,39 @@ A document's fingerprint has 128 bits: bit i is set where more than half of its
 set in their MD5.  Two documents are near-duplicates if their fingerprints differ in at most ``TOTAL``
 places; groups are what such pairs connect.
 
-Search.  The fingerprint is cut into ``TOTAL // 2 + 1`` blocks.  If two fingerprints differ in TOTAL places,
-one block has at most one of them, so it is enough to compare within *shards*, one for each block and value,
-which a fingerprint enters as a member (its own value) or visits (its value with one 0 turned into 1).
-Each shard has its BK-tree: children keyed by integer Hamming distance to the parent, and a query follows
-only edges within the radius.  The trees live with their shards' rows instead of being broadcast: all
-trees together grow with the corpus.  The search is exact, and every distinct fingerprint is a query.
+Search.  The fingerprint is cut into blocks (``scheme``); two that differ in TOTAL places differ in at most
+TOTAL // blocks places of one block.  So it is enough to compare within *shards*, one for each block and value,
+which a fingerprint enters as a member or as a visitor under its own value and those few places away.  The
+more fingerprints there are, the wider the blocks, so that shards stay small.  Each shard has its BK-tree: children
+keyed by integer Hamming distance to the parent, and a query follows only edges within the radius.  The
+trees live with their shards' rows instead of being broadcast: all trees together grow with the corpus.
+
+What lies below an edge is exactly that edge's length from the parent.  Below edges within the radius all
+are linked to the parent when the tree grows, so a query that is linked to the parent needs none of them: a family
+of copies costs a comparison or two for each, not one for each pair, and groups are the same.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Known, kept, plain, row_hash, row_of, table, written
+from .common import SPACES, Known, discard, kept, plain, row_hash, row_of, table, written
 
 TOTAL = 17
-LEAF = 64
+#: members of a shard, on average, beyond which blocks get wider
+MEMBERS = 256
+#: a fingerprint with more than this share of the rows is hot; so there are at most as many hot ones as its inverse
+HOT = 1 / 1000
+#: pairs of a query and a node that are looked at together
+STEP = 1 << 20
 
 
 def _bits(token: bytes) -> bytes | None:
@@ -62,64 +73,86 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a[..., 0] ^ b[..., 0]) + np.bitwise_count(a[..., 1] ^ b[..., 1])
 
 
-class BKTree:
-    """A BK-tree over distinct fingerprints (n x 2 unsigned), whose small subtrees are flat leaves; queries go through together."""
-
-    def __init__(self, values: np.ndarray, at: np.ndarray | None = None):
-        self.at = np.arange(len(values)) if at is None else at
-        self.values, self.edges = values, {}
-        if len(values) > LEAF:
-            far = _apart(values[1:], values[0])
-            self.edges = {int(d): BKTree(values[1:][far == d], self.at[1:][far == d]) for d in np.unique(far)}
-
-    def within(self, queries: np.ndarray, radius: int, q_at: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Arrays (index of query, index of value) of pairs at most radius apart."""
-        q_at = np.arange(len(queries)) if q_at is None else q_at
-        if not self.edges:
-            step = max(1, 2_000_000 // max(1, len(self.values)))
-            for i in range(0, len(queries), step):
-                q, v = np.nonzero(_apart(queries[i : i + step, None], self.values[None, :]) <= radius)
-                if len(q):
-                    yield q_at[q + i], self.at[v]
-            return
-        far = _apart(queries, self.values[0]).astype(np.int64)
-        if (near := far <= radius).any():
-            yield q_at[near], np.full(int(near.sum()), self.at[0])
-        for edge, child in self.edges.items():
-            if (on := np.abs(far - edge) <= radius).any():
-                yield from child.within(queries[on], radius, q_at[on])
-
-
-def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """labels (each the least index that its own is known to be connected with) after joining a[i] with b[i]."""
-    while True:
-        la, lb = labels[a], labels[b]
-        if (la == lb).all():
-            return labels
-        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = labels[labels]
-            if (up == labels).all():
-                break
-            labels = up
-
-
-def _shard_pairs(values: np.ndarray, members: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect just what the shard's pairs connect. The first ``members`` rows are members."""
-    labels = np.arange(len(values))
-    for q, v in BKTree(values[:members]).within(values, total):
-        if (ok := q != v).any():
-            labels = _merge(labels, q[ok], v[ok])
-    moved = np.nonzero(labels != np.arange(len(values)))[0]
-    return moved, labels[moved]
-
-
-def blocks(total: int) -> list[tuple[int, int]]:
-    """(first bit, width) of total // 2 + 1 blocks of the 128 bits, at least 4, the wider ones first."""
-    n = max(4, total // 2 + 1)
-    each, more = divmod(128, n)
-    widths = [each + (i < more) for i in range(n)]
-    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+class BKForest:
+    """A BK-tree for each number in ``tree`` over its distinct values (n x 2 unsigned), all grown and searched together.
+
+    parent is -1 for a root, edge the distance to the parent; links are (node, an ancestor within radius).
+    """
+
+    def __init__(self, values: np.ndarray, tree: np.ndarray, radius: int):
+        n = len(values)
+        self.values, self.radius = values, radius
+        self.parent, self.edge = np.full(n, -1), np.zeros(n, np.int64)
+        names, first = np.unique(tree, return_index=True)
+        self.root = dict(zip(names.tolist(), first.tolist()))
+        at = first[np.searchsorted(names, tree)]  # how far down each value has come
+        left = np.nonzero(at != np.arange(n))[0]
+        free, links = np.ones(n, bool), []
+        while len(left):
+            far = _apart(values[left], values[at[left]]).astype(np.int64)
+            near = free[left] & (far <= radius)
+            links.append((left[near], at[left[near]]))
+            free[left[near]] = False  # further down all is linked to that node, too
+            _, head, own = np.unique(at[left] * 129 + far, return_index=True, return_inverse=True)
+            new = left[head]
+            self.parent[new], self.edge[new] = at[new], far[head]
+            at[left] = new[own]
+            left = left[at[left] != left]
+        self.links = tuple(np.concatenate(x) for x in zip(*links)) if links else (np.empty(0, np.int64),) * 2
+        key = self.parent * 129 + self.edge
+        self.child = np.argsort(key, kind="stable")
+        self.child = self.child[self.parent[self.child] >= 0]
+        self.key = key[self.child]
+
+    def search(self, queries: np.ndarray, tree: np.ndarray, grouped: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Arrays (index of query, index of value) of pairs within the radius, each query in its tree.
+
+        grouped leaves out values that are linked to a value of the result: for groups they aren't needed.
+        """
+        names, own = np.unique(tree, return_inverse=True)
+        stack = [(np.arange(len(queries)), np.array([self.root[t] for t in names.tolist()], np.int64)[own])] if len(queries) else []
+        r = self.radius
+        while stack:
+            q, node = stack.pop()
+            if len(q) > STEP:
+                stack.append((q[STEP:], node[STEP:]))
+                q, node = q[:STEP], node[:STEP]
+            far = _apart(queries[q], self.values[node]).astype(np.int64)
+            if (near := far <= r).any():
+                yield q[near], node[near]
+            low = np.where(near, r + 1, far - r) if grouped else np.maximum(far - r, 1)
+            begin = np.searchsorted(self.key, node * 129 + low)
+            count = np.maximum(np.searchsorted(self.key, node * 129 + np.minimum(far + r, 128), "right") - begin, 0)
+            if total := int(count.sum()):
+                at = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+                stack.append((np.repeat(q, count), self.child[at]))
+
+
+class Scheme(NamedTuple):
+    blocks: tuple[tuple[int, int], ...]  # (first bit, width)
+    members: int  # a member enters its value's shard and those so many places away
+    visits: int  # and visits those so many further places away
+
+
+def scheme(total: int, n: int, members: int = MEMBERS) -> Scheme:
+    """The blocks for n fingerprints: the narrowest whose shards have at most ``members`` on average.
+
+    They end at two places a block: beyond, a fingerprint would be in thousands of shards.
+    """
+    for apart in range(1, total + 2):
+        count = max(4, total // (apart + 1) + 1)
+        each, more = divmod(128, count)
+        widths = [each + (i < more) for i in range(count)]
+        left = total // count
+        found = Scheme(tuple((sum(widths[:i]), w) for i, w in enumerate(widths)), left // 2, left % 2)
+        if count == 4 or left == 2 or n * sum(len(_masks(each, k)) for k in range(left // 2 + 1)) <= members << each:
+            return found
+    return found
+
+
+def _masks(width: int, k: int) -> np.ndarray:
+    """All numbers of that width with k bits set."""
+    return np.array([sum(1 << i for i in c) for c in combinations(range(width), k)], np.int64)
 
 
 def _block(hi: np.ndarray, lo: np.ndarray, first: int, width: int) -> np.ndarray:
@@ -133,50 +166,67 @@ def _block(hi: np.ndarray, lo: np.ndarray, first: int, width: int) -> np.ndarray
     return (value & u((1 << width) - 1)).astype(np.int64)
 
 
-def _keys(total: int):
+def _keys(plan: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = {w: [_masks(w, k) for k in range(plan.members + plan.visits + 1)] for _, w in plan.blocks}
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 hi, lo = (batch.column(c).slice(start, 2000).to_numpy() for c in ("hi", "lo"))
                 parts = []
-                for i, (first, width) in enumerate(blocks(total)):
+                for i, (first, width) in enumerate(plan.blocks):
                     v = _block(hi.view(np.uint64), lo.view(np.uint64), first, width)
-                    at, bit = np.nonzero((v[:, None] >> np.arange(width)) & 1 == 0)
-                    key = np.concatenate([v, v[at] | np.left_shift(1, bit)]) + (i << 32)
-                    parts.append((key, np.arange(len(key)) >= len(v), np.concatenate([np.arange(len(v)), at])))
+                    for k, own in enumerate(masks[width]):
+                        if (plan.members, plan.visits, k) == (0, 1, 1):  # of two values a place apart, the one with the 0 visits
+                            at, m = np.nonzero(v[:, None] & own == 0)
+                        else:
+                            at, m = np.repeat(np.arange(len(v)), len(own)), np.tile(np.arange(len(own)), len(v))
+                        parts.append(((v[at] ^ own[m]) + (i << 32), np.full(len(at), k > plan.members), at))
                 key, visits, at = (np.concatenate(c) for c in zip(*parts))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(visits), pa.array(hi[at]), pa.array(lo[at])], names=["shard", "visits", "hi", "lo"])
 
     return run
 
 
+def shard_links(shard: np.ndarray, visits: np.ndarray, values: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, within the radius, that connect just what all such pairs of a member and a row of its shard connect."""
+    names, own, count = np.unique(shard, return_inverse=True, return_counts=True)
+    members = np.bincount(own[~visits], minlength=len(names))
+    use = np.nonzero(((members > 0) & (count > 1))[own])[0]
+    shard, visits, values = shard[use], visits[use], values[use]
+    at = np.nonzero(~visits)[0]
+    if not len(at):
+        return at, at
+    forest = BKForest(values[at], shard[at], total)
+    a, b = [at[forest.links[0]]], [at[forest.links[1]]]
+    for q, v in forest.search(values, shard):
+        v = at[v]
+        a.append(q[q != v])
+        b.append(v[q != v])
+    return use[np.concatenate(a)], use[np.concatenate(b)]
+
+
 def _search(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[np.ndarray] = []  # the shard that the last batch ended in
+        left: list[tuple] = []  # from the shard on that the last batch ended in
         names = ["a_hi", "a_lo", "b_hi", "b_lo"]
 
-        def found(shard, visits, hi, lo):
-            cuts = np.nonzero(np.diff(shard))[0] + 1
-            out = []
-            for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(shard)]):
-                members = int((~visits[i:j]).sum())
-                if j - i > 1 and members:
-                    a, b = _shard_pairs(np.stack([hi[i:j], lo[i:j]], 1).view(np.uint64), members, total)
-                    if len(a):
-                        out.append((hi[i:j][a], lo[i:j][a], hi[i:j][b], lo[i:j][b]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+        def found(parts: list[tuple]):
+            shard, visits, hi, lo = (np.concatenate(c) for c in zip(*parts))
+            a, b = shard_links(shard, visits, np.stack([hi, lo], 1).view(np.uint64), total)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.stack([hi[a], lo[a], hi[b], lo[b]], 1), axis=0).T], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "visits", "hi", "lo")]
-            now = [np.concatenate(x) for x in zip(left, now)] if left else now
+            now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "visits", "hi", "lo"))
             cut = int(np.searchsorted(now[0], now[0][-1]))
-            yield from found(*(x[:cut] for x in now)) if cut else ()
-            left = [x[cut:] for x in now]
+            if cut or left and left[-1][0][-1] != now[0][0]:
+                yield from found([*left, tuple(x[:cut] for x in now)])
+                left = []
+            left.append(tuple(x[cut:] for x in now))
         if left:
-            yield from found(*left)
+            yield from found(left)
 
     return run
 
@@ -187,7 +237,6 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     Alternating large and small stars; each round is a table in the shared folder, so none depends on what
     an executor holds.
     """
-    spark = edges.sparkSession
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), name)
     seen = None
     while True:
@@ -203,7 +252,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        now = written(small, name)
+        before, now = now, written(small, name)
+        discard(before)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if seen == state:
             break
@@ -212,16 +262,36 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return stars.union(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
-def fingerprint_groups(prints: DataFrame, total: int = TOTAL) -> DataFrame:
-    """(node, label) for the fingerprints (hi, lo) that have a near-duplicate among the others."""
-    distinct = prints.select("hi", "lo").where("hi is not null").distinct()
+def fingerprint_links(distinct: DataFrame, total: int, plan: Scheme) -> DataFrame:
+    """(a_hi, a_lo, b_hi, b_lo): pairs within total places that connect what all such pairs of distinct(hi, lo) connect."""
     shards = (
-        distinct.mapInArrow(_keys(total), "shard long, visits boolean, hi long, lo long")
+        distinct.select("hi", "lo")
+        .mapInArrow(_keys(plan), "shard long, visits boolean, hi long, lo long")
         .repartition("shard")
-        .sortWithinPartitions("shard", "visits")
+        .sortWithinPartitions("shard")
     )
-    pairs = shards.mapInArrow(_search(total), "a_hi long, a_lo long, b_hi long, b_lo long")
-    return components(pairs.select(F.xxhash64("a_hi", "a_lo").alias("a"), F.xxhash64("b_hi", "b_lo").alias("b")))
+    return shards.mapInArrow(_search(total), "a_hi long, a_lo long, b_hi long, b_lo long")
+
+
+def _grouped(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame, float]:
+    """From rows(uid, row_key, doc_id, hi, lo), a table that is written: the groups, the fingerprints with theirs, and hot().
+
+    Groups: (label, group_id, group_size, kept), kept the uid of the row that stays.
+    """
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "row_key", "uid")).alias("first")
+    # a row for each distinct fingerprint, with a number: all that follows is of one row for each
+    prints = written(
+        rows.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.count("*").alias("n_rows"), first).withColumn("node", F.monotonically_increasing_id()), "fingerprints"
+    )
+    n, n_rows = prints.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    links = fingerprint_links(prints, total, scheme(total, n))
+    number = lambda side: prints.select(F.col("hi").alias(f"{side}_hi"), F.col("lo").alias(f"{side}_lo"), F.col("node").alias(side))
+    labels = components(links.join(number("a"), ["a_hi", "a_lo"]).join(number("b"), ["b_hi", "b_lo"]).select("a", "b"))
+    labelled = prints.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups_ = written(
+        labelled.groupBy("label").agg(F.sum("n_rows").alias("group_size"), F.min("first").alias("first")).select("label", F.col("first.doc_id").alias("group_id"), "group_size", F.col("first.uid").alias("kept")), "groups"
+    )
+    return groups_, labelled.select("hi", "lo", "n_rows", "label"), n_rows * HOT
 
 
 def groups(docs: DataFrame, total: int = TOTAL) -> DataFrame:
@@ -230,41 +300,34 @@ def groups(docs: DataFrame, total: int = TOTAL) -> DataFrame:
     group_id is the least doc_id of the group; the row with that stays (is_kept), of several such rows the
     one whose row_key is least, and of rows alike in all columns any one.  A text that is null, empty or
     without a letter or digit has no fingerprint: such a row is a group of its own and stays.  A null
-    doc_id comes last.  An empty table has an empty result.  Columns beside doc_id and text only count
-    towards row_key.
+    doc_id comes last.  Whole texts count, however long.  An empty table has an empty result.  Columns beside
+    doc_id and text only count towards row_key, whatever their names and types.
     """
-    prints = written(
+    rows = written(
         docs.select(row_hash(docs).alias("row_key"), docs["doc_id"].cast("long").alias("doc_id"), fingerprints(docs["text"].cast("string")).alias("fp")).select(
-            "row_key", "doc_id", "fp.hi", "fp.lo"
+            F.monotonically_increasing_id().alias("uid"), "row_key", "doc_id", "fp.hi", "fp.lo"
         ),
         "prints",
     )
-    labels = fingerprint_groups(prints, total)
-    node = F.when(F.col("hi").isNotNull(), F.xxhash64("hi", "lo"))
-    labelled = prints.withColumn("node", node).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # rows without a fingerprint: no two in one group, and no one task for them all
-    alone = labelled.where("label is null").select("row_key", "doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("is_kept"))
-    w = Window.partitionBy("label")
-    order = w.orderBy(F.col("doc_id").asc_nulls_last(), "row_key")
-    return (
-        labelled.where("label is not null")
-        .select(
-            "row_key",
-            "doc_id",
-            F.min("doc_id").over(w).alias("group_id"),
-            F.count("*").over(w).alias("group_size"),
-            (F.row_number().over(order) == 1).alias("is_kept"),
-        )
-        .union(alone)
-    )
+    of_groups, of_prints, most = _grouped(rows, total)
+    each = written(of_prints.join(of_groups, "label").drop("label"), "grouped")
+    hot = F.broadcast(each.where(F.col("n_rows") > most))  # at most 1 / HOT rows
+    found = rows.join(hot, ["hi", "lo"]).unionByName(rows.join(hot.select("hi", "lo"), ["hi", "lo"], "left_anti").join(each.where(F.col("n_rows") <= most), ["hi", "lo"]))
+    alone = rows.where("hi IS NULL").select("row_key", "doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("is_kept"))
+    return found.select("row_key", "doc_id", "group_id", "group_size", (F.col("uid") == F.col("kept")).alias("is_kept")).union(alone)
 
 
 def deduplicated(docs: DataFrame, total: int = TOTAL) -> DataFrame:
     """docs without all but one document of each group, its columns as they are.  See groups()."""
-    stays = groups(docs, total).groupBy("row_key").agg(F.sum(F.col("is_kept").cast("long")).alias("n")).where("n > 0")
-    rows = docs.select(row_of(docs).alias("row"), row_hash(docs).alias("row_key"))
-    w = Window.partitionBy("row_key").orderBy("row_key")
-    return rows.join(stays, "row_key").withColumn("k", F.row_number().over(w)).where("k <= n").select("row.*")
+    rows = written(
+        docs.select(row_of(docs).alias("row"), row_hash(docs).alias("row_key"), docs["doc_id"].cast("long").alias("doc_id"), fingerprints(docs["text"].cast("string")).alias("fp")).select(
+            F.monotonically_increasing_id().alias("uid"), "row", "row_key", "doc_id", "fp.hi", "fp.lo"
+        ),
+        "rows",
+    )
+    of_groups, _, _ = _grouped(rows.drop("row"), total)
+    # a row's number is its own, so no key of this join is hot
+    return rows.where("hi IS NOT NULL").join(of_groups.select(F.col("kept").alias("uid")), "uid").select("row.*").union(rows.where("hi IS NULL").select("row.*"))
 
 
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

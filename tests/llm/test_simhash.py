@@ -3,11 +3,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from phrasemill.llm import simhash as S
 from phrasemill.llm.common import Known, plain
 
-from .data import LONG, documents, empty, hard, rows
+from .data import LONG, PROSE, documents, empty, hard, rows
 
 
 def near(rng, n, total):
@@ -23,41 +24,96 @@ def near(rng, n, total):
     return np.unique(np.concatenate(out), axis=0)
 
 
-@pytest.mark.parametrize("radius", [0, 3, 17])
-def test_tree_against_all_pairs(radius):
-    v = near(np.random.default_rng(radius), 12, radius)
-    found = {(int(q), int(x)) for a, b in S.BKTree(v).within(v, radius) for q, x in zip(a, b)}
-    q, x = np.nonzero(S._apart(v[:, None], v[None]) <= radius)
-    assert found == set(zip(q.tolist(), x.tolist()))
+def connected(n, pairs):
+    label = list(range(n))
 
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
 
-def test_edges_are_distances():
-    v = near(np.random.default_rng(5), 20, 9)
-    tree = S.BKTree(v)
-    assert tree.edges
-    for d, child in tree.edges.items():
-        assert (S._apart(child.values, tree.values[0]) == d).all()
+    for a, b in pairs:
+        label[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("total", [1, 6, 17])
-def test_a_pair_within_the_radius_meets(total):
-    """One of any two such fingerprints is a member of a shard that the other is in."""
+@pytest.mark.parametrize("radius", [0, 3, 17])
+def test_trees_against_all_pairs(radius):
+    """All pairs of two trees, and grouped, what they connect."""
+    v = near(np.random.default_rng(radius), 30, radius)
+    tree = np.arange(len(v)) % 2
+    forest = S.BKForest(v, tree, radius)
+    q, x = np.nonzero((S._apart(v[:, None], v[None]) <= radius) & (tree[:, None] == tree[None]))
+    expected = set(zip(q.tolist(), x.tolist()))
+    assert {(int(a), int(b)) for q, x in forest.search(v, tree, grouped=False) for a, b in zip(q, x)} == expected
+    found = [(int(a), int(b)) for q, x in [*forest.search(v, tree), forest.links] for a, b in zip(q, x)]
+    assert set(found) <= expected and connected(len(v), found) == connected(len(v), expected)
+
+
+def test_edges_are_distances_and_trees_branch():
+    v = near(np.random.default_rng(5), 40, 9)
+    forest = S.BKForest(v, np.zeros(len(v), int), 9)
+    below = forest.parent >= 0
+    assert below.sum() == len(v) - 1  # one root
+    assert (S._apart(v[below], v[forest.parent[below]]) == forest.edge[below]).all()
+    assert len(set(zip(forest.parent[below].tolist(), forest.edge[below].tolist()))) == below.sum()  # a child for each distance
+    depth, at = 0, np.arange(len(v))
+    while (at := forest.parent[at][forest.parent[at] >= 0]).size:
+        depth += 1
+    assert depth > 2 and np.bincount(forest.parent[below]).max() > 10
+
+
+def test_a_family_of_copies_costs_no_pairs():
+    """3,000 copies around one fingerprint: about a comparison each, not one for each pair."""
+    rng = np.random.default_rng(2)
+    v = np.zeros((3000, 2), np.uint64)
+    for row in v:
+        for bit in rng.choice(128, 8, replace=False):
+            row[bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
+    v = np.unique(np.r_[np.zeros((1, 2), np.uint64), v], axis=0)
+    shard = np.zeros(len(v), int)
+    a, b = S.shard_links(shard, np.zeros(len(v), bool), v, 17)
+    assert len(a) < 4 * len(v) and set(connected(len(v), zip(a.tolist(), b.tolist()))) == {0}
+
+
+@pytest.mark.parametrize("total,n", [(1, 10), (6, 10), (17, 10), (17, 10**7), (17, 10**10), (3, 10**12)])
+def test_a_pair_within_the_radius_meets(total, n):
+    """One of any two such fingerprints is a member of a shard that the other is in, however many there are."""
     import pyarrow as pa
 
     rng = np.random.default_rng(total)
-    assert sum(w for _, w in S.blocks(total)) == 128
-    for _ in range(40):
+    plan = S.scheme(total, n)
+    assert sum(w for _, w in plan.blocks) == 128 and max(w for _, w in plan.blocks) <= 32
+    for _ in range(20):
         a = rng.integers(0, 2**63, 2).astype(np.uint64)
         b = a.copy()
         for bit in rng.choice(128, total, replace=False):
             b[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
         hi, lo = (pa.array(np.array([a[i], b[i]]).view(np.int64)) for i in (0, 1))
-        own = pa.Table.from_batches(S._keys(total)(iter([pa.RecordBatch.from_arrays([hi, lo], names=["hi", "lo"])]))).to_pandas()
+        own = pa.Table.from_batches(S._keys(plan)(iter([pa.RecordBatch.from_arrays([hi, lo], names=["hi", "lo"])]))).to_pandas()
         first = (own.hi == np.int64(a.view(np.int64)[0])) & (own.lo == np.int64(a.view(np.int64)[1]))
         x, y = own[first], own[~first]
         assert set(x[~x.visits].shard) & set(y.shard) or set(y[~y.visits].shard) & set(x.shard)
 
 
+def test_blocks_widen_with_the_number_of_fingerprints():
+    assert [len(S.scheme(17, n).blocks) for n in (0, 10**6, 10**7, 10**9)] == [9, 9, 6, 6]
+
+
+@pytest.mark.parametrize("n", [10, 10**7])
+def test_links_against_all_pairs(spark, n):
+    """Shards of hundreds of members, so trees with branches, for narrow and for wider blocks."""
+    rng = np.random.default_rng(3)
+    v = near(rng, 25, 17)
+    v[::2, 0] &= np.uint64((1 << 45) - 1)  # a hot block
+    v = np.unique(v, axis=0)
+    frame = spark.createDataFrame([(int(a), int(b)) for a, b in v.view(np.int64)], "hi long, lo long")
+    at = {tuple(x): i for i, x in enumerate(v.view(np.int64).tolist())}
+    found = [(at[r.a_hi, r.a_lo], at[r.b_hi, r.b_lo]) for r in S.fingerprint_links(frame, 17, S.scheme(17, n)).collect()]
+    q, x = np.nonzero(S._apart(v[:, None], v[None]) <= 17)
+    assert connected(len(v), found) == connected(len(v), zip(q.tolist(), x.tolist()))
+
+
 def brute_print(text):
     words = {plain(t) for t in (text or "").encode().split()} - {b""}
     if not words:
@@ -143,6 +199,16 @@ def test_hard_rows_and_stage(spark):
     assert S.groups(empty(spark)).count() == 0 and S.deduplicated(empty(spark)).count() == 0
 
 
+def test_hot_fingerprint_and_nested_maps(spark):
+    """Half of the rows are one text, some of them alike in all columns; a struct holds a map."""
+    docs = documents(spark, [(i % 300, PROSE) for i in range(400)] + [(1000 + i, t) for i, t in corpus()]).withColumn("s", F.struct(F.create_map(F.lit("k"), F.col("doc_id")).alias("m"), F.array(F.create_map(F.lit(1), F.lit(2))).alias("a")))
+    plain_rows = [(r.doc_id, r.text) for r in docs.collect()]
+    found = S.groups(docs)
+    assert rows(found, "doc_id", "group_id", "group_size") == brute(plain_rows, S.TOTAL)
+    assert found.where("is_kept").count() == found.select("group_id").distinct().count()
+    assert sorted(r.doc_id for r in S.deduplicated(docs).collect()) == sorted({g for _, g, _ in brute(plain_rows, S.TOTAL)})
+
+
 def test_rows_without_a_word_all_stay(spark):
     docs = documents(spark, [(i, t) for i, t in enumerate([None, "", "...", None, ""])] + [(1, "")])
     assert S.deduplicated(docs).count() == 6
