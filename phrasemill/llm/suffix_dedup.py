@@ -1,16 +1,16 @@
-"""Passages that repeat across documents: a distributed suffix array, refined by bucket pointers.
-
-A suffix starts at each word.  Its bucket identifier at depth 1 is the word's 64-bit hash, at depth 2k the
-hash of the pair (identifier here, identifier k words later), so one array of identifiers is reused at
-every doubling, as bucket-pointer refinement reuses its updated pointers; identifiers are fingerprints
-instead of ranks, so that they agree on all machines without an exchange.  Refinement ends at depth
-``min_words``, as only passages of that length matter.
-
-Initial buckets bring equal suffixes together: a suffix goes to the bucket of the least q-gram identifier
-among the q-grams of its first ``min_words`` words.  That is a function of those words alone, so suffixes
-that agree so far are in one bucket, and neighbouring suffixes mostly share it: they travel as one row.
-Within its buckets, a task sorts the suffixes by their refined identifiers; a run of equal ones that comes
-from two documents is a repeat.  All suffixes of all documents take part.
+"""Passages that repeat across documents: a distributed suffix array by bucket-pointer refinement.
+
+A suffix starts at each word.  Suffixes that agree in their first ``min_words`` words are brought together first: a
+suffix goes to the bucket of the least q-gram hash among the q-grams of those words.  That is a function of
+the words alone, and neighbouring suffixes mostly share it: they travel as one run of words, and runs alike in all
+words as one row with their places, so a text that is copied often isn't sent as often.
+
+Within a task the runs' suffixes are sorted by bucket-pointer refinement (``pointers``): q-grams give the first
+buckets; each bucket that still has several suffixes is sorted by the pointers of the suffixes a bucket's
+depth further on, which gives its parts pointers of their own, and those updated pointers are what the next
+sorting reads, so the depth doubles.  It ends at ``min_words``, as only passages of that length matter.
+Words are compared one by one throughout, as 32-bit hashes.  A bucket that has suffixes of two documents is a
+repeat.  All suffixes of all documents take part.
 """
 
 from __future__ import annotations
@@ -19,14 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, Known, kept, table
 
-MIN_WORDS, Q = 50, 16
+MIN_WORDS, Q = 50, 8
 NONE = np.iinfo(np.int64).max
+#: words that a task sorts at once; whole buckets
+STEP = 1 << 20
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,35 +48,64 @@ def _doubled(a: np.ndarray, length: int, join) -> np.ndarray:
     return join(a[: -(length - k)], a[length - k :]) if length > k else a
 
 
-def buckets(words: np.ndarray, min_words: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the suffix at each word, while min_words are left: its bucket and its refined identifier."""
-    grams = _doubled(words, q, _pair)
-    return _doubled(grams, min_words - q + 1, np.minimum), _doubled(words, min_words, _pair)
+def buckets(words: np.ndarray, min_words: int, q: int) -> np.ndarray:
+    """The bucket of the suffix at each word, while min_words are left."""
+    return _doubled(_doubled(words, q, _pair), min_words - q + 1, np.minimum)
 
 
-def _suffixes(min_words: int, q: int):
-    names = ["bucket", "doc_key", "doc_id", "start", "ids"]
+def pointers(words: np.ndarray, room: np.ndarray, q: int, depth: int) -> np.ndarray:
+    """Bucket pointers of the suffixes at each word: equal just where the first ``depth`` words are.
+
+    room is the number of words from there to the end of the run; only suffixes with room for depth words have
+    their pointer refined to it.  A suffix alone in its bucket isn't sorted any more.
+    """
+    ptr = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    named, d, open_ = int(ptr.max(initial=-1)) + 1, 1, np.ones(len(ptr), bool)
+    while d < depth:
+        new = min(2 * d, q if d < q else depth)
+        at = np.nonzero(open_ & (room >= new))[0]
+        _, own, count = np.unique(ptr[at] * named + ptr[at + new - d], return_inverse=True, return_counts=True)
+        ptr[at] = named + own
+        open_[at] = count[own] > 1
+        # numbers stay small enough for two of them to be one key
+        named, d = named + len(count), new
+        if named > 1 << 31:
+            ptr = np.unique(ptr, return_inverse=True)[1].astype(np.int64)
+            named = int(ptr.max(initial=-1)) + 1
+    return ptr
+
+
+def _runs(min_words: int, q: int):
+    names = ["bucket", "words", "places"]
 
     def rows(keys: list, ids: list, docs: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([len(d) for d in docs])
-        bucket, ident = buckets(np.concatenate(docs), min_words, q)
+        words = np.concatenate(docs)
         own = lengths - min_words + 1
         first = np.cumsum(lengths) - lengths
         doc = np.repeat(np.arange(len(docs)), own)
         start = np.arange(len(doc)) - np.repeat(np.cumsum(own) - own, own)
         at = first[doc] + start
-        bucket, ident = bucket[at], ident[at]
+        bucket = buckets(words, min_words, q)[at]
         cut = np.r_[True, (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])].nonzero()[0]
-        offsets = (np.r_[cut, len(doc)] * 8).astype(np.int32)
-        packed = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ident))])
-        key = np.array(keys, np.int64)[doc[cut]]
-        doc_id = np.array([NONE if i is None else i for i in ids], np.int64)[doc[cut]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[cut].view(np.int64)), pa.array(key), pa.array(doc_id), pa.array(start[cut].astype(np.int32)), packed], names=names
-        )
+        # a run that goes on and on, as in a text of one word, is cut
+        long = np.diff(np.r_[cut, len(doc)])
+        inner = np.arange(len(doc)) - np.repeat(cut, long)
+        cut = (inner % min_words == 0).nonzero()[0]
+        end = np.r_[cut[1:], len(doc)] - 1
+        data = words.astype("<u4").tobytes()
+        alike: dict[bytes, list[int]] = {}
+        for j, (b, e) in enumerate(zip((4 * at[cut]).tolist(), (4 * (at[end] + min_words)).tolist())):
+            alike.setdefault(data[b:e], []).append(j)
+        places = np.stack([np.array(keys, np.int64)[doc[cut]], np.array([NONE if i is None else i for i in ids], np.int64)[doc[cut]], start[cut]], 1)
+        sizes = np.array([len(x) for x in alike.values()])
+        order = np.fromiter((j for x in alike.values() for j in x), np.int64, len(cut))
+        offsets = (24 * np.r_[0, np.cumsum(sizes)]).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(places[order]))])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[order[offsets[:-1] // 24]]].view(np.int64)), pa.array(list(alike), pa.binary()), packed], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = kept("suffix-words", lambda: Known(xxhash.xxh3_64_intdigest))
+        hashes = kept("suffix-words", lambda: Known(lambda w: xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF))
         keys, ids, docs, size = [], [], [], 0
         for batch in batches:
             for key, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
@@ -93,84 +125,94 @@ def _suffixes(min_words: int, q: int):
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From suffix rows sorted by bucket, the runs of suffixes that another document has too."""
+def _repeats(min_words: int, q: int, within: bool):
+    """From runs sorted by bucket, the stretches of suffixes that another document (or place) has too."""
     names = ["doc_key", "doc_id", "start", "last", "first_doc_id"]
-
-    def found(rows: pa.RecordBatch) -> pa.RecordBatch | None:
-        packed = rows.column("ids")
-        size = pc_binary_length(packed) // 8
-        row = np.repeat(np.arange(len(size)), size)
-        ident = np.frombuffer(b"".join(packed.to_pylist()), np.uint64)
-        key, doc_id = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_key", "doc_id"))
-        order = np.argsort(ident, kind="stable")
-        cut = np.r_[True, ident[order][1:] != ident[order][:-1]].nonzero()[0]
-        k, d = key[row[order]], doc_id[row[order]]
-        shared = np.minimum.reduceat(k, cut) != np.maximum.reduceat(k, cut)
+    length = lambda a, unit: pc.binary_length(a).to_numpy(zero_copy_only=False).astype(np.int64) // unit
+
+    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        bucket, times = rows["bucket"].to_numpy(), length(rows["places"].combine_chunks(), 24)
+        # a bucket of one run in one place has nothing to share, unless the run repeats itself
+        _, own = np.unique(bucket, return_inverse=True)
+        use = np.nonzero((np.bincount(own, times)[own] > 1) | within)[0]
+        if not len(use):
+            return None
+        rows, times = rows.take(pa.array(use)), times[use]
+        packed = rows["words"].combine_chunks()
+        size = length(packed, 4)
+        words = np.frombuffer(b"".join(packed.to_pylist()), "<u4")
+        room = np.repeat(np.cumsum(size), size) - np.arange(len(words))
+        ptr = pointers(words, room, q, min_words)
+        at = np.nonzero(room >= min_words)[0]
+        row = np.repeat(np.arange(len(size)), size - min_words + 1)
+        place = np.frombuffer(b"".join(rows["places"].combine_chunks().to_pylist()), np.int64).reshape(-1, 3)
+        begin = np.cumsum(times) - times
+        lows, highs, ids = np.minimum.reduceat(place[:, 0], begin), np.maximum.reduceat(place[:, 0], begin), np.minimum.reduceat(place[:, 1], begin)
+        order = np.argsort(ptr[at], kind="stable")
+        sorted_, r = ptr[at][order], row[order]
+        cut = np.r_[True, sorted_[1:] != sorted_[:-1]].nonzero()[0]
+        shared = np.add.reduceat(times[r], cut) > 1 if within else np.minimum.reduceat(lows[r], cut) != np.maximum.reduceat(highs[r], cut)
         if not shared.any():
             return None
-        times = np.diff(np.r_[cut, len(order)])
+        each = np.diff(np.r_[cut, len(order)])
         is_shared, first = np.empty(len(order), bool), np.empty(len(order), np.int64)
-        is_shared[order], first[order] = np.repeat(shared, times), np.repeat(np.minimum.reduceat(d, cut), times)
+        is_shared[order], first[order] = np.repeat(shared, each), np.repeat(np.minimum.reduceat(ids[r], cut), each)
         begins = is_shared & np.r_[True, ~is_shared[:-1] | (row[1:] != row[:-1])]
         ends = is_shared & np.r_[~is_shared[1:] | (row[1:] != row[:-1]), True]
         b, e = begins.nonzero()[0], ends.nonzero()[0]
-        within = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        start = rows.column("start").to_numpy()[row[b]]
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(size - min_words + 1) - (size - min_words + 1), size - min_words + 1)
         least = np.minimum.reduceat(np.where(is_shared, first, NONE), b)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key[row[b]]), pa.array(doc_id[row[b]]), pa.array((start + within[b]).astype(np.int32)), pa.array((start + within[e]).astype(np.int32)), pa.array(least)],
-            names=names,
-        )
-
-    def pc_binary_length(a: pa.Array) -> np.ndarray:
-        import pyarrow.compute as pc
-
-        return pc.binary_length(a).to_numpy(zero_copy_only=False).astype(np.int64)
-
-    left: list[pa.RecordBatch] = []
-    held = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bucket = batch.column("bucket").to_numpy()
-        cut = int(np.searchsorted(bucket, bucket[-1]))
-        left.append(batch.slice(0, cut))
-        held += cut
-        if cut and held >= 20_000:
-            if (out := found(_one(left))) is not None:
-                yield out
-            left, held = [], 0
-        left.append(batch.slice(cut))
-        held += batch.num_rows - cut
-    if left and (out := found(_one(left))) is not None:
-        yield out
-
-
-def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, q: int = Q) -> DataFrame:
+        n = times[row[b]]
+        stretch = np.repeat(np.arange(len(b)), n)
+        p = place[np.arange(len(stretch)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[row[b]], n)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (p[:, 0], p[:, 1], p[:, 2] + inner[b][stretch], p[:, 2] + inner[e][stretch], least[stretch])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+        held = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column("bucket").to_numpy()
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            for part in (batch.slice(0, cut), batch.slice(cut)):
+                if not part.num_rows:
+                    continue
+                if held >= STEP and left[-1].column("bucket")[-1] != part.column("bucket")[0]:
+                    if (out := found(left)) is not None:
+                        yield out
+                    left, held = [], 0
+                left.append(part)
+                held += int(length(part.column("words"), 4).sum())
+        if left and (out := found(left)) is not None:
+            yield out
+
+    return run
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, q: int = Q, within: bool = False) -> DataFrame:
     """Maximal spans of words all of whose ``min_words``-word windows, overlapping, another document has too.
 
     Columns: doc_id, first_word, end_word (exclusive; words are what white space separates, from 0),
     n_words, first_doc_id (the least doc_id that has one of the span's windows: where it is doc_id itself,
-    the span is the passage's first occurrence).  A document is a distinct (doc_id, text): repeated rows are
-    one document with one result, and two texts under one doc_id, or under a null one, are two documents.
-    Texts that are null, empty or of fewer words than min_words have no span; an empty table has an empty
-    result; columns beside doc_id and text have no part.
+    the span is the passage's first occurrence).  With within, another place in the same document will do.
+    A document is a distinct (doc_id, text): repeated rows are one document with one result, and two texts
+    under one doc_id, or under a null one, are two documents.  Documents tie for first only under one doc_id.
+    Texts that are null, empty or of fewer words than min_words have no span; very long ones have all of
+    theirs; an empty table has an empty result; columns beside doc_id and text have no part.
     """
     if not 1 <= q <= min_words:
         raise ValueError("q must be from 1 to min_words")
     text, doc_id = docs["text"].cast("string"), docs["doc_id"].cast("long")
-    # the written order of the shuffle is by bucket, so a task holds one bucket and a few thousand rows
+    keyed = docs.select(F.xxhash64(doc_id, F.isnull(doc_id), text).alias("doc_key"), doc_id.alias("doc_id"), text.alias("text"))
+    if within:  # else a repeated row would be a second place
+        keyed = keyed.dropDuplicates(["doc_key"])
     runs = (
-        docs.select(F.xxhash64(doc_id, F.isnull(doc_id), text).alias("doc_key"), doc_id.alias("doc_id"), text.alias("text"))
-        .mapInArrow(_suffixes(min_words, q), "bucket long, doc_key long, doc_id long, start int, ids binary")
+        keyed.mapInArrow(_runs(min_words, q), "bucket long, words binary, places binary")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_repeats, "doc_key long, doc_id long, start int, last int, first_doc_id long")
+        .mapInArrow(_repeats(min_words, q, within), "doc_key long, doc_id long, start long, last long, first_doc_id long")
     )
     w = Window.partitionBy("doc_key", "doc_id").orderBy("start", "last")
     end = F.col("last") + min_words
