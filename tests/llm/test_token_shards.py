@@ -1,6 +1,9 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from phrasemill.llm import token_shards as S
 from phrasemill.llm import tokens
@@ -28,23 +31,68 @@ def sequences(texts, seq_len):
     return out
 
 
+TEXTS = [f"Document {i} says {'a harbour town ' * (i % 9)}and ends." for i in range(60)] + [LONG[:5000], None, ""]
+
+
+def stored(texts, path, rows):
+    """A file of small row groups, so that tasks may be cut in many ways."""
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), path, row_group_size=rows)
+
+
 def test_shards_hold_every_sequence(spark, tmp_path):
-    texts = [f"Document {i} says {'a harbour town ' * (i % 9)}and ends." for i in range(60)] + [LONG[:5000], None, ""]
-    docs = documents(spark, list(enumerate(texts)))
-    order = S.training_order(docs, seq_len=16, shard_rows=32)
-    made = order.collect()
+    stored(TEXTS, tmp_path / "documents.parquet", 100)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    made = S.training_order(docs, seq_len=16, shard_rows=32).collect()
     n = len(made)
-    assert sorted(r.slot for r in made) == list(range(n))
+    assert [r.slot for r in made] == list(range(n))
     assert all(r.shard == r.slot // 32 and r.byte_offset == r.slot % 32 * 32 for r in made)
+    # the slot of each sequence: numbered in the order of the file, then permuted
+    expected = sequences(TEXTS, 16)
+    slots = S.permuted(np.arange(n), n)
+    by_slot = {r.slot: tuple(np.frombuffer(r.tokens, "<u2").tolist()) for r in made}
+    assert [by_slot[s] for s in slots.tolist()] == expected
     folder = str(tmp_path / "shards")
-    written = S.write_shards(order, folder).collect()
-    assert sum(r.rows for r in written) == n and all(r.is_new and r.n_bytes == r.rows * 32 for r in written)
-    read = [tuple(x.tolist()) for x in S.read_from(folder, 0, 16, 32)]
-    assert read == [tuple(np.frombuffer(r.tokens, "<u2").tolist()) for r in sorted(made, key=lambda r: r.slot)]
-    assert sorted(read) == sorted(sequences(texts, 16))
-    assert [tuple(x.tolist()) for x in S.read_from(folder, 45, 16, 32)] == read[45:]  # resumed
-    again = S.write_shards(order, folder).collect()
-    assert not any(r.is_new for r in again)
+    written = S.write_shards(docs, folder, seq_len=16, shard_rows=32).collect()
+    assert all(r.is_new for r in written)
+    assert [tuple(r)[:6] for r in written] == [tuple(r)[:6] for r in made]
+    read = [tuple(x.tolist()) for x in S.read_from(folder, 0)]
+    assert read == [by_slot[s] for s in range(n)]
+    assert [tuple(x.tolist()) for x in S.read_from("file:" + folder, 45)] == read[45:]  # resumed
+    for r in written[::7]:
+        data = open(r.path, "rb").read()[r.byte_offset : r.byte_offset + 32]
+        assert tuple(np.frombuffer(data, "<u2").tolist()) == read[r.slot]
+
+
+def test_slots_are_the_same_under_any_split(spark, tmp_path):
+    stored(TEXTS * 4, tmp_path / "documents.parquet", 10)
+    found, folder, before = [], str(tmp_path / "shards"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "2k", "700b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+            found.append((docs.rdd.getNumPartitions(), S.training_order(docs, seq_len=16, shard_rows=32).collect()))
+            new = {r.path: r.is_new for r in S.write_shards(docs, folder, seq_len=16, shard_rows=32).collect()}
+            # a broken run is taken up under another split; a file of the right length with other bytes is replaced
+            assert all(new.values()) if size == "128m" else [p for p, x in new.items() if x] == [bad]
+            bad = sorted(new)[1]
+            open(bad, "r+b").write(b"\0" * 64)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({n for n, _ in found}) > 1
+    assert found[0][1] == found[1][1] == found[2][1]
+
+
+def test_a_shorter_corpus_in_the_same_folder(spark, tmp_path):
+    folder = str(tmp_path / "shards")
+    for texts in (TEXTS, TEXTS[:20]):
+        S.write_shards(documents(spark, list(enumerate(texts))), folder, seq_len=16, shard_rows=32).collect()
+        assert sorted(tuple(x.tolist()) for x in S.read_from(folder, 0)) == sorted(sequences(texts, 16))
+
+
+def test_tables_that_are_not_files(spark):
+    docs = documents(spark, list(enumerate(TEXTS)))
+    order = lambda d: S.training_order(d, seq_len=16).collect()
+    assert order(docs) == order(docs.repartition(5)) == order(docs.withColumn("_metadata", F.lit(1)))
 
 
 def test_hard_rows(spark):
