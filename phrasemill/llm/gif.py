@@ -19,7 +19,10 @@ from .common import table
 
 #: two bits a channel
 BINS = 64
+#: pixels of a canvas or a frame beyond which it is an error: as many bytes of RGBA as an executor can hold a few times
 MOST_PIXELS = 1 << 26
+#: bytes of frames that a task holds before it hands them on
+HELD = 32_000_000
 
 
 class Frame(NamedTuple):
@@ -138,19 +141,22 @@ def _rows(height: int) -> list[int]:
     return [y for start, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(start, height, step)]
 
 
-def decode(data: bytes) -> list[Shown]:
-    """The frames in order.  ValueError says what is wrong with the data."""
+def shown_frames(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Shown]:
+    """The frames in order, one at a time: a frame's rgba is the canvas itself, which the next one draws on.
+
+    ValueError says what is wrong with the data, once the frames before that have come.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     try:
         width, height, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
-        if width * height > MOST_PIXELS:
+        if width * height > most_pixels:
             raise ValueError("the canvas is too large")
         at, shared = 13, None
         if flags & 0x80:
             n = 2 << (flags & 7)
             shared, at = np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(n, 3), at + 3 * n
-        canvas, shown, time = np.zeros((height, width, 4), np.uint8), [], 0
+        canvas, time = np.zeros((height, width, 4), np.uint8), 0
         delay, disposal, transparent = 0, 0, None
         while (kind := data[at]) != 0x3B:
             if kind == 0x21:
@@ -171,7 +177,7 @@ def decode(data: bytes) -> list[Shown]:
             least = data[at]
             if not 1 <= least <= 11:
                 raise ValueError("a code size out of range")
-            if w * h > MOST_PIXELS:
+            if w * h > most_pixels:
                 raise ValueError("a frame is too large")
             code, at = _blocks(data, at + 1)
             own = np.frombuffer(lzw_decode(code, least, w * h), np.uint8)
@@ -189,18 +195,22 @@ def decode(data: bytes) -> list[Shown]:
             if (own[drawn] >= len(palette)).any():
                 raise ValueError("a colour that isn't in the palette")
             area[drawn, :3], area[drawn, 3] = palette[own[drawn]], 255
-            shown.append(Shown(time, 10 * delay, disposal, canvas.copy()))
+            yield Shown(time, 10 * delay, disposal, canvas)
             time += 10 * delay
             if disposal == 2:
                 area[:] = 0
             elif disposal == 3:
                 canvas = before
             delay, disposal, transparent = 0, 0, None
-        return shown
     except (IndexError, struct.error):
         raise ValueError("the data end early") from None
 
 
+def decode(data: bytes) -> list[Shown]:
+    """All frames at once.  ValueError says what is wrong with the data."""
+    return [f._replace(rgba=f.rgba.copy()) for f in shown_frames(data)]
+
+
 def encode(width: int, height: int, palette: np.ndarray, frames: list[Frame]) -> bytes:
     """An animated GIF.  palette: n x 3, n a power of two from 2 to 256."""
     bits = lambda p: max(1, int(len(p) - 1).bit_length())
@@ -221,19 +231,24 @@ def encode(width: int, height: int, palette: np.ndarray, frames: list[Frame]) ->
 
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """Opaque pixels by colour: two bits of red, of green, of blue."""
-    c = rgba[rgba[..., 3] > 0][:, :3].astype(np.int64) >> 6
-    return np.bincount(c[:, 0] * 16 + c[:, 1] * 4 + c[:, 2], minlength=BINS)
+    flat, out = rgba.reshape(-1, 4), np.zeros(BINS, np.int64)
+    for i in range(0, len(flat), 1 << 20):
+        part = flat[i : i + (1 << 20)]
+        c = part[part[:, 3] > 0] >> 6
+        out += np.bincount(c[:, 0] * 16 + c[:, 1] * 4 + c[:, 2], minlength=BINS)
+    return out
 
 
 FIELDS = "media_id long, frame int, start_ms long, delay_ms long, disposal int, width int, height int, n_opaque long, histogram array<int>, rgba binary, error string"
 
 
-def frames(media: DataFrame, id_column: str = "media_id", data_column: str = "data") -> DataFrame:
+def frames(media: DataFrame, id_column: str = "media_id", data_column: str = "data", most_pixels: int = MOST_PIXELS) -> DataFrame:
     """A row for each frame of each GIF: FIELDS.
 
-    Data that are null, empty, cut off or no GIF have one row, with ``error`` and nulls; a GIF without a
-    frame has none.  Repeated rows have frames each; a null id stays null; an empty table has an empty
-    result; further columns have no part.  A canvas of more than MOST_PIXELS is an error, not a crash.
+    Data that are null, empty, cut off, no GIF or of a larger canvas than most_pixels have a row with ``error`` and
+    nulls, behind the rows of the frames that come before the fault; a GIF without a frame has none.  Many or large
+    frames are handed on as they are decoded: a task holds HELD bytes of them and one frame more.  Repeated
+    rows have frames each; a null id stays null; an empty table has an empty result; further columns have no part.
     """
     names = [f.split()[0] for f in FIELDS.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.string()]
@@ -246,15 +261,15 @@ def frames(media: DataFrame, id_column: str = "media_id", data_column: str = "da
             rows, held = [], 0
             for media_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    for i, f in enumerate(decode(data.as_py() or b"")):
+                    for i, f in enumerate(shown_frames(data.as_py() or b"", most_pixels)):
                         h, w = f.rgba.shape[:2]
                         rows.append((media_id, i, f.start_ms, f.delay_ms, f.disposal, w, h, int((f.rgba[..., 3] > 0).sum()), histogram(f.rgba), f.rgba.tobytes(), None))
                         held += f.rgba.size
+                        if held > HELD or len(rows) > 5000:
+                            yield made(rows)
+                            rows, held = [], 0
                 except ValueError as e:
                     rows.append((media_id, *[None] * 9, str(e)))
-                if held > 32_000_000 or len(rows) > 5000:
-                    yield made(rows)
-                    rows, held = [], 0
             if rows:
                 yield made(rows)
 

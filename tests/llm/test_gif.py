@@ -90,6 +90,30 @@ def test_hard_rows(spark):
     assert gif.frames(media.limit(0)).count() == 0
 
 
+def test_frames_before_a_fault_are_kept(spark):
+    good = gif.encode(8, 8, gif.PALETTE, gif.drawing(np.linspace(-0.5, 0.5, 64)))
+    last = good.rindex(b"\x21\xf9\x04")
+    media = spark.createDataFrame([(1, good[: last + 30]), (2, good)], "media_id long, data binary")
+    out = gif.frames(media).toPandas().set_index("media_id")
+    assert out.loc[1].error.isna().tolist() == [True, True, True, False]
+    assert out.loc[1].rgba.tolist()[:3] == out.loc[2].rgba.tolist()[:3]
+    assert gif.frames(media.where("media_id = 2"), most_pixels=63).toPandas().error.tolist() == ["the canvas is too large"]
+
+
+def test_many_frames_on_a_large_canvas_are_handed_on():
+    """50 frames of one pixel on 1000 x 1000: one canvas is held, not 50."""
+    import tracemalloc
+
+    one = np.zeros((1, 1), np.uint8)
+    data = gif.encode(1000, 1000, gif.PALETTE, [gif.Frame(i, i, one + i % 16, disposal=1 + i % 3) for i in range(50)])
+    tracemalloc.start()
+    opaque = [int(gif.histogram(f.rgba).sum()) for f in gif.shown_frames(data)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(opaque) == 50 and peak < 40_000_000
+    assert opaque[:5] == [1, 2, 2, 2, 3]  # the second is cleared, the third taken back
+
+
 def test_query_draws_what_it_decodes(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.2, 64)]) for i in range(5)] + [(9, None), (10, [1.0] * 3)]
