@@ -36,7 +36,16 @@ def test_hard_rows(spark):
     assert packing.packed(empty(spark)).count() == 0
 
 
-def test_bucket_report(spark):
-    out = packing.packed(hard(spark))
-    report = {r.bucket: (r.sequences, r.tokens) for r in packing.bucket_report(out).collect()}
-    assert all(t == n << b for b, (n, t) in report.items())
+def test_batches_hold_pieces_of_one_length(spark):
+    docs = documents(spark, [(i, f"harbour {i} and the boats " * (1 + i % 40)) for i in range(300)] + [(999, LONG)]).repartition(3)
+    out = packing.packed(docs, max_log=8, batch_tokens=1024).toPandas()
+    short = 0
+    for _, own in out.groupby("batch"):
+        assert own.bucket.nunique() == 1
+        assert own.n_tokens.sum() <= 1024
+        short += own.n_tokens.sum() < 1024
+    assert short <= 3 * 9  # the last one of each task and bucket
+    report = {r.bucket: (r.sequences, r.tokens, r.batches) for r in packing.bucket_report(packing.packed(docs, max_log=8, batch_tokens=1024)).collect()}
+    assert all(t == n << b and out[out.bucket == b].batch.nunique() == k for b, (n, t, k) in report.items())
+    one = packing.packed(documents(spark, [(1, LONG)]), batch_tokens=1).toPandas()
+    assert one.batch.nunique() == len(one)
