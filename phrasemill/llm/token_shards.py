@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import table, written
 from .tokens import END, VOCABULARY, encoder
 
 SEQ_LEN, SHARD_ROWS, SEED, ROUNDS = 512, 8192, 20240917, 4
@@ -143,6 +143,40 @@ def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int =
     return _ordered(docs, vocabulary, seq_len, shard_rows, seed)[0]
 
 
+SHARDS = "shard int, first_slot long, n_rows int, stride int, doc_ids array<long>, seqs array<int>, n_tokens array<int>, data binary"
+
+
+def _assembled(seq_len: int):
+    names = [f.split()[0] for f in SHARDS.split(", ")]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(own: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(own)
+            lists = [rows[c].to_pylist() for c in ("doc_id", "seq", "n_tokens")]
+            made = (own[0].column("shard")[0].as_py(), own[0].column("slot")[0].as_py(), rows.num_rows, 2 * seq_len, *lists, b"".join(rows["tokens"].to_pylist()))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made, types)], names=names)
+
+        own: list[pa.RecordBatch] = []  # of one shard
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            for part in np.split(np.arange(len(shard)), np.nonzero(np.diff(shard))[0] + 1):
+                if own and len(part) and own[0].column("shard")[0].as_py() != shard[part[0]]:
+                    yield whole(own)
+                    own = []
+                if len(part):
+                    own.append(batch.slice(int(part[0]), len(part)))
+        if own:
+            yield whole(own)
+
+    return run
+
+
+def shards(docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
+    """SHARDS: a row for each shard, data its n_rows * stride bytes, the lists what each of its rows is.  See training_order()."""
+    return training_order(docs, vocabulary, seq_len, shard_rows, seed).mapInArrow(_assembled(seq_len), SHARDS)
+
+
 def _files(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     if folder.startswith("file:/") and not folder.startswith("file://"):
         folder = "file://" + folder[5:]
@@ -150,9 +184,9 @@ def _files(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
-    """training_order() as folder/shard-NNNNNN.bin; its rows without tokens, with path and is_new of their shard.
+    """shards() as folder/shard-NNNNNN.bin: shard, n_rows, path, is_new.
 
-    The shards are written as the rows are computed; folder/manifest.json, which says how many sequences there
+    The files are written as the rows are computed; folder/manifest.json, which says how many sequences there
     are, at once.  folder is a path or URI that all executors see: local, or any file system of pyarrow.fs
     (hdfs, s3, gs).  A shard appears whole, by renaming.  One that is there with the very bytes it should have
     is left as it is, so a broken run is taken up where it ended; any other is replaced.
@@ -162,41 +196,26 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, seq
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps({"n": n, "seq_len": seq_len, "shard_rows": shard_rows, "seed": seed}).encode())
-    names = ["shard", "slot", "byte_offset", "doc_id", "seq", "n_tokens", "path", "is_new"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _files(folder)
-
-        def close(own: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            path = f"{root}/shard-{own[0].column('shard')[0].as_py():06d}.bin"
-            data = b"".join(t for b in own for t in b.column("tokens").to_pylist())
-            info = fs.get_file_info(path)
-            new = info.type != pyarrow.fs.FileType.File or info.size != len(data)
-            if not new:
-                with fs.open_input_stream(path) as f:
-                    new = f.read() != data
-            if new:
-                part = f"{path}.{uuid.uuid4().hex}"
-                with fs.open_output_stream(part) as f:
-                    f.write(data)
-                fs.move(part, path)
-            for b in own:
-                n = b.num_rows
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:6]), pa.array([path] * n), pa.array([new] * n)], names=names)
-
-        own: list[pa.RecordBatch] = []  # of one shard
         for batch in batches:
-            shard = batch.column("shard").to_numpy()
-            for part in np.split(np.arange(len(shard)), np.nonzero(np.diff(shard))[0] + 1):
-                if own and len(part) and own[0].column("shard")[0].as_py() != shard[part[0]]:
-                    yield from close(own)
-                    own = []
-                if len(part):
-                    own.append(batch.slice(int(part[0]), len(part)))
-        if own:
-            yield from close(own)
-
-    return rows.mapInArrow(run, "shard int, slot long, byte_offset long, doc_id long, seq int, n_tokens int, path string, is_new boolean")
+            for shard, n_rows, data in zip(*(c.to_pylist() for c in batch.columns)):
+                path = f"{root}/shard-{shard:06d}.bin"
+                info = fs.get_file_info(path)
+                new = info.type != pyarrow.fs.FileType.File or info.size != len(data)
+                if not new:
+                    with fs.open_input_stream(path) as f:
+                        new = f.read() != data
+                if new:
+                    part = f"{path}.{uuid.uuid4().hex}"
+                    with fs.open_output_stream(part) as f:
+                        f.write(data)
+                    fs.move(part, path)
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (np.int32(shard), np.int32(n_rows), path, new)], names=["shard", "n_rows", "path", "is_new"])
+
+    made = rows.mapInArrow(_assembled(seq_len), SHARDS).select("shard", "n_rows", "data")
+    return made.mapInArrow(run, "shard int, n_rows int, path string, is_new boolean")
 
 
 def read_from(folder: str, slot: int) -> Iterator[np.ndarray]:
@@ -215,6 +234,5 @@ def read_from(folder: str, slot: int) -> Iterator[np.ndarray]:
 
 
 def op6_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards in the shared folder; the rows say where each sequence is in them."""
-    name = uuid.uuid5(uuid.NAMESPACE_URL, sf_dir).hex
-    return write_shards(table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/phrasemill-shards-{name}")
+    """The shards themselves, so that they go where the result goes."""
+    return shards(table(spark, sf_dir, "documents"))

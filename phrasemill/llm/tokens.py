@@ -1,8 +1,6 @@
 """Token ids of a public byte-level BPE vocabulary, as little-endian uint16.
 
-The vocabulary's path is a parameter; nothing of it is kept here.  Texts are cut before single spaces,
-where the vocabulary's own pre-tokenizer always cuts, and the pieces' ids are remembered: the same ids as
-encoding the whole text, several times faster.
+The vocabulary's path is a parameter; nothing of it is kept here.
 """
 
 from __future__ import annotations
@@ -11,7 +9,7 @@ import base64
 
 import numpy as np
 
-from .common import Known, kept
+from .common import kept
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256  # free in the vocabulary; it fills what a sequence has left
@@ -33,17 +31,10 @@ def encoding(path: str):
 
 def encoder(path: str = VOCABULARY):
     """A function from a text to its ids as bytes."""
-    encode = encoding(path).encode_ordinary
-    pieces = kept(f"pieces {path}", lambda: Known(lambda piece: np.array(encode(piece), "<u2").tobytes(), 300_000))
+    encode = encoding(path).encode_to_numpy
 
     def ids(text: str) -> bytes:
-        if not text:
-            return b""
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return np.array(encode(text), "<u2").tobytes()
-        first, *rest = text.split(" ")
-        get = pieces.__getitem__
-        return b"".join([get(first), *[get(" " + x) for x in rest]])
+        return encode(text, disallowed_special=()).astype("<u2").tobytes() if text else b""
 
     return ids
 

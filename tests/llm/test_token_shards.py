@@ -53,14 +53,14 @@ def test_shards_hold_every_sequence(spark, tmp_path):
     assert [by_slot[s] for s in slots.tolist()] == expected
     folder = str(tmp_path / "shards")
     written = S.write_shards(docs, folder, seq_len=16, shard_rows=32).collect()
-    assert all(r.is_new for r in written)
-    assert [tuple(r)[:6] for r in written] == [tuple(r)[:6] for r in made]
+    assert all(r.is_new for r in written) and sum(r.n_rows for r in written) == n
     read = [tuple(x.tolist()) for x in S.read_from(folder, 0)]
     assert read == [by_slot[s] for s in range(n)]
     assert [tuple(x.tolist()) for x in S.read_from("file:" + folder, 45)] == read[45:]  # resumed
-    for r in written[::7]:
-        data = open(r.path, "rb").read()[r.byte_offset : r.byte_offset + 32]
-        assert tuple(np.frombuffer(data, "<u2").tolist()) == read[r.slot]
+    whole = S.shards(docs, seq_len=16, shard_rows=32).collect()
+    assert [(r.shard, r.first_slot, r.n_rows, r.stride) for r in whole] == [(i, 32 * i, min(32, n - 32 * i), 32) for i in range(-(-n // 32))]
+    assert [bytes(r.data) for r in whole] == [open(r.path, "rb").read() for r in written]
+    assert [x for r in whole for x in zip(r.doc_ids, r.seqs, r.n_tokens)] == [(r.doc_id, r.seq, r.n_tokens) for r in made]
 
 
 def test_slots_are_the_same_under_any_split(spark, tmp_path):
@@ -104,3 +104,4 @@ def test_hard_rows(spark):
     assert S.training_order(empty(spark)).count() == 0
     assert S.training_order(documents(spark, [(1, None), (2, "")])).count() == 0
     assert S.training_order(documents(spark, [(1, "one")])).count() == 1
+    assert sum(r.n_rows for r in S.shards(docs, seq_len=64, shard_rows=100).collect()) == len(made) and S.shards(empty(spark)).count() == 0
