@@ -2,9 +2,11 @@
 
 A linear classifier over the presence of words and word beginnings (and of two or three words that begin so) minimises the non-negative PU risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
-with the logistic loss, by proximal Adam steps in numpy.  Positives are documents labelled toxic; the
-unlabelled ones are labelled documents whose labels are hidden, except that their toxic share gives the
-class prior.  Both samples are bounded (MOST_POSITIVE, MOST_UNLABELLED); all documents are scored.
+with the logistic loss, by proximal Adam steps in numpy.  Positives are documents labelled toxic; the unlabelled
+ones are documents without a label, and no label of a clean document is looked at.  The class prior is estimated from the same two samples:
+a classifier fitted on one half of each scores the other, and the prior is the least ratio of the unlabelled to
+the positives above a score.  Both samples are bounded (MOST_POSITIVE, MOST_UNLABELLED), so is the number of
+features (MOST_FEATURES); Spark counts the features, the driver gets their numbers only.  All documents are scored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import Known, plain, table
 
-MOST_POSITIVE, MOST_UNLABELLED, SEED = 2000, 6000, 11
+MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES, SEED = 2000, 6000, 200_000, 11
+#: the prior that is assumed until it is estimated
+FIRST_PRIOR, PRIOR_ROUNDS = 0.1, 3
 BEGINNING = 5
 L1, STEPS, RATE = 4e-4, 300, 0.08
 
@@ -29,6 +33,7 @@ class Model(NamedTuple):
     bias: float
     weights: dict[bytes, float]
     prior: float
+    clipped: int = 0  # steps at which the clean risk was below 0
 
 
 def features(word: bytes) -> tuple[bytes, ...]:
@@ -48,35 +53,49 @@ def document_features(text: str | None) -> set[bytes]:
     return counted(features(w) for w in words if w)
 
 
-def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float, l1: float = L1, steps: int = STEPS, rate: float = RATE) -> Model:
-    """The classifier; one that calls nothing toxic if there is no positive example or no feature twice."""
-    prior = min(max(prior, 1e-3), 0.9)
-    seen = Counter(f for d in positive for f in d)
-    vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 2))}
-    if not positive or not unlabelled or not vocabulary:
-        return Model(-10.0, {}, prior)
+class Rows(NamedTuple):
+    """A sample as a sparse matrix of ones: entry i is feature[i] of row[i]."""
 
-    def rows(docs: list[set[bytes]]):
-        at = [[vocabulary[f] for f in d if f in vocabulary] for d in docs]
-        return np.repeat(np.arange(len(at)), [len(a) for a in at]), np.array([i for a in at for i in a], np.int64), len(at)
+    row: np.ndarray
+    feature: np.ndarray
+    n: int
 
-    p, u = rows(positive), rows(unlabelled)
-    m, w, b = len(vocabulary), np.zeros(len(vocabulary)), -1.0
-    out = lambda x, w, b: np.bincount(x[0], w[x[1]], minlength=x[2]) + b
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    # the gradients of the mean logistic losses by w and b, for calling the rows toxic (-1) or clean (0)
-    grad = lambda x, z, target: (np.bincount(x[1], ((sigmoid(z) - target) / x[2])[x[0]], minlength=m), float((sigmoid(z) - target).mean()))
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Rows:
+        return cls(np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate([np.empty(0, np.int64), *docs]).astype(np.int64), len(docs))
+
+    def score(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.row, w[self.feature], minlength=self.n) + b
+
+
+def risk(p: Rows, u: Rows, w: np.ndarray, b: float, prior: float) -> tuple[float, float]:
+    """The two terms: prior * R_p(+), and R_u(-) - prior * R_p(-), which the estimator holds at 0 or more."""
     soft = lambda z: float(np.logaddexp(0, z).mean())
-    first, second, fb, sb = np.zeros(m), np.zeros(m), 0.0, 0.0
+    zp = p.score(w, b)
+    return prior * soft(-zp), soft(u.score(w, b)) - prior * soft(zp)
+
+
+def gradient(p: Rows, u: Rows, w: np.ndarray, b: float, prior: float) -> tuple[np.ndarray, float, bool]:
+    """By w and b, and whether the second term is clipped: of the risk, or, where that is so, of less the second term, to get it back."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def one(x: Rows, target: float) -> tuple[np.ndarray, float]:
+        each = (sigmoid(x.score(w, b)) - target) / x.n
+        return np.bincount(x.feature, each[x.row], minlength=len(w)), float(each.sum())
+
+    (pg, pgb), (ng, ngb), (ug, ugb) = one(p, 1.0), one(p, 0.0), one(u, 0.0)
+    if risk(p, u, w, b, prior)[1] >= 0:
+        return prior * pg + ug - prior * ng, prior * pgb + ugb - prior * ngb, False
+    return prior * ng - ug, prior * ngb - ugb, True
+
+
+def fit(p: Rows, u: Rows, n_features: int, prior: float, l1: float = L1, steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, float, int]:
+    """Weights, bias and the number of clipped steps."""
+    w, b, clipped = np.zeros(n_features), -1.0, 0
+    first, second, fb, sb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for step in range(1, steps + 1):
-        zp, zu = out(p, w, b), out(u, w, b)
-        pg, pgb = grad(p, zp, 1.0)
-        ng, ngb = grad(p, zp, 0.0)
-        ug, ugb = grad(u, zu, 0.0)
-        if soft(zu) - prior * soft(zp) >= 0:
-            g, gb = prior * pg + ug - prior * ng, prior * pgb + ugb - prior * ngb
-        else:  # the clean risk has gone below what it can be: step back from there
-            g, gb = prior * ng - ug, prior * ngb - ugb
+        g, gb, below = gradient(p, u, w, b, prior)
+        clipped += below
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         fb, sb = 0.9 * fb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
@@ -84,32 +103,90 @@ def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float,
         w = w - scale * first / c1
         w = np.sign(w) * np.maximum(0, np.abs(w) - scale * l1)
         b -= rate * (fb / c1) / (np.sqrt(sb / c2) + 1e-6)
-    names = sorted(vocabulary, key=vocabulary.__getitem__)
-    return Model(float(b), {names[i]: float(w[i]) for i in np.nonzero(w)[0]}, prior)
+    return w, float(b), clipped
+
 
+def estimated_prior(p: list[np.ndarray], u: list[np.ndarray], n_features: int) -> float:
+    """The share of positives among u: each half is scored by a classifier of the other.
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, seed: int = SEED) -> Model:
-    """A model from the labelled documents, of which at most so many are taken, in the order of a seeded hash."""
+    Above any score there are at least prior times as many of u as of p, so the least ratio over scores that
+    a fifth of p exceed bounds it, and comes near where a score tells the two apart.  A ratio of few is as likely
+    too small as too large: a standard error is added.  A classifier for the prior that was found may tell them apart better:
+    the least of a few rounds counts.
+    """
+    best, prior = 0.9, FIRST_PRIOR
+    for _ in range(PRIOR_ROUNDS):
+        x, y = [], []
+        for k in (0, 1):
+            w, b, _ = fit(Rows.of(p[k::2]), Rows.of(u[k::2]), n_features, prior, steps=STEPS // 3)
+            x.append(Rows.of(p[1 - k :: 2]).score(w, b))
+            y.append(Rows.of(u[1 - k :: 2]).score(w, b))
+        x, y = np.sort(np.concatenate(x)), np.sort(np.concatenate(y))
+        bounds = x[: max(1, int(0.8 * len(x)))]
+        of_x, of_y = len(x) - np.searchsorted(x, bounds), len(y) - np.searchsorted(y, bounds)
+        ratio = (of_y / len(y)) / (of_x / len(x)) * (1 + np.sqrt(1 / np.maximum(of_y, 1) + 1 / of_x))
+        best = min(best, max(float(ratio.min()), 1e-3))
+        if best == prior:
+            break
+        prior = best
+    return best
+
+
+def learn(p: list[np.ndarray], u: list[np.ndarray], vocabulary: list[bytes], prior: float | None = None) -> Model:
+    """The classifier; one that calls nothing toxic if there are too few examples to halve, or no feature of two of them."""
+    if len(p) < 2 or len(u) < 2 or not vocabulary:
+        return Model(-10.0, {}, prior or FIRST_PRIOR)
+    if prior is None:
+        prior = estimated_prior(p, u, len(vocabulary))
+    w, b, clipped = fit(Rows.of(p), Rows.of(u), len(vocabulary), prior)
+    return Model(b, {vocabulary[i]: float(w[i]) for i in np.nonzero(w)[0]}, prior, clipped)
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_features: int = MOST_FEATURES, seed: int = SEED
+) -> Model:
+    """A model from documents labelled toxic and documents without a label, at most so many of each, in the order of a seeded hash.
+
+    Where every document has a label, labels are hidden: the unlabelled are drawn from all.  Features are those of
+    two positive documents or more, the most frequent ones.  Labels and documents without an id don't count; of several
+    labels the worst does; documents that share an id are examples each.
+    """
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels["toxic"].cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    toxic, n = known.agg(F.sum((F.col("toxic") == 1).cast("long")), F.count("*")).first()
-    if not n:
-        return fit([], [], 0.0)
-    order = F.xxhash64("id", F.lit(seed))
-    some = known.where("toxic = 1").orderBy(order, "id").limit(most_positive).withColumn("part", F.lit(1))
-    rest = known.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(most_unlabelled).withColumn("part", F.lit(0))
-    chosen = some.union(rest).select("id", "part")  # bounded, so it is safe to broadcast
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text")).join(F.broadcast(chosen), "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids = docs.select(docs["doc_id"].cast("long").alias("id")).where("id is not null").distinct()
+    first = lambda rows, k, n: rows.orderBy(F.xxhash64("id", F.lit(seed + k)), "id").limit(n).select("id", F.lit(1 - k).alias("part")).collect()
+    chosen = first(known.where("toxic = 1").join(ids, "id", "left_semi"), 0, most_positive)
+    if not chosen:
+        return learn([], [], [])
+    chosen += first(ids.join(known, "id", "left_anti"), 1, most_unlabelled) or first(ids, 1, most_unlabelled)
+    spark = docs.sparkSession
+    picked = F.broadcast(spark.createDataFrame(chosen, "id long, part int"))  # two bounded samples of ids
+    texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text")).join(picked, "id").select("part", "id", "text")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                seen.update(document_features(text.as_py()))
+                if len(seen) > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
+                    seen = Counter()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
+
+    frequent = texts.where("part = 1").mapInArrow(counts, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n")).where("n >= 2")
+    vocabulary = sorted(bytes(r.feature) for r in frequent.orderBy(F.col("n").desc(), "feature").limit(most_features).select("feature").collect())
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {f: i for i, f in enumerate(vocabulary)}
         for batch in batches:
-            found = [b"\n".join(sorted(document_features(t.as_py()))) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), pa.array(found, pa.binary())], names=["id", "part", "found"])
-
-    taken = texts.mapInArrow(run, "id long, part int, found binary").toArrow().sort_by([("id", "ascending"), ("part", "ascending"), ("found", "ascending")])
-    part, found = taken["part"].to_pylist(), taken["found"]
-    positive = [set(f.as_py().split(b"\n")) - {b""} for f, x in zip(found, part) if x == 1]
-    own = {f: f for d in positive for f in d}  # fit() looks at no others, so the driver needn't hold them
-    return fit(positive, [{own[f] for f in d.as_py().split(b"\n") if f in own} for d, x in zip(found, part) if x == 0], toxic / n)
+            own = [sorted(at[f] for f in document_features(t.as_py()) if f in at) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("id"), pa.array(own, pa.list_(pa.int32()))], names=["part", "id", "own"])
+
+    taken = texts.mapInArrow(numbers, "part int, id long, own array<int>").toArrow()
+    rows = sorted(zip(taken["part"].to_pylist(), taken["id"].to_pylist(), (np.array(x.as_py(), np.int64) for x in taken["own"])), key=lambda r: (r[0], r[1], r[2].tolist()))
+    rng = np.random.default_rng(seed)
+    part = lambda k: (lambda own: [own[i] for i in rng.permutation(len(own))])([x for p, _, x in rows if p == k])
+    return learn(part(1), part(0), vocabulary)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
