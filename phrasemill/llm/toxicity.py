@@ -90,8 +90,9 @@ def gradient(p: Rows, u: Rows, w: np.ndarray, b: float, prior: float) -> tuple[n
 
 
 def fit(p: Rows, u: Rows, n_features: int, prior: float, l1: float = L1, steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, float, int]:
-    """Weights, bias and the number of clipped steps."""
+    """Weights and bias, the means of the last third of the steps, and the number of clipped steps, which go back and forth."""
     w, b, clipped = np.zeros(n_features), -1.0, 0
+    sum_w, sum_b, counted_ = np.zeros(n_features), 0.0, 0
     first, second, fb, sb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for step in range(1, steps + 1):
         g, gb, below = gradient(p, u, w, b, prior)
@@ -103,7 +104,9 @@ def fit(p: Rows, u: Rows, n_features: int, prior: float, l1: float = L1, steps:
         w = w - scale * first / c1
         w = np.sign(w) * np.maximum(0, np.abs(w) - scale * l1)
         b -= rate * (fb / c1) / (np.sqrt(sb / c2) + 1e-6)
-    return w, float(b), clipped
+        if 3 * step > 2 * steps:
+            sum_w, sum_b, counted_ = sum_w + w, sum_b + b, counted_ + 1
+    return sum_w / max(1, counted_), float(sum_b / max(1, counted_)), clipped
 
 
 def estimated_prior(p: list[np.ndarray], u: list[np.ndarray], n_features: int) -> float:
