@@ -326,8 +326,8 @@ def deduplicated(docs: DataFrame, total: int = TOTAL) -> DataFrame:
         "rows",
     )
     of_groups, _, _ = _grouped(rows.drop("row"), total)
-    # a row's number is its own, so no key of this join is hot
-    return rows.where("hi IS NOT NULL").join(of_groups.select(F.col("kept").alias("uid")), "uid").select("row.*").union(rows.where("hi IS NULL").select("row.*"))
+    # a row's number is its own, so no key of this join is hot; a small table is joined as a large one is
+    return rows.where("hi IS NOT NULL").join(of_groups.select(F.col("kept").alias("uid")).hint("merge"), "uid").select("row.*").union(rows.where("hi IS NULL").select("row.*"))
 
 
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
