@@ -2,7 +2,8 @@
 
 The tokenizer follows Unicode's rules for words and sentences as far as regular expressions that Java, RE2
 and Python agree on can: sentences end behind . ! ? and their CJK forms and at line ends, not before a
-lower-case letter; words keep inner apostrophes and full stops; Han and Hiragana stand alone.
+lower-case letter; words keep marks between letters (a full stop, an apostrophe, a colon) and between digits (a
+full stop, a comma), so ``1,000`` is one word; Han and Hiragana stand alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,11 @@ SENTENCE_ENDS = (
     (r"""([\r\n]+)""", 1, 0),
 )
 IDEOGRAPH = r"[\p{IsHan}\p{IsHiragana}]"
-WORD = r"[\p{L}\p{M}\p{N}_&&[^\p{IsHan}\p{IsHiragana}]]+(?:['’.][\p{L}\p{N}_&&[^\p{IsHan}\p{IsHiragana}]]+)*"
+_RUN = r"[\p{L}\p{M}\p{N}_&&[^\p{IsHan}\p{IsHiragana}]]++"
+#: what may be within a word, between letters and between digits
+BETWEEN_LETTERS, BETWEEN_DIGITS = ":.'’·", ",.;'’"
+#: possessive, so that Java goes through a long row of numbers without a recursion for each
+WORD = rf"{_RUN}(?:(?:(?<=[\p{{L}}\p{{M}}])[{BETWEEN_LETTERS}](?=\p{{L}})|(?<=\p{{N}})[{BETWEEN_DIGITS}](?=\p{{N}})){_RUN})*+"
 GAP = r"[^\p{L}\p{M}\p{N}_]+"
 HAS_LETTER = r"[\p{L}\p{N}]"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
@@ -158,6 +163,7 @@ def py_patterns():
     import regex
 
     to_py = lambda p: regex.compile(p.replace("Is", ""), regex.V1)
-    word = r"[[\p{L}\p{M}\p{N}_]--[\p{Han}\p{Hiragana}]]+(?:['’.][[\p{L}\p{N}_]--[\p{Han}\p{Hiragana}]]+)*"
+    run = r"[[\p{L}\p{M}\p{N}_]--[\p{Han}\p{Hiragana}]]++"
+    word = rf"{run}(?:(?:(?<=[\p{{L}}\p{{M}}])[{BETWEEN_LETTERS}](?=\p{{L}})|(?<=\p{{N}})[{BETWEEN_DIGITS}](?=\p{{N}})){run})*+"
     ends = [(to_py(p), f"\\{a}{MARK}" + (f"\\{b}" if b else "")) for p, a, b in SENTENCE_ENDS]
     return ends, regex.compile(rf"[\p{{Han}}\p{{Hiragana}}]|{word}", regex.V1)

@@ -58,7 +58,7 @@ class Result(NamedTuple):
 # ---- tokens
 
 
-def tokenizer(extra: Sequence[str] = ()) -> Callable[[str | None, str | None], list[Token]]:
+def tokenizer(extra: Sequence[str] = (), min_length: int = 1) -> Callable[[str | None, str | None], list[Token]]:
     """A function (text, language) to tokens, that remembers words."""
     ends, item = T.py_patterns()
     stops = {code: StopWords(code).add(extra).words for code in LISTS}
@@ -80,7 +80,7 @@ def tokenizer(extra: Sequence[str] = ()) -> Callable[[str | None, str | None], l
             if piece.strip():
                 for m in item.finditer(piece):
                     word = m[0]
-                    if any(c.isalnum() for c in word):
+                    if len(word) >= min_length and any(c.isalnum() for c in word):
                         lemma, pos, low = known(word)
                         out.append(Token(word, lemma, pos, at + m.start(), at + m.end(), sentence, low in stop))
                 sentence += 1
@@ -731,7 +731,7 @@ def clusters(docs: DataFrame, plan: Plan) -> DataFrame:
             rows = []
             for i, t in zip(ids, tokens):
                 cands = phrase_candidates(t, plan.config, plan.max_phrases)
-                for c, members in enumerate(hac(jaccard_distances([x.terms for x in cands]), plan.cluster_threshold or 0.25, plan.linkage) if cands else []):
+                for c, members in enumerate(hac(jaccard_distances([x.terms for x in cands]), 0.25 if plan.cluster_threshold is None else plan.cluster_threshold, plan.linkage) if cands else []):
                     rows += [(i, m, c, cands[m].lemma) for m in members]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "cand", "cluster", "lemma"])

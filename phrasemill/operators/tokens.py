@@ -1,10 +1,12 @@
-"""Documents to tokens and sentences.  One shuffle by doc_id; everything that follows on doc_id reuses it."""
+"""Documents to tokens and sentences, without a shuffle."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,37 +14,48 @@ from ..functions.stopwords import language_of, stopword_table
 from .spread import spread
 
 
-def items(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, piece, sentence (its text), k, item: words and gaps of docs(doc_id, text, lang?)."""
+def items(docs: DataFrame, min_length: int = 1) -> DataFrame:
+    """doc_id, lang, items: words and gaps of docs(doc_id, text, lang?) in order, whether each is a word and whether it begins a sentence."""
     lang = docs["lang"] if "lang" in docs.columns else F.lit("en")
     whole = spread(docs.select("doc_id", docs["text"].alias("text"), lang.alias("lang")))
-    cut = whole.select("doc_id", "lang", F.posexplode(T.sentences_of(whole["text"])).alias("piece", "sentence"))
-    return cut.select("doc_id", "lang", "piece", "sentence", F.posexplode(T.items_of(F.col("sentence"))).alias("k", "item"))
 
+    def of(sentence: Column) -> Column:
+        is_word = lambda x: T.is_word(x) & (F.length(x) >= min_length) if min_length > 1 else T.is_word(x)
+        return F.transform(T.items_of(sentence), lambda x, k: F.struct(x.alias("text"), is_word(x).alias("word"), ((k == 0) & sentence.rlike(r"\S")).alias("head")))
 
-def tokens(docs: DataFrame, extra_stopwords: Iterable[str] = ()) -> DataFrame:
+    return whole.select("doc_id", "lang", F.flatten(F.transform(T.sentences_of(whole["text"]), of)).alias("items"))
+
+
+def _places(lengths: pa.Array, words: pa.Array, heads: pa.Array) -> pa.Array:
+    """For each item the words and sentences up to it, counted from 0, and where it ends: running sums within each document."""
+    offsets = lengths.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    sizes = np.diff(offsets)
+
+    def upto(x: pa.ListArray, less: int) -> pa.Array:
+        total = np.r_[0, np.cumsum(x.flatten().cast(pa.int32()).to_numpy(zero_copy_only=False), dtype=np.int64)]
+        return pa.array((total[1:] - np.repeat(total[offsets[:-1]], sizes) - less).astype(np.int32))
+
+    places = pa.StructArray.from_arrays([upto(words, 1), upto(heads, 1), upto(lengths, 0)], names=["token_idx", "sentence_idx", "end"])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), places)
+
+
+def tokens(docs: DataFrame, extra_stopwords: Iterable[str] = (), min_length: int = 1, by_doc: bool = False) -> DataFrame:
     """doc_id, lang, token_idx, sentence_idx, text, lemma, pos, start, end, is_stopword, in no order.
 
-    Offsets count characters from the start of the document; token_idx and sentence_idx count from 0.
+    Offsets count characters from the start of the document; token_idx and sentence_idx count from 0.  Words are numbered
+    where the document is read, on arrays of numbers; nothing is shuffled.  by_doc brings a document's tokens together,
+    for what groups by document more than once; words shorter than min_length aren't tokens.
     """
-    cut = items(docs)
-    if cut.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
-        cut = cut.repartition("doc_id")
-    w = Window.partitionBy("doc_id").orderBy("piece", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    number = lambda c: F.sum(c.cast("int")).over(w) - 1
-    word = T.is_word(F.col("item"))
-    # the sentence's text is only needed on its first item
-    head = (F.col("k") == 0) & (F.trim(F.regexp_replace("sentence", r"\s+", " ")) != "")
-    counted = cut.select("doc_id", "lang", "piece", "k", "item", head.alias("head"), word.alias("word")).select(
-        "doc_id",
-        "lang",
-        number(F.col("word")).cast("int").alias("token_idx"),
-        number(F.col("head")).cast("int").alias("sentence_idx"),
-        F.col("item").alias("text"),
-        (F.sum(F.length("item")).over(w)).cast("int").alias("end"),
-        "word",
+    cut = items(docs, min_length)
+    of = lambda f: F.transform("items", f)
+    places = F.arrow_udf(_places, "array<struct<token_idx: int, sentence_idx: int, end: int>>")(of(lambda x: F.length(x["text"])), of(lambda x: x["word"]), of(lambda x: x["head"]))
+    each = cut.withColumn("places", places).select("doc_id", "lang", F.explode(F.arrays_zip("items", "places")).alias("x")).where("x.items.word")
+    words = each.select(
+        "doc_id", "lang", "x.places.token_idx", "x.places.sentence_idx", F.col("x.items.text").alias("text"), (F.col("x.places.end") - F.length("x.items.text")).alias("start"), F.col("x.places.end").alias("end")
     )
-    words = counted.where("word").drop("word").withColumn("start", F.col("end") - F.length("text"))
+    if by_doc:
+        words = words.repartition("doc_id")
     return flag_stopwords(
         words.withColumn("lemma", T.lemma_of(F.col("text"))).withColumn("pos", T.tag_of(F.col("text"))), extra_stopwords
     ).select("doc_id", "lang", "token_idx", "sentence_idx", "text", "lemma", "pos", "start", "end", "is_stopword")

@@ -20,7 +20,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 FOCUS = ("the", "and", "thing", "tion")
 TOPICS = {"and": 0.5, "thing": 0.25, "er": 0.125, "que": 1.0}
-STEPS = 4
+STEPS = 30
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,9 @@ def _marked(text: str) -> str:
     return out
 
 
-_ITEM = r"[\p{Han}\p{Hiragana}]|[\p{L}\p{M}\p{N}_]+(?:[''’.][\p{L}\p{N}_]+)*|[^\p{L}\p{M}\p{N}_]+"
+_RUN = r"[\p{L}\p{M}\p{N}_]"
+_INNER = rf"[\p{{L}}\p{{M}}](?:[{T.BETWEEN_LETTERS}]\p{{L}})+|\p{{N}}(?:[{T.BETWEEN_DIGITS}]\p{{N}})+".replace("'", "''")
+_ITEM = rf"[\p{{Han}}\p{{Hiragana}}]|(?:{_RUN}*(?:{_INNER}))+{_RUN}*|{_RUN}+|[^\p{{L}}\p{{M}}\p{{N}}_]+"
 _TAG = (
     "CASE "
     + " ".join(f"WHEN lower(text) IN ({_list(words.split())}) THEN '{tag}'" for tag, words in T.FUNCTION_WORDS.items())
@@ -139,6 +141,11 @@ _GAPS = """, gaps AS (
 
 
 def toks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens for what groups by document: brought together once."""
+    return K.tokens(documents(spark, sf_dir), by_doc=True)
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.tokens(documents(spark, sf_dir))
 
 
@@ -148,32 +155,33 @@ def fixed(variant: str = "textrank", **settings) -> Plan:
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    """To six places, as the SQL does, off those halfway between two such numbers, where the last bit decides: 1 / 128 is one."""
+    return df.withColumns({n: F.round(F.col(n) + 3e-10, 6) for n in names})
 
 
 @query(TOKENS + "SELECT doc_id, token_idx, sentence_idx, text, lemma, pos, start, \"end\", is_stopword FROM tokens")
 def tokens(spark, sf_dir):
-    return toks(spark, sf_dir).drop("lang")
+    return words(spark, sf_dir).drop("lang")
 
 
 @query(TOKENS + 'SELECT doc_id, sentence_idx, min(token_idx) AS start_token, max(token_idx) + 1 AS end_token, min(start) AS start, max("end") AS "end", count(*) AS n_tokens FROM tokens GROUP BY doc_id, sentence_idx')
 def sentences(spark, sf_dir):
-    return K.sentences(toks(spark, sf_dir))
+    return K.sentences(words(spark, sf_dir))
 
 
 @query(TOKENS + "SELECT lang, pos, count(*) AS n, count(DISTINCT text) AS n_texts FROM tokens GROUP BY lang, pos")
 def pos_tags(spark, sf_dir):
-    return toks(spark, sf_dir).groupBy("lang", "pos").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"))
+    return words(spark, sf_dir).groupBy("lang", "pos").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"))
 
 
 @query(TOKENS + "SELECT lemma, count(*) AS n, count(DISTINCT text) AS n_texts FROM tokens GROUP BY lemma")
 def lemmas(spark, sf_dir):
-    return toks(spark, sf_dir).groupBy("lemma").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"))
+    return words(spark, sf_dir).groupBy("lemma").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"))
 
 
 @query(TOKENS + "SELECT doc_id, count(*) FILTER (is_stopword) AS n_stopwords, count(*) FILTER (NOT is_stopword) AS n_others FROM tokens GROUP BY doc_id")
 def stopword_filter(spark, sf_dir):
-    t = toks(spark, sf_dir)
+    t = words(spark, sf_dir)
     return t.groupBy("doc_id").agg(F.count(F.when(F.col("is_stopword"), 1)).alias("n_stopwords"), F.count(F.when(~F.col("is_stopword"), 1)).alias("n_others"))
 
 
@@ -270,7 +278,7 @@ def teleport_sparse(spark, sf_dir):
     return G.sparse_teleport(nodes, some).withColumn("p", F.round("p", 9))
 
 
-@query(TOKENS + _rank("1.0") + """ SELECT doc_id, key, round(score, 6) AS score, rank
+@query(TOKENS + _rank("1.0") + """ SELECT doc_id, key, round(score + 3e-10, 6) AS score, rank
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 10) DESC, key) AS rank FROM scores) WHERE rank <= 5""")
 def top_nodes(spark, sf_dir):
     return rounded(G.top_nodes(D.node_scores(documents(spark, sf_dir), fixed()), 5), "score")
@@ -281,7 +289,7 @@ def _node_query(name: str, sql: str, plan: Callable[[], Plan], weighted: bool =
         return rounded(D.node_scores(documents(spark, sf_dir), plan(), weighted).select("doc_id", "key", "score"), "score")
 
     run.__name__ = name
-    query(TOKENS + sql + " SELECT doc_id, key, round(score, 6) AS score FROM scores")(run)
+    query(TOKENS + sql + " SELECT doc_id, key, round(score + 3e-10, 6) AS score FROM scores")(run)
 
 
 _CROSS = f", {_pairs(cross=True)}, {_EDGES}"
@@ -312,8 +320,9 @@ def phrase_candidates(spark, sf_dir):
     return P.phrase_candidates(P.chunk_tokens(toks(spark, sf_dir))).withColumn("terms", F.array_join("terms", "/"))
 
 
-@query(TOKENS + _chunks() + _CANDS + """ SELECT l.doc_id, l.cand AS a, r.cand AS b, round(1.0 - len(list_intersect(l.terms, r.terms))::DOUBLE / len(list_distinct(list_concat(l.terms, r.terms))), 9) AS distance
-  FROM cands l JOIN cands r ON l.doc_id = r.doc_id AND l.cand < r.cand WHERE len(list_intersect(l.terms, r.terms)) > 0""")
+@query(TOKENS + _chunks() + _CANDS + """, each AS (SELECT doc_id, cand, len(terms) AS n, unnest(terms) AS term FROM cands)
+  SELECT l.doc_id, l.cand AS a, r.cand AS b, round(1.0 - count(*)::DOUBLE / (l.n + r.n - count(*)), 9) AS distance
+  FROM each l JOIN each r ON l.doc_id = r.doc_id AND l.term = r.term AND l.cand < r.cand GROUP BY l.doc_id, l.cand, r.cand, l.n, r.n""")
 def jaccard_pairs(spark, sf_dir):
     return P.jaccard_pairs(P.phrase_candidates(P.chunk_tokens(toks(spark, sf_dir)))).withColumn("distance", F.round("distance", 9))
 
@@ -325,7 +334,7 @@ def candidate_gap(spark, sf_dir):
 
 
 @query(TOKENS + _chunks() + _CANDS + _GAPS + """, cl AS (SELECT doc_id, cand, dense_rank() OVER (PARTITION BY doc_id ORDER BY lemma) AS c FROM cands)
-  SELECT g.doc_id, least(x.c, y.c) AS ca, greatest(x.c, y.c) AS cb, round(sum(1.0::DOUBLE / gap), 6) AS w FROM gaps g JOIN cl x ON x.doc_id = g.doc_id AND x.cand = g.a JOIN cl y ON y.doc_id = g.doc_id AND y.cand = g.b WHERE x.c <> y.c GROUP BY ALL""")
+  SELECT g.doc_id, least(x.c, y.c) AS ca, greatest(x.c, y.c) AS cb, round(sum(1.0::DOUBLE / gap) + 3e-10, 6) AS w FROM gaps g JOIN cl x ON x.doc_id = g.doc_id AND x.cand = g.a JOIN cl y ON y.doc_id = g.doc_id AND y.cand = g.b WHERE x.c <> y.c GROUP BY ALL""")
 def topic_graph_given_clusters(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -355,14 +364,14 @@ for _name in _HOW:
         return rounded(_scored(spark, sf_dir, _name), "score")
 
     _run.__name__ = f"chunk_scores_{_name}"
-    query(_scored_sql(_HOW[_name], "SELECT doc_id, start_token, end_token, text, lemma, round(score, 6) AS score FROM scored"))(_run)
+    query(_scored_sql(_HOW[_name], "SELECT doc_id, start_token, end_token, text, lemma, round(score + 3e-10, 6) AS score FROM scored"))(_run)
 
 _SCRUBBED = """, grouped AS (
   SELECT doc_id, arg_max(text, (round(score, 10), start_token)) AS text, arg_max(lemma, (round(score, 10), start_token)) AS lemma, max(score) AS score, count(*) AS count, list((start_token, end_token) ORDER BY start_token) AS offsets
   FROM (SELECT *, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS g FROM scored WHERE score > 0) GROUP BY doc_id, g)"""
 _BY_LEMMA = """, texts AS (SELECT doc_id, lemma, arg_min(text, (-n, text)) AS text FROM (SELECT doc_id, lemma, text, count(*) AS n FROM scored WHERE score > 0 GROUP BY ALL) GROUP BY doc_id, lemma),
   grouped AS (SELECT s.doc_id, t.text, s.lemma, sum(s.score) AS score, count(*) AS count, list((start_token, end_token) ORDER BY start_token) AS offsets FROM scored s JOIN texts t ON t.doc_id = s.doc_id AND t.lemma = s.lemma WHERE s.score > 0 GROUP BY s.doc_id, t.text, s.lemma)"""
-_FLAT = "SELECT doc_id, text, lemma, round(score, 6) AS score, count, list_aggregate(list_transform(offsets, lambda o: o[1]), 'sum')::BIGINT AS starts, list_aggregate(list_transform(offsets, lambda o: o[2]), 'sum')::BIGINT AS ends FROM grouped"
+_FLAT = "SELECT doc_id, text, lemma, round(score + 3e-10, 6) AS score, count, list_aggregate(list_transform(offsets, lambda o: o[1]), 'sum')::BIGINT AS starts, list_aggregate(list_transform(offsets, lambda o: o[2]), 'sum')::BIGINT AS ends FROM grouped"
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -382,7 +391,7 @@ def phrases_lemma(spark, sf_dir):
 
 
 _TOP = """, best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 10) DESC, offsets[1][1], offsets[1][2] - offsets[1][1], lemma) AS rank FROM grouped)
-SELECT doc_id, rank, text, lemma, round(score, 6) AS score, count FROM best WHERE rank <= 10"""
+SELECT doc_id, rank, text, lemma, round(score + 3e-10, 6) AS score, count FROM best WHERE rank <= 10"""
 
 
 @query(_scored_sql(_HOW["sum"], _SCRUBBED + _TOP))
@@ -399,7 +408,7 @@ def textrank_kernel(spark, sf_dir):
 
 @query(_scored_sql(_HOW["sum"], """, runs AS (SELECT *, CASE WHEN lag(end_token) OVER w = start_token THEN 0 ELSE 1 END AS begins FROM (SELECT s.*, t.sentence_idx FROM scored s JOIN tokens t ON t.doc_id = s.doc_id AND t.token_idx = s.start_token) WINDOW w AS (PARTITION BY doc_id, sentence_idx ORDER BY start_token)),
   numbered AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, sentence_idx ORDER BY start_token) AS run FROM runs)
-  SELECT doc_id, sentence_idx, min(start_token) AS start_token, max(end_token) AS end_token, string_agg(text, ' ' ORDER BY start_token) AS text, string_agg(lemma, ' ' ORDER BY start_token) AS lemma, round(sum(score), 6) AS score FROM numbered GROUP BY doc_id, sentence_idx, run"""))
+  SELECT doc_id, sentence_idx, min(start_token) AS start_token, max(end_token) AS end_token, string_agg(text, ' ' ORDER BY start_token) AS text, string_agg(lemma, ' ' ORDER BY start_token) AS lemma, round(sum(score) + 3e-10, 6) AS score FROM numbered GROUP BY doc_id, sentence_idx, run"""))
 def merge_adjacent(spark, sf_dir):
     docs = documents(spark, sf_dir)
     own = P.chunk_tokens(K.tokens(docs))
@@ -425,7 +434,7 @@ def sentence_jaccard(spark, sf_dir):
 _SENTENCE_GRAPH = _SETS + _SIMILAR + ", pairs AS (SELECT doc_id, a::VARCHAR AS a, b::VARCHAR AS b, w FROM sims WHERE w > 0), " + _EDGES
 
 
-@query((TOKENS + _rank("1.0", _SENTENCE_GRAPH)).replace("nodes AS (SELECT doc_id, key,", "words AS (SELECT doc_id, key,").replace(", pairs AS (SELECT doc_id, a::", ", nodes AS (SELECT doc_id, sentence_idx::VARCHAR AS key FROM sets), pairs AS (SELECT doc_id, a::") + " SELECT doc_id, key, round(score, 6) AS score FROM scores")
+@query((TOKENS + _rank("1.0", _SENTENCE_GRAPH)).replace("nodes AS (SELECT doc_id, key,", "words AS (SELECT doc_id, key,").replace(", pairs AS (SELECT doc_id, a::", ", nodes AS (SELECT doc_id, sentence_idx::VARCHAR AS key FROM sets), pairs AS (SELECT doc_id, a::") + " SELECT doc_id, key, round(score + 3e-10, 6) AS score FROM scores")
 def sentence_rank_k(spark, sf_dir):
     return rounded(D.node_scores(documents(spark, sf_dir), fixed("sentence_rank")).select("doc_id", "key", "score"), "score")
 

@@ -36,7 +36,7 @@ def config_of(given: dict[str, Any] | None, compat: bool = False) -> TextRankCon
         phrase_grouping=grouping,
         determinism=given.get("determinism") or "default",
         debug_level=debug_level_of(given.get("debug_level")),
-    )
+    ).validate()
 
 
 def plan_of(doc: dict[str, Any], compat: bool = False) -> Plan:
@@ -67,6 +67,10 @@ def tokens_of(doc: dict[str, Any], cfg: TextRankConfig) -> list[D.Token]:
     return [t._replace(is_stopword=t.is_stopword or t.text in stop) for t in tokens]
 
 
+#: what an input can be wrong by; RecursionError for brackets that are nested too deeply
+WRONG = (ValueError, TypeError, KeyError, AttributeError, RecursionError)
+
+
 def _error(e: Exception) -> dict[str, Any]:
     if isinstance(e, S.SpecError):
         return {"error": {**e.as_dict(), "stage": "validate"}, "error_message": str(e)}
@@ -115,7 +119,7 @@ def _threads(num_threads: int | None) -> None:
 def _safe(doc: Any, compat: bool = False) -> dict[str, Any]:
     try:
         return process(doc, compat)
-    except (ValueError, TypeError, KeyError, AttributeError) as e:
+    except WRONG as e:
         return _error(e)
 
 
@@ -131,7 +135,7 @@ def extract_batch_from_json(json_input: str, num_threads: int | None = None, com
 def _line(line: str, compat: bool = False) -> str:
     try:
         return json.dumps(_safe(json.loads(line), compat), ensure_ascii=False)
-    except ValueError as e:
+    except WRONG as e:
         return json.dumps({"error": str(e)}, ensure_ascii=False)
 
 

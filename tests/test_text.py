@@ -9,7 +9,8 @@ from phrasemill.operators import document as D
 from phrasemill.operators import tokens as K
 
 WORDS = "running cats studies boxes beautiful quickly information Harbour the and upon not 3.14 state classes stopped tried ties passing éétée naïve I A USA usable music er goes hashes".split()
-TEXTS = ["Hello world! How are you? Fine.", "Hello 👋 world! How are you? 🎉", "机器学习是人工智能的一个子集。深度学习使用神经网络。", "Dr. smith's state-of-the-art foo_bar, 3.14.\nNew line\r\n\r\nand \"quoted.\" Then", "", "   ", "...", None, "one"]
+TEXTS = ["Hello world! How are you? Fine.", "Hello 👋 world! How are you? 🎉", "机器学习是人工智能的一个子集。深度学习使用神经网络。", "Dr. smith's state-of-the-art foo_bar, 3.14.\nNew line\r\n\r\nand \"quoted.\" Then", "", "   ", "...", None, "one",
+         "It cost 1,000 or 1,234.5; at 10:30 a.m. see U.S.A, v.1 3.x a:b l'été 3'4 _.x x_.y 12,34,56 e.g. end.", ",".join(map(str, range(20000))), "a.b" * 20000]
 
 
 @pytest.mark.parametrize("word,lemma", [("running", "run"), ("cats", "cat"), ("studies", "study"), ("boxes", "box")])
