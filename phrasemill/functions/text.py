@@ -8,6 +8,8 @@ full stop, a comma), so ``1,000`` is one word; Han and Hiragana stand alone.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,6 +122,9 @@ def tag_name(tag: Column) -> Column:
 
 # ---- the same for one word or document, in Python
 
+_ENDS = tuple((tag, tuple(ends.split())) for tag, ends in SUFFIXES)
+_ALNUM = re.compile(r"[^\W_]+")
+
 
 def py_tag_name(tag: str | None) -> str:
     return TAG_ALIASES.get((tag or "").upper(), "X")
@@ -129,12 +134,12 @@ def py_tag(word: str) -> str:
     low = word.lower()
     if low in TAG_OF:
         return TAG_OF[low]
-    if word[:1].isupper() and all(c.islower() for c in word[1:]):
+    if word[:1].isupper() and all(map(str.islower, word[1:])):
         return "PROPN"
-    for tag, ends in SUFFIXES:
-        if low.endswith(tuple(ends.split())):
+    for tag, ends in _ENDS:
+        if low.endswith(ends):
             return tag
-    return "NUM" if all(c in "0123456789.," for c in word) else "NOUN"
+    return "NUM" if not word.strip("0123456789.,") else "NOUN"
 
 
 def py_lemma(word: str) -> str:
@@ -155,7 +160,7 @@ def py_lemma(word: str) -> str:
 
 
 def py_scrub(text: str) -> str:
-    return " ".join("".join(c if c.isalnum() else " " for c in text.lower()).split())
+    return " ".join(_ALNUM.findall(text.lower()))
 
 
 def py_patterns():

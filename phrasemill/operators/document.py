@@ -7,7 +7,9 @@ read.  The word graphs of a batch are ranked together as one block-diagonal matr
 
 from __future__ import annotations
 
+import gc
 import json
+import re
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
@@ -62,13 +64,15 @@ def tokenizer(extra: Sequence[str] = (), min_length: int = 1) -> Callable[[str |
     """A function (text, language) to tokens, that remembers words."""
     ends, item = T.py_patterns()
     stops = {code: StopWords(code).add(extra).words for code in LISTS}
-    words: dict[str, tuple[str, str, str]] = {}
-
-    def known(word: str) -> tuple[str, str, str]:
-        if (found := words.get(word)) is None:
-            if len(words) > 300_000:
-                words.clear()
-            found = words[word] = (T.py_lemma(word), T.py_tag(word), word.lower())
+    words: dict[str, tuple[str, str, str] | None] = {}
+
+    def known(word: str) -> tuple[str, str, str] | None:
+        """Lemma, tag and lower case of a word; None for what isn't one."""
+        if len(words) > 200_000:
+            words.clear()
+        found = (T.py_lemma(word), T.py_tag(word), word.lower()) if len(word) >= min_length and any(map(str.isalnum, word)) else None
+        if len(word) <= 64:  # what is longer would hardly be met again
+            words[word] = found
         return found
 
     def run(text: str | None, language: str | None = "en") -> list[Token]:
@@ -76,13 +80,14 @@ def tokenizer(extra: Sequence[str] = (), min_length: int = 1) -> Callable[[str |
         for pattern, to in ends:
             marked = pattern.sub(to, marked)
         stop, out, at, sentence = stops[language_code(language)], [], 0, 0
+        add, get, make = out.append, words.get, tuple.__new__
         for piece in marked.split(T.MARK):
-            if piece.strip():
+            if piece and not piece.isspace():
                 for m in item.finditer(piece):
                     word = m[0]
-                    if len(word) >= min_length and any(c.isalnum() for c in word):
-                        lemma, pos, low = known(word)
-                        out.append(Token(word, lemma, pos, at + m.start(), at + m.end(), sentence, low in stop))
+                    if (found := get(word)) or (word not in words and (found := known(word))):
+                        begin = at + m.start()
+                        add(make(Token, (word, found[0], found[1], begin, begin + len(word), sentence, found[2] in stop)))
                 sentence += 1
             at += len(piece)
         return out
@@ -119,27 +124,29 @@ class Graph(NamedTuple):
 def word_graph(tokens: list[Token], window: int, cross: bool, binary: bool, cfg: TextRankConfig) -> tuple[Graph, list[int], list[str]]:
     """The graph, each node's first position and each node's lemma."""
     ids: dict[str, int] = {}
-    first, lemmas, runs, before = [], [], [], None
-    for i, t in enumerate(tokens):
-        if not is_kept(t, cfg):
+    first, lemmas, nodes, sentences = [], [], [], []
+    include, with_pos = frozenset(cfg.include_pos or T.CONTENT_TAGS), cfg.use_pos_in_nodes
+    for i, (_, lemma, pos, _, _, sentence, stop) in enumerate(tokens):
+        if stop or pos not in include:
             continue
-        k = key_of(t, cfg)
+        k = f"{lemma}|{pos}" if with_pos else lemma
         if (n := ids.get(k)) is None:
             n = ids[k] = len(ids)
             first.append(i)
-            lemmas.append(t.lemma)
-        if not runs or (not cross and t.sentence_idx != before):
-            runs.append([])
-        runs[-1].append(n)
-        before = t.sentence_idx
-    pairs: dict[tuple[int, int], float] = {}
-    for run in runs:
-        for i, a in enumerate(run):
-            for b in run[i + 1 : i + window]:
-                if a != b:
-                    e = (a, b) if a < b else (b, a)
-                    pairs[e] = 1.0 if binary else pairs.get(e, 0.0) + 1.0
-    return Graph.of(list(ids), pairs), first, lemmas
+            lemmas.append(lemma)
+        nodes.append(n)
+        sentences.append(sentence)
+    at, of, n = np.array(nodes, np.int64), np.array(sentences, np.int64), max(1, len(ids))
+    found = []
+    for d in range(1, min(window, len(at))):
+        a, b = at[:-d], at[d:]
+        ok = a != b if cross else (a != b) & (of[:-d] == of[d:])
+        a, b = a[ok], b[ok]
+        found.append(np.minimum(a, b) * n + np.maximum(a, b))
+    edges, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
+    a, b = np.divmod(edges, n)
+    w = np.ones(len(edges)) if binary else count.astype(float)
+    return Graph(list(ids), np.r_[a, b], np.r_[b, a], np.r_[w, w]), first, lemmas
 
 
 def normalised(weights: np.ndarray) -> np.ndarray:
@@ -148,7 +155,44 @@ def normalised(weights: np.ndarray) -> np.ndarray:
 
 
 def pagerank(graphs: list[Graph], teleports: list[np.ndarray | None], cfg: TextRankConfig, weighted: bool = True) -> list[tuple[np.ndarray, int, float, bool]]:
-    """(scores, iterations, last change, converged) of each graph; all are iterated together, each until it stands still."""
+    """(scores, iterations, last change, converged) of each graph.
+
+    Sparse graphs are iterated together as one block-diagonal matrix, each until it stands still; one that has an edge
+    for every few pairs is a matrix of its own.
+    """
+    out: list = [None] * len(graphs)
+    sparse = []
+    for i, g in enumerate(graphs):
+        if len(g.keys) <= MOST_DENSE and 8 * len(g.src) > len(g.keys) ** 2 > 0:
+            out[i] = _dense_rank(g, teleports[i], cfg, weighted)
+        else:
+            sparse.append(i)
+    for i, found in zip(sparse, _sparse_ranks([graphs[i] for i in sparse], [teleports[i] for i in sparse], cfg, weighted)):
+        out[i] = found
+    return out
+
+
+#: nodes of a graph that may be ranked as a matrix
+MOST_DENSE = 512
+
+
+def _dense_rank(g: Graph, teleport: np.ndarray | None, cfg: TextRankConfig, weighted: bool) -> tuple[np.ndarray, int, float, bool]:
+    n, d = len(g.keys), cfg.damping
+    share = np.zeros((n, n))
+    share[g.src, g.dst] = g.w if weighted else g.w > 0
+    out = share.sum(1)
+    idle = out <= 0
+    share /= np.where(idle, 1.0, out)[:, None]
+    p = np.full(n, 1 / n) if teleport is None else teleport
+    score, steps, change = np.full(n, 1 / n), 0, np.inf
+    while steps < cfg.max_iterations and change > cfg.convergence_threshold:
+        new = (1 - d + d * score[idle].sum()) * p + d * (score @ share)
+        change, score, steps = float(np.abs(new - score).sum()), new, steps + 1
+    total = score.sum()
+    return (score / total if total > 0 else score), steps, change, bool(change <= cfg.convergence_threshold)
+
+
+def _sparse_ranks(graphs: list[Graph], teleports: list[np.ndarray | None], cfg: TextRankConfig, weighted: bool) -> list[tuple[np.ndarray, int, float, bool]]:
     size = np.array([len(g.keys) for g in graphs], np.int64)
     begin = np.cumsum(size) - size
     doc = np.repeat(np.arange(len(graphs)), size)
@@ -183,7 +227,21 @@ def pagerank(graphs: list[Graph], teleports: list[np.ndarray | None], cfg: TextR
 # ---- chunks and phrases
 
 
+_KINDS = {"ADJ": "a", "NOUN": "n", "PROPN": "n", "DET": "d"}
+#: upper case for a sentence's first token, which nothing before it runs into
+_CHUNKS = {False: re.compile("[Aa]a*n+|[Nn]n*"), True: re.compile("[Dd]a*n+|[Aa]a*n+|[Nn]n*")}
+
+
 def noun_chunks(tokens: list[Token], least: int, most: int, determiners: bool = False, splits: list | None = None) -> list[Chunk]:
+    """Adjectives and then nouns; splits gets what isn't a chunk, and why."""
+    if splits is None:
+        kinds, before = [], None
+        for t in tokens:
+            kind = "s" if t.is_stopword else _KINDS.get(t.pos, "o")
+            kinds.append(kind if t.sentence_idx == before else kind.upper())
+            before = t.sentence_idx
+        spans = (m.span() for m in _CHUNKS[determiners].finditer("".join(kinds)))
+        return [Chunk(max(i, k - most), k) for i, k in spans if min(k - i, most) >= least]
     out, i, n = [], 0, len(tokens)
     while i < n:
         t = tokens[i]
@@ -273,13 +331,26 @@ def order_key(p: Phrase):
     return -round(p.score, 10), start, end - start, p.lemma
 
 
+def _group_name(text: str) -> str:
+    low = text.lower()
+    return low if low.replace(" ", "").isalnum() else T.py_scrub(text)
+
+
 def grouped(chunks: list[Scored], cfg: TextRankConfig) -> list[Phrase]:
     groups: dict[str, list[Scored]] = {}
     by_lemma = cfg.phrase_grouping == "lemma"
     for c in chunks:
-        groups.setdefault(c.lemma if by_lemma else T.py_scrub(c.text), []).append(c)
+        name = c.lemma if by_lemma else _group_name(c.text)
+        if (own := groups.get(name)) is None:
+            groups[name] = [c]
+        else:
+            own.append(c)
     out = []
     for own in groups.values():
+        if len(own) == 1:
+            (c,) = own
+            out.append(Phrase(c.text, c.lemma, aggregate([c.score], cfg.score_aggregation) if by_lemma else c.score, 1, [tuple(c.chunk)]))
+            continue
         offsets = sorted((c.chunk.start, c.chunk.end) for c in own)
         if by_lemma:
             counts = Counter(c.text for c in own)
@@ -293,10 +364,15 @@ def grouped(chunks: list[Scored], cfg: TextRankConfig) -> list[Phrase]:
 
 def score_chunks(tokens: list[Token], chunks: list[Chunk], scores: dict[str, float], cfg: TextRankConfig) -> list[Scored]:
     out = []
+    how, with_pos, get = cfg.score_aggregation, cfg.use_pos_in_nodes, scores.get
     for c in chunks:
         own = tokens[c.start : c.end]
-        found = [scores[k] for k in (key_of(t, cfg) for t in own) if k in scores]
-        out.append(Scored(c, own[0].start, own[-1].end, " ".join(t.text for t in own), " ".join(t.lemma for t in own), aggregate(found, cfg.score_aggregation)))
+        found = [s for s in [get(f"{t.lemma}|{t.pos}" if with_pos else t.lemma) for t in own] if s is not None]
+        if len(own) == 1:
+            (t,) = own
+            out.append(Scored(c, t.start, t.end, t.text, t.lemma, aggregate(found, how)))
+        else:
+            out.append(Scored(c, own[0].start, own[-1].end, " ".join([t.text for t in own]), " ".join([t.lemma for t in own]), aggregate(found, how)))
     return out
 
 
@@ -322,12 +398,20 @@ def phrase_candidates(tokens: list[Token], cfg: TextRankConfig, most: int) -> li
 
 
 def jaccard_distances(sets: list[frozenset[str]]) -> np.ndarray:
+    """1 - common / union; pairs meet by a term they share."""
     ids: dict[str, int] = {}
     rows = np.array([i for i, s in enumerate(sets) for _ in s], np.int64)
-    cols = np.array([ids.setdefault(t, len(ids)) for s in sets for t in sorted(s)], np.int64)
-    m = np.zeros((len(sets), max(1, len(ids))))
-    m[rows, cols] = 1
-    common, n = m @ m.T, m.sum(1)
+    terms = np.array([ids.setdefault(t, len(ids)) for s in sets for t in s], np.int64)
+    order = np.argsort(terms, kind="stable")
+    rows, terms = rows[order], terms[order]
+    m, found = len(sets), []
+    for d in range(1, int(np.bincount(terms, minlength=1).max(initial=0))):
+        same = terms[:-d] == terms[d:]
+        found.append(rows[:-d][same] * m + rows[d:][same])
+    common = np.bincount(np.concatenate(found), minlength=m * m).reshape(m, m).astype(float) if found else np.zeros((m, m))
+    common += common.T
+    n = np.array([len(s) for s in sets], float)
+    np.fill_diagonal(common, n)
     union = n[:, None] + n[None, :] - common
     return np.where(union > 0, 1 - common / np.where(union > 0, union, 1), 0.0)
 
@@ -374,9 +458,8 @@ def topic_graph(cands: list[Candidate], clusters: list[list[int]], edge_weight:
     of = np.empty(len(cands), np.int64)
     for c, members in enumerate(clusters):
         of[members] = c
-    one = np.zeros((len(clusters), len(cands)))
-    one[of, np.arange(len(cands))] = 1
-    w = (one @ near @ one.T) * edge_weight
+    k = len(clusters)
+    w = np.bincount((of[:, None] * k + of[None, :]).ravel(), near.ravel(), k * k).reshape(k, k) * edge_weight
     np.fill_diagonal(w, 0)
     src, dst = np.nonzero(w > 0)
     return Graph([str(i) for i in range(len(clusters))], src, dst, w[src, dst])
@@ -650,7 +733,9 @@ def _documents(plan: Plan, batches: Iterator[pa.RecordBatch], size: int = 128) -
     """(ids, documents' tokens), a few at once; documents come as text and language or as token structs."""
     tokenise = tokenizer(plan.config.stopwords)
     extra = {w.lower() for w in plan.config.stopwords}
+    gc.disable()  # tokens are many small objects without a cycle among them
     for batch in batches:
+        gc.collect(1)
         for i in range(0, batch.num_rows, size):
             part = batch.slice(i, size)
             ids = part.column(0).to_pylist()
