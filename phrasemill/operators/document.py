@@ -12,7 +12,7 @@ import json
 import re
 import time
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -120,14 +120,39 @@ class Graph(NamedTuple):
         w = np.array(list(pairs.values()), float)
         return cls(keys, np.r_[ends[:, 0], ends[:, 1]], np.r_[ends[:, 1], ends[:, 0]], np.r_[w, w])
 
+    @classmethod
+    def directed(cls, rows: Iterable[tuple[str, str, float]]) -> Graph:
+        """From (source, target, weight): nodes as they come, the weights of one direction added up."""
+        ids: dict[str, int] = {}
+        sums: dict[tuple[int, int], float] = {}
+        for a, b, w in rows:
+            e = ids.setdefault(a, len(ids)), ids.setdefault(b, len(ids))
+            sums[e] = sums.get(e, 0.0) + w
+        ends = np.array(list(sums), np.int64).reshape(-1, 2)
+        return cls(list(ids), ends[:, 0], ends[:, 1], np.array(list(sums.values()), float))
+
+    def node(self, key: str) -> int | None:
+        return self.keys.index(key) if key in self.keys else None
+
+    def neighbours(self, key: str) -> list[tuple[str, float]]:
+        at = self.src == self.node(key)
+        return [(self.keys[j], float(w)) for j, w in sorted(zip(self.dst[at].tolist(), self.w[at].tolist()))]
+
+    def degree(self, key: str) -> int:
+        return int((self.src == self.node(key)).sum())
 
-def word_graph(tokens: list[Token], window: int, cross: bool, binary: bool, cfg: TextRankConfig) -> tuple[Graph, list[int], list[str]]:
-    """The graph, each node's first position and each node's lemma."""
+    def total_weight(self, key: str) -> float:
+        return float(self.w[self.src == self.node(key)].sum())
+
+
+def word_graph(tokens: list[Token], window: int, cross: bool, binary: bool, cfg: TextRankConfig, only: Iterable[int] | None = None) -> tuple[Graph, list[int], list[str]]:
+    """The graph, each node's first position and each node's lemma; of the tokens at the places only, if that is given."""
     ids: dict[str, int] = {}
     first, lemmas, nodes, sentences = [], [], [], []
     include, with_pos = frozenset(cfg.include_pos or T.CONTENT_TAGS), cfg.use_pos_in_nodes
+    some = None if only is None else frozenset(only)
     for i, (_, lemma, pos, _, _, sentence, stop) in enumerate(tokens):
-        if stop or pos not in include:
+        if stop or pos not in include if some is None else i not in some:
             continue
         k = f"{lemma}|{pos}" if with_pos else lemma
         if (n := ids.get(k)) is None:
@@ -154,20 +179,22 @@ def normalised(weights: np.ndarray) -> np.ndarray:
     return weights / total if total > 0 else np.full(len(weights), 1 / max(1, len(weights)))
 
 
-def pagerank(graphs: list[Graph], teleports: list[np.ndarray | None], cfg: TextRankConfig, weighted: bool = True) -> list[tuple[np.ndarray, int, float, bool]]:
+def pagerank(graphs: list[Graph], teleports: list[np.ndarray | None], cfg: TextRankConfig, weighted: bool = True, traces: list[list[float]] | None = None) -> list[tuple[np.ndarray, int, float, bool]]:
     """(scores, iterations, last change, converged) of each graph.
 
     Sparse graphs are iterated together as one block-diagonal matrix, each until it stands still; one that has an edge
-    for every few pairs is a matrix of its own.
+    for every few pairs is a matrix of its own.  traces gets each graph's changes, iteration by iteration.
     """
+    if traces is not None:
+        traces[:] = [[] for _ in graphs]
     out: list = [None] * len(graphs)
     sparse = []
     for i, g in enumerate(graphs):
         if len(g.keys) <= MOST_DENSE and 8 * len(g.src) > len(g.keys) ** 2 > 0:
-            out[i] = _dense_rank(g, teleports[i], cfg, weighted)
+            out[i] = _dense_rank(g, teleports[i], cfg, weighted, None if traces is None else traces[i])
         else:
             sparse.append(i)
-    for i, found in zip(sparse, _sparse_ranks([graphs[i] for i in sparse], [teleports[i] for i in sparse], cfg, weighted)):
+    for i, found in zip(sparse, _sparse_ranks([graphs[i] for i in sparse], [teleports[i] for i in sparse], cfg, weighted, None if traces is None else [traces[i] for i in sparse])):
         out[i] = found
     return out
 
@@ -176,7 +203,7 @@ def pagerank(graphs: list[Graph], teleports: list[np.ndarray | None], cfg: TextR
 MOST_DENSE = 512
 
 
-def _dense_rank(g: Graph, teleport: np.ndarray | None, cfg: TextRankConfig, weighted: bool) -> tuple[np.ndarray, int, float, bool]:
+def _dense_rank(g: Graph, teleport: np.ndarray | None, cfg: TextRankConfig, weighted: bool, trace: list[float] | None) -> tuple[np.ndarray, int, float, bool]:
     n, d = len(g.keys), cfg.damping
     share = np.zeros((n, n))
     share[g.src, g.dst] = g.w if weighted else g.w > 0
@@ -188,11 +215,13 @@ def _dense_rank(g: Graph, teleport: np.ndarray | None, cfg: TextRankConfig, weig
     while steps < cfg.max_iterations and change > cfg.convergence_threshold:
         new = (1 - d + d * score[idle].sum()) * p + d * (score @ share)
         change, score, steps = float(np.abs(new - score).sum()), new, steps + 1
+        if trace is not None:
+            trace.append(change)
     total = score.sum()
     return (score / total if total > 0 else score), steps, change, bool(change <= cfg.convergence_threshold)
 
 
-def _sparse_ranks(graphs: list[Graph], teleports: list[np.ndarray | None], cfg: TextRankConfig, weighted: bool) -> list[tuple[np.ndarray, int, float, bool]]:
+def _sparse_ranks(graphs: list[Graph], teleports: list[np.ndarray | None], cfg: TextRankConfig, weighted: bool, traces: list[list[float]] | None) -> list[tuple[np.ndarray, int, float, bool]]:
     size = np.array([len(g.keys) for g in graphs], np.int64)
     begin = np.cumsum(size) - size
     doc = np.repeat(np.arange(len(graphs)), size)
@@ -215,6 +244,8 @@ def _sparse_ranks(graphs: list[Graph], teleports: list[np.ndarray | None], cfg:
         delta = np.bincount(doc, np.abs(new - score), len(graphs))
         score = np.where(on[doc], new, score)
         change, steps = np.where(on, delta, change), steps + on
+        for i in np.nonzero(on)[0] if traces is not None else ():
+            traces[i].append(float(delta[i]))
         on = on & (steps < cfg.max_iterations) & (change > cfg.convergence_threshold)
     found = []
     for i in range(len(graphs)):
@@ -465,26 +496,51 @@ def topic_graph(cands: list[Candidate], clusters: list[list[int]], edge_weight:
     return Graph([str(i) for i in range(len(clusters))], src, dst, w[src, dst])
 
 
-def candidate_graph(cands: list[Candidate], clusters: list[list[int]] | None, remove_intra: bool, alpha: float) -> Graph:
-    """All pairs by 1 / gap; without those within a topic, and the first of each topic boosted (topics in order)."""
+def without_intra(w: np.ndarray, clusters: list[list[int]]) -> np.ndarray:
+    """Weights between candidates without those within a topic."""
+    w = w.copy()
+    for members in clusters:
+        w[np.ix_(members, members)] = 0
+    return w
+
+
+def boosted(w: np.ndarray, cands: list[Candidate], clusters: list[list[int]], alpha: float) -> np.ndarray:
+    """The first of each topic gains what leads to its others, times alpha * exp(1 / (1 + its place)); topics in order."""
+    w = w.copy()
+    for members in clusters:
+        if len(members) < 2:
+            continue
+        first = min(members, key=lambda i: cands[i].chunk.start)
+        others = [i for i in members if i != first]
+        more = alpha * np.exp(1.0 / (1.0 + cands[first].chunk.start)) * w[others].sum(0)
+        more[members] = 0
+        w[:, first] += more
+    return w
+
+
+def candidate_graph(cands: list[Candidate], clusters: list[list[int]] | None, transforms: Sequence[Any]) -> Graph:
+    """All pairs by 1 / gap, through transforms in order.
+
+    A number stands for the removal of edges within topics and, above 0, a boost by it; a function takes the weights, the
+    candidates and their clusters and returns weights.
+    """
     w = 1.0 / gaps(cands)
     np.fill_diagonal(w, 0)
-    if clusters is not None and remove_intra:
-        for members in clusters:
-            w[np.ix_(members, members)] = 0
-    if clusters is not None and alpha > 0:
-        for members in clusters:
-            if len(members) < 2:
-                continue
-            first = min(members, key=lambda i: cands[i].chunk.start)
-            others = [i for i in members if i != first]
-            more = alpha * np.exp(1.0 / (1.0 + cands[first].chunk.start)) * w[others].sum(0)
-            more[members] = 0
-            w[:, first] += more
+    for t in transforms:
+        if callable(t):
+            w = t(w, cands, clusters)
+        elif clusters is not None:
+            w = without_intra(w, clusters)
+            w = boosted(w, cands, clusters, t) if t > 0 else w
     src, dst = np.nonzero(w > 0)
     return Graph([str(i) for i in range(len(cands))], src, dst, w[src, dst])
 
 
+def cluster_sets(sets: Sequence[Iterable], threshold: float, linkage: str = "average") -> list[list[int]]:
+    """Clusters of any sets, of numbers say, by their Jaccard distances."""
+    return hac(jaccard_distances([frozenset(x) for x in sets]), threshold, linkage)
+
+
 def topic_phrases(cands: list[Candidate], clusters: list[list[int]], scores: np.ndarray) -> list[Phrase]:
     out = []
     for c, members in enumerate(clusters):
@@ -613,53 +669,119 @@ def summary(
 
 
 class _Prepared(NamedTuple):
+    tokens: list[Token]
     graph: Graph
     teleport: np.ndarray | None
     parts: Any
     error: tuple[str, str, str] | None = None
 
 
-def prepare(tokens: list[Token], plan: Plan) -> _Prepared:
-    cfg = plan.config
+class Watch:
+    """Is told when stages begin and end; this one does nothing."""
+
+    def start(self, stage: str) -> None: ...
+
+    def end(self, stage: str, **metrics: Any) -> None: ...
+
+    def tell(self, what: str, value: Any) -> None: ...
+
+
+QUIET = Watch()
+
+
+def prepare(tokens: list[Token], plan: Plan, watch: Watch = QUIET) -> _Prepared:
+    cfg, own = plan.config, plan.stages
     none = Graph.of([], {})
-    if cfg.max_tokens is not None and len(tokens) > cfg.max_tokens:
-        return _Prepared(none, None, None, ("limit_exceeded", "preprocess", f"{len(tokens)} tokens exceed max_tokens {cfg.max_tokens}"))
-    p, parts = None, None
-    if plan.candidates == "sentences" or plan.graph == "sentences":
-        parts = sentence_spans(tokens)
-        graph = sentence_graph(parts, plan.min_similarity)
-    elif plan.candidates == "phrases" or plan.graph in ("topics", "candidates"):
-        cands = phrase_candidates(tokens, cfg, plan.max_phrases)
-        clusters = hac(jaccard_distances([c.terms for c in cands]), plan.cluster_threshold, plan.linkage) if cands and plan.cluster_threshold is not None else None
-        if plan.graph == "topics":
-            clusters = clusters if clusters is not None else [[i] for i in range(len(cands))]
-            graph = topic_graph(cands, clusters, plan.edge_weight) if cands else none
+    stage = "preprocess"
+
+    def begin(name: str) -> None:
+        nonlocal stage
+        stage = name
+        watch.start(name)
+
+    def failed(code: str, message: str) -> _Prepared:
+        return _Prepared(tokens, none, None, None, (code, stage, message))
+
+    try:
+        begin("preprocess")
+        if own.preprocess:
+            tokens = own.preprocess(tokens)
+        watch.end("preprocess")
+        watch.tell("tokens", tokens)
+        if cfg.max_tokens is not None and len(tokens) > cfg.max_tokens:
+            return failed("limit_exceeded", f"{len(tokens)} tokens exceed max_tokens {cfg.max_tokens}")
+        begin("candidates")
+        of_sentences = plan.candidates == "sentences" or plan.graph == "sentences"
+        of_phrases = not of_sentences and (plan.candidates == "phrases" or plan.graph in ("topics", "candidates"))
+        chosen = own.candidates(tokens, plan) if own.candidates else sentence_spans(tokens) if of_sentences else phrase_candidates(tokens, cfg, plan.max_phrases) if of_phrases else None
+        watch.end("candidates")
+        watch.tell("candidates", chosen)
+        p, parts, first, lemmas = None, chosen, None, None
+        begin("graph")
+        if own.graph:
+            graph = own.graph(tokens, chosen, plan)
+            parts = (chosen, None) if of_phrases else chosen if of_sentences else ([], list(graph.keys))
+            lemmas = [k.rpartition("|")[0] or k for k in graph.keys]
+        elif of_sentences:
+            graph = sentence_graph(chosen, plan.min_similarity)
+        elif of_phrases:
+            clusters = None
+            if chosen and own.cluster:
+                clusters = own.cluster(chosen, plan)
+            elif chosen and plan.cluster_threshold is not None:
+                clusters = hac(jaccard_distances([c.terms for c in chosen]), plan.cluster_threshold, plan.linkage)
+            if plan.graph == "topics":
+                clusters = clusters if clusters is not None else [[i] for i in range(len(chosen))]
+                graph = topic_graph(chosen, clusters, plan.edge_weight) if chosen else none
+            else:
+                graph = candidate_graph(chosen, clusters, plan.chain) if chosen else none
+            parts = (chosen, clusters)
         else:
-            graph = candidate_graph(cands, clusters, plan.remove_intra, plan.alpha) if cands else none
-        parts = (cands, clusters)
-    else:
-        binary = plan.binary if plan.binary is not None else not cfg.use_edge_weights
-        graph, first, lemmas = word_graph(tokens, plan.window or cfg.window_size, plan.cross_sentence, binary, cfg)
-        parts = (first, lemmas)
-        if plan.teleport == "position":
+            binary = plan.binary if plan.binary is not None else not cfg.use_edge_weights
+            graph, first, lemmas = word_graph(tokens, plan.window or cfg.window_size, plan.cross_sentence, binary, cfg, chosen)
+            parts = (first, lemmas)
+        watch.end("graph", nodes=len(graph.keys), edges=len(graph.src))
+        if own.transforms:
+            begin("graph_transform")
+            for t in own.transforms:
+                graph = t(graph, tokens, plan)
+            watch.end("graph_transform", nodes=len(graph.keys), edges=len(graph.src))
+        watch.tell("graph", graph)
+        begin("teleport")
+        if own.teleport:
+            p = own.teleport(graph, tokens, plan)
+        elif plan.teleport == "position" and first is not None:
             p = normalised(1.0 / (np.array(first, float) + 1)) if first else np.empty(0)
-        elif plan.teleport == "focus" and plan.focus_terms:
-            p = normalised(np.array([plan.bias_weight if x in plan.focus_terms else 1.0 for x in lemmas]))
-        elif plan.teleport == "topics" and plan.topic_weights:
+        elif plan.teleport == "focus" and plan.focus_terms and lemmas is not None:
+            terms = frozenset(plan.focus_terms)
+            p = normalised(np.array([plan.bias_weight if x in terms else 1.0 for x in lemmas]))
+        elif plan.teleport == "topics" and plan.topic_weights and lemmas is not None:
             known = dict(plan.topic_weights)
             p = normalised(np.array([known.get(x, plan.topic_min_weight) for x in lemmas], float))
-    for what, most, size in (("max_nodes", cfg.max_nodes, len(graph.keys)), ("max_edges", cfg.max_edges, len(graph.src))):
-        if most is not None and size > most:
-            return _Prepared(none, None, None, ("limit_exceeded", "graph", f"{size} exceeds {what} {most}"))
-    return _Prepared(graph, p, parts)
-
-
-def finish(tokens: list[Token], plan: Plan, prepared: _Prepared, scores: np.ndarray, iterations: int, change: float, converged: bool) -> Result:
-    cfg, debug = plan.config, None
+        watch.end("teleport")
+        stage = "graph"
+        for what, most, size in (("max_nodes", cfg.max_nodes, len(graph.keys)), ("max_edges", cfg.max_edges, len(graph.src))):
+            if most is not None and size > most:
+                return failed("limit_exceeded", f"{size} exceeds {what} {most}")
+        return _Prepared(tokens, graph, p, parts)
+    except Exception as e:
+        if not own.custom:
+            raise
+        return failed("stage_failed", f"{type(e).__name__}: {e}")  # a stage of the caller's: the document's error, not the batch's
+
+
+def finish(plan: Plan, prepared: _Prepared, scores: np.ndarray, iterations: int, change: float, converged: bool, trace: list[float] | None = None, watch: Watch = QUIET) -> Result:
+    cfg, debug, tokens, own = plan.config, None, prepared.tokens, plan.stages
     if prepared.error:
         return Result([], 0, False, prepared.error)
     level, splits, dropped = cfg.debug_level, [], []
-    if isinstance(prepared.parts, list):
+    watch.start("phrases")
+    if own.phrases:
+        try:
+            phrases, order = own.phrases(tokens, prepared.graph, scores, plan), order_key
+        except Exception as e:  # noqa: BLE001 - the caller's
+            return Result([], 0, False, ("stage_failed", "phrases", f"{type(e).__name__}: {e}"))
+    elif isinstance(prepared.parts, list):
         phrases = sentence_phrases(tokens, prepared.parts, scores)
         order = lambda p: (-round(p.score, 10), p.offsets[0][0])
     elif plan.graph == "topics":
@@ -680,14 +802,17 @@ def finish(tokens: list[Token], plan: Plan, prepared: _Prepared, scores: np.ndar
         phrases = phrases[: cfg.top_n]
     if plan.sort_by_position and isinstance(prepared.parts, list):
         phrases = sorted(phrases, key=lambda p: p.offsets[0][0])
+    watch.end("phrases")
+    watch.tell("phrases", phrases)
     if level != "none":
         g = prepared.graph
-        debug = {"graph_stats": {"num_nodes": len(g.keys), "num_edges": len(g.src), "avg_degree": len(g.src) / max(1, len(g.keys)), "is_transformed": plan.remove_intra or plan.alpha > 0}}
+        debug = {"graph_stats": {"num_nodes": len(g.keys), "num_edges": len(g.src), "avg_degree": len(g.src) / max(1, len(g.keys)), "is_transformed": bool(plan.chain or own.transforms)}}
         debug["convergence_summary"] = {"iterations": iterations, "final_delta": change if np.isfinite(change) else 0.0, "converged": converged}
         if level in ("top_nodes", "full"):
             best = sorted(zip(g.keys, scores.tolist()), key=lambda x: (-x[1], x[0]))[: cfg.debug_top_k]
             debug["node_scores"] = [{"key": k, "score": s} for k, s in best]
         if level == "full":
+            debug["residuals"] = trace or []
             debug["phrase_diagnostics"] = [{"start": a, "end": b, "text": t, "reason": r} for a, b, t, r in splits]
             debug["dropped_candidates"] = [{"text": t, "lemma": x, "score": s, "reason": r} for t, x, s, r in dropped]
             if isinstance(prepared.parts, tuple) and plan.graph in ("topics", "candidates") and prepared.parts[1]:
@@ -696,8 +821,8 @@ def finish(tokens: list[Token], plan: Plan, prepared: _Prepared, scores: np.ndar
     return Result(phrases, iterations, converged, None, debug)
 
 
-def run_documents(docs: list[list[Token]], plan: Plan, timings: dict[str, float] | None = None) -> list[Result]:
-    """Results in the order of docs."""
+def run_documents(docs: list[list[Token]], plan: Plan, timings: dict[str, float] | None = None, plans: Sequence[Plan] | None = None, watch: Watch = QUIET) -> list[Result]:
+    """Results in the order of docs; plans, one for each, where documents bring their own focus terms or topic weights."""
     clock = [time.perf_counter()]
 
     def lap(stage: str) -> None:
@@ -705,11 +830,27 @@ def run_documents(docs: list[list[Token]], plan: Plan, timings: dict[str, float]
         if timings is not None:
             timings[stage] = timings.get(stage, 0.0) + 1000 * (clock[-1] - clock[-2])
 
-    ready = [prepare(t, plan) for t in docs]
+    plans = plans or [plan] * len(docs)
+    ready = [prepare(t, p, watch) for t, p in zip(docs, plans)]
     lap("graph")
-    ranks = pagerank([r.graph for r in ready], [r.teleport for r in ready], plan.config)
+    traces: list[list[float]] | None = [] if plan.config.debug_level == "full" else None
+    watch.start("rank")
+    graphs, teleports = [r.graph for r in ready], [r.teleport for r in ready]
+    if rank := plan.stages.rank:
+        ranks = []
+        for i, (g, p) in enumerate(zip(graphs, teleports)):
+            try:
+                ranks.append(rank(g, p, plan.config))
+            except Exception as e:  # noqa: BLE001 - the caller's
+                ranks.append((np.zeros(len(g.keys)), 0, 0.0, False))
+                ready[i] = ready[i]._replace(error=ready[i].error or ("stage_failed", "rank", f"{type(e).__name__}: {e}"))
+    else:
+        ranks = pagerank(graphs, teleports, plan.config, traces=traces)
+    if ranks:
+        watch.end("rank", iterations=ranks[0][1], residual=ranks[0][2], converged=ranks[0][3])
+        watch.tell("rank", ranks[0])
     lap("rank")
-    out = [finish(t, plan, r, *k) for t, r, k in zip(docs, ready, ranks)]
+    out = [finish(p, r, *k, trace=traces[i] if traces else None, watch=watch) for i, (p, r, k) in enumerate(zip(plans, ready, ranks))]
     lap("phrases")
     return out
 
@@ -729,8 +870,8 @@ def from_structs(rows: list[dict] | None) -> list[Token]:
     return [Token(r["text"] or "", r["lemma"] or "", T.py_tag_name(r["pos"]), r["start"] or 0, r["end"] or 0, r["sentence_idx"] or 0, bool(r["is_stopword"])) for r in rows]
 
 
-def _documents(plan: Plan, batches: Iterator[pa.RecordBatch], size: int = 128) -> Iterator[tuple[list, list[list[Token]]]]:
-    """(ids, documents' tokens), a few at once; documents come as text and language or as token structs."""
+def _documents(plan: Plan, batches: Iterator[pa.RecordBatch], size: int = 128) -> Iterator[tuple[list, list[list[Token]], list[Plan] | None]]:
+    """(ids, documents' tokens, their plans), a few at once; documents come as text and language or as token structs."""
     tokenise = tokenizer(plan.config.stopwords)
     extra = {w.lower() for w in plan.config.stopwords}
     gc.disable()  # tokens are many small objects without a cycle among them
@@ -745,15 +886,25 @@ def _documents(plan: Plan, batches: Iterator[pa.RecordBatch], size: int = 128) -
                     docs = [[t._replace(is_stopword=t.is_stopword or t.text.lower() in extra) for t in d] for d in docs]
             else:
                 docs = [tokenise(text, lang) for text, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-            yield ids, docs
+            plans = None
+            for name, of in (("focus_terms", lambda x: tuple(t.lower() for t in x if t is not None)), ("topic_weights", lambda x: tuple(sorted((k, v) for k, v in x if v is not None)))):
+                if name in part.schema.names:
+                    plans = [p if x is None else p.with_(**{name: of(x)}) for p, x in zip(plans or [plan] * len(ids), part.column(name).to_pylist())]
+            yield ids, docs, plans
 
 
 def _input(docs: DataFrame, plan: Plan) -> DataFrame:
+    """What the kernels read; focus_terms (array) and topic_weights (map) of docs are a document's own, where they aren't null."""
+    own = []
+    if plan.teleport == "focus" and "focus_terms" in docs.columns:
+        own.append(docs["focus_terms"].cast("array<string>").alias("focus_terms"))
+    if plan.teleport == "topics" and "topic_weights" in docs.columns:
+        own.append(docs["topic_weights"].cast("map<string, double>").alias("topic_weights"))
     doc_id = docs["doc_id"].cast("long").alias("doc_id")
     if "tokens" in docs.columns:
-        return spread(docs.select(doc_id, docs["tokens"].cast(TOKEN_FIELDS).alias("tokens")))
+        return spread(docs.select(doc_id, docs["tokens"].cast(TOKEN_FIELDS).alias("tokens"), *own))
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(plan.config.language)
-    return spread(docs.select(doc_id, docs["text"].cast("string").alias("text"), lang.alias("lang")))
+    return spread(docs.select(doc_id, docs["text"].cast("string").alias("text"), lang.alias("lang"), *own))
 
 
 def _offsets(p: Phrase) -> list[dict]:
@@ -766,8 +917,8 @@ def extract(docs: DataFrame, plan: Plan) -> DataFrame:
     types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), PHRASE_TYPE.field("offsets").type, pa.int32(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tokens in _documents(plan, batches):
-            rows = [(i, k, p.text, p.lemma, p.score, p.count, _offsets(p), r.iterations, r.converged) for i, r in zip(ids, run_documents(tokens, plan)) for k, p in enumerate(r.phrases, 1)]
+        for ids, tokens, plans in _documents(plan, batches):
+            rows = [(i, k, p.text, p.lemma, p.score, p.count, _offsets(p), r.iterations, r.converged) for i, r in zip(ids, run_documents(tokens, plan, plans=plans)) for k, p in enumerate(r.phrases, 1)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
@@ -780,9 +931,9 @@ def extract_results(docs: DataFrame, plan: Plan) -> DataFrame:
     types = [pa.int64(), pa.list_(PHRASE_TYPE), pa.bool_(), pa.int32(), error, pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tokens in _documents(plan, batches):
+        for ids, tokens, plans in _documents(plan, batches):
             rows = []
-            for i, r in zip(ids, run_documents(tokens, plan)):
+            for i, r in zip(ids, run_documents(tokens, plan, plans=plans)):
                 found = [{"rank": k, **p._asdict(), "offsets": _offsets(p)} for k, p in enumerate(r.phrases, 1)]
                 rows.append((i, found, r.converged, r.iterations, dict(zip(("code", "stage", "message"), r.error)) if r.error else None, json.dumps(r.debug) if r.debug else None))
             if rows:
@@ -791,12 +942,23 @@ def extract_results(docs: DataFrame, plan: Plan) -> DataFrame:
     return _input(docs, plan).mapInArrow(run, RESULTS)
 
 
+def formatted(docs: DataFrame, plan: Plan) -> DataFrame:
+    """doc_id, value: each document's result as the plan's format stage gives it, in JSON."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, tokens, plans in _documents(plan, batches):
+            values = [json.dumps(plan.stages.format(r) if plan.stages.format else r._asdict(), ensure_ascii=False) for r in run_documents(tokens, plan, plans=plans)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], names=["doc_id", "value"])
+
+    return _input(docs, plan).mapInArrow(run, "doc_id long, value string")
+
+
 def node_scores(docs: DataFrame, plan: Plan, weighted: bool = True) -> DataFrame:
     """doc_id, key, score, iterations, converged, of each node of the documents' graphs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tokens in _documents(plan, batches):
-            ready = [prepare(t, plan) for t in tokens]
+        for ids, tokens, plans in _documents(plan, batches):
+            ready = [prepare(t, p) for t, p in zip(tokens, plans or [plan] * len(tokens))]
             rows = [
                 (i, k, s, steps, done)
                 for i, r, (scores, steps, _, done) in zip(ids, ready, pagerank([r.graph for r in ready], [r.teleport for r in ready], plan.config, weighted))
@@ -812,7 +974,7 @@ def clusters(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, cand, cluster, lemma: the topic of each phrase candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tokens in _documents(plan, batches):
+        for ids, tokens, _ in _documents(plan, batches):
             rows = []
             for i, t in zip(ids, tokens):
                 cands = phrase_candidates(t, plan.config, plan.max_phrases)
@@ -830,9 +992,9 @@ def summarize(docs: DataFrame, plan: Plan, n: int = 3, lam: float = 0.7, least:
     types = [pa.int64(), pa.int32(), pa.string(), *[pa.float64()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tokens in _documents(plan, batches):
+        for ids, tokens, plans in _documents(plan, batches):
             rows = []
-            for i, t, r in zip(ids, tokens, run_documents(tokens, plan)):
+            for i, t, r in zip(ids, tokens, run_documents(tokens, plan, plans=plans)):
                 chosen, relevance, diversity = summary(t, r.phrases, n, lam, least, most)
                 rows += [(i, s.sentence_idx, " ".join(x.text for x in t[s.start_token : s.end_token]), s.relevance, s.mmr_score, s.selection_score, relevance, diversity) for s in chosen]
             if rows:

@@ -49,6 +49,17 @@ def edges(pairs: DataFrame) -> DataFrame:
     )
 
 
+def directed_edges(rows: DataFrame) -> DataFrame:
+    """doc_id, src, dst, w: rows(doc_id, src, dst, w) with the weights of one direction added up."""
+    return rows.groupBy("doc_id", "src", "dst").agg(F.sum("w").alias("w"))
+
+
+def followers(occ: DataFrame) -> DataFrame:
+    """doc_id, src, dst, w = 1: each key and the next one of its sentence."""
+    w = Window.partitionBy("doc_id", "sentence_idx").orderBy("token_idx")
+    return occ.select("doc_id", F.col("key").alias("src"), F.lead("key").over(w).alias("dst"), F.lit(1.0).alias("w")).where("dst IS NOT NULL")
+
+
 def node_degrees(nodes: DataFrame, edges_: DataFrame) -> DataFrame:
     """doc_id, key, degree, total_weight; a node without an edge has 0 (it dangles)."""
     out = edges_.groupBy("doc_id", F.col("src").alias("key")).agg(F.count("*").alias("degree"), F.sum("w").alias("total_weight"))
@@ -90,10 +101,15 @@ def focus_weight(terms: Sequence[str], bias: float = 5.0) -> Column:
     return F.when(F.col("lemma").isin(*terms), F.lit(float(bias))).otherwise(F.lit(1.0)) if terms else F.lit(1.0)
 
 
+#: rows of a caller's dictionary up to which its table is broadcast
+MOST_BROADCAST = 100_000
+
+
 def topic_teleport(nodes: DataFrame, weights: dict[str, float], min_weight: float = 0.0) -> DataFrame:
-    """Weights by lemma, min_weight for the others.  The weights are the caller's dictionary, so they are literals, not a join."""
-    known = F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, float(v)))) if weights else None
-    return teleport(nodes, F.coalesce(F.element_at(known, F.col("lemma")), F.lit(float(min_weight))) if weights else F.lit(float(min_weight)))
+    """Weights by lemma, min_weight for the others: a left join with the caller's dictionary."""
+    table = nodes.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "lemma string, topic_weight double")
+    table = F.broadcast(table) if len(weights) <= MOST_BROADCAST else table
+    return teleport(nodes.join(table, "lemma", "left"), F.coalesce("topic_weight", F.lit(float(min_weight))))
 
 
 def sparse_teleport(nodes: DataFrame, weights: DataFrame) -> DataFrame:

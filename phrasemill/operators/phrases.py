@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .document import Scored
+from .document import resolve_overlaps as sweep
+from .document import resolve_overlaps_greedy as greedy
+
+OVERLAP_TYPES = pa.schema(
+    [("doc_id", pa.int64()), *((n, pa.int32()) for n in ("start_token", "end_token", "start_char", "end_char")), ("text", pa.string()), ("lemma", pa.string()), ("score", pa.float64()), ("is_kept", pa.bool_())]
+    + [("overlaps_start", pa.int32()), ("overlaps_end", pa.int32())]
+)
 
 
 def chunk_tokens(tokens: DataFrame, min_length: int = 1, max_length: int = 4, determiners: bool = False) -> DataFrame:
@@ -85,6 +94,75 @@ def topic_graph(gaps: DataFrame, clusters: DataFrame, edge_weight: float = 1.0)
     )
 
 
+def without_intra(gaps: DataFrame, clusters: DataFrame) -> DataFrame:
+    """doc_id, src, dst, w, both directions: gap weights between candidates of different clusters(doc_id, cand, cluster)."""
+    l, r = clusters.select("doc_id", F.col("cand").alias("a"), F.col("cluster").alias("x")), clusters.select("doc_id", F.col("cand").alias("b"), F.col("cluster").alias("y"))
+    apart = gaps.join(l, ["doc_id", "a"]).join(r, ["doc_id", "b"]).where("x <> y")
+    ends = lambda s, d: F.struct(F.col(s).alias("src"), F.col(d).alias("dst"))
+    return apart.select("doc_id", F.explode(F.array(ends("a", "b"), ends("b", "a"))).alias("e"), "weight").select("doc_id", "e.src", "e.dst", F.col("weight").alias("w"))
+
+
+def alpha_boosts(edges: DataFrame, cands: DataFrame, clusters: DataFrame, alpha: float = 1.1) -> DataFrame:
+    """doc_id, src, dst, boost: what the first candidate of each cluster gains from a candidate of another cluster.
+
+    That is the weight of the edges from the cluster's other members to that candidate, times alpha * exp(1 / (1 + the first one's place)).
+    """
+    placed = clusters.join(cands.select("doc_id", "cand", "start_token"), ["doc_id", "cand"])
+    first = placed.groupBy("doc_id", "cluster").agg(F.min("start_token").alias("place"), F.min_by("cand", "start_token").alias("first"))
+    others = placed.join(first, ["doc_id", "cluster"]).where("cand <> first").select("doc_id", "cluster", "first", "place", F.col("cand").alias("src"))
+    return (
+        edges.join(others, ["doc_id", "src"])
+        .groupBy("doc_id", F.col("dst").alias("src"), F.col("first").alias("dst"), "place")
+        .agg(F.sum("w").alias("sum_w"))
+        .select("doc_id", "src", "dst", (F.lit(float(alpha)) * F.exp(1.0 / (1.0 + F.col("place"))) * F.col("sum_w")).alias("boost"))
+    )
+
+
+def topic_phrases(cands: DataFrame, clusters: DataFrame, scores: DataFrame) -> DataFrame:
+    """doc_id, cluster, lemma, score, count, start_token: each topic by its first candidate, with scores(doc_id, cluster, score)."""
+    rows = clusters.join(cands, ["doc_id", "cand"]).groupBy("doc_id", "cluster").agg(F.min_by("lemma", "start_token").alias("lemma"), F.min("start_token").alias("start_token"), F.count("*").alias("count"))
+    return rows.join(scores, ["doc_id", "cluster"])
+
+
+def best_by_lemma(cands: DataFrame, scores: DataFrame) -> DataFrame:
+    """doc_id, lemma, cand, score, count: of the candidates of one lemma the one with the highest score, the last of several."""
+    rows = cands.join(scores.select("doc_id", "cand", "score"), ["doc_id", "cand"])
+    best = F.struct(F.round("score", 12).alias("r"), F.col("cand").alias("c"))
+    return rows.groupBy("doc_id", "lemma").agg(F.max_by("cand", best).alias("cand"), F.max("score").alias("score"), F.count("*").alias("count"))
+
+
+OVERLAPS = "doc_id long, start_token int, end_token int, start_char int, end_char int, text string, lemma string, score double, is_kept boolean, overlaps_start int, overlaps_end int"
+
+
+def resolve_overlaps(scored: DataFrame, how: str = "greedy") -> DataFrame:
+    """OVERLAPS of scored(doc_id, start_token, end_token, start_char, end_char, text, lemma, score): which chunks stay.
+
+    greedy: the best first, whatever overlaps one that stays goes, with the place of that one; sweep: from left to right, a
+    chunk that overlaps the last one replaces it if its score is higher.  A document's chunks are one group.
+    """
+    if how not in ("greedy", "sweep"):
+        raise ValueError(f"unknown way: {how}")
+    names = [f.split()[0] for f in OVERLAPS.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(names[:8]).to_pylist()
+        rows.sort(key=lambda r: (r["start_char"], -r["score"], r["end_char"], r["start_token"]))
+        chunks = [Scored((r["start_token"], i), r["start_char"], r["end_char"], r["text"], r["lemma"], r["score"]) for i, r in enumerate(rows)]
+        of: dict[int, Scored] = {}
+        if how == "greedy":
+            kept, dropped = greedy(chunks)
+            of = {c.chunk[1]: other for c, other in dropped}
+        else:
+            kept = sweep(chunks)
+        stay = {c.chunk[1] for c in kept}
+        for i, r in enumerate(rows):
+            r |= {"is_kept": i in stay, "overlaps_start": of[i].start_char if i in of else None, "overlaps_end": of[i].end_char if i in of else None}
+        return pa.Table.from_pylist(rows, schema=OVERLAP_TYPES)
+
+    cols = [F.col(n.split()[0]).cast(n.split()[1]).alias(n.split()[0]) for n in OVERLAPS.split(", ")[:8]]
+    return scored.select(*cols).groupBy("doc_id").applyInArrow(run, OVERLAPS)
+
+
 def chunk_scores(members: DataFrame, scores: DataFrame, aggregate: str = "sum", use_pos: bool = True) -> DataFrame:
     """chunks() with ``score`` over its tokens' scores(doc_id, key, score); tokens without a node don't count."""
     keyed = members.withColumn("key", T.graph_key(F.col("lemma"), F.col("pos"), use_pos)).join(scores.select("doc_id", "key", "score"), ["doc_id", "key"], "left")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from typing import Any, Protocol
+from typing import Any
 
 from pyspark.sql import DataFrame
 
+from ..errors import ConvergenceFailure, EmptyInput, NoCandidates, PipelineRuntimeError
 from ..operators import document as D
 from .config import Plan, TextRankConfig, plan_for
 
@@ -75,6 +77,7 @@ class DebugPayload:
     cluster_memberships: list[list[int]] = field(default_factory=list)
     cluster_details: list[ClusterDetail] = field(default_factory=list)
     stage_timings: list[tuple[str, float]] = field(default_factory=list)
+    residuals: list[float] = field(default_factory=list)
 
     @classmethod
     def of(cls, x: dict[str, Any] | None, timings: dict[str, float]) -> DebugPayload | None:
@@ -89,6 +92,7 @@ class DebugPayload:
             x.get("cluster_memberships", []),
             [ClusterDetail([ClusterMember(**m) for m in c]) for c in x.get("cluster_details", [])],
             list(timings.items()),
+            x.get("residuals", []),
         )
 
 
@@ -109,16 +113,88 @@ class TextRankResult:
         return self.phrases[i]
 
 
-class Observer(Protocol):
-    """Is told of each stage's time in milliseconds."""
+@dataclass(frozen=True)
+class StageReport:
+    """What a stage took, and what it made, where that applies."""
+
+    duration_us: int
+    nodes: int | None = None
+    edges: int | None = None
+    iterations: int | None = None
+    converged: bool | None = None
+    residual: float | None = None
+
+    @property
+    def duration_ms(self) -> float:
+        return self.duration_us / 1000
+
+
+class PipelineObserver:
+    """Is told what happens to a document; a subclass says what it wants to know.
+
+    Stages: preprocess, candidates, graph, graph_transform, teleport, rank, phrases.
+    """
+
+    def on_stage_start(self, stage: str) -> None: ...
+
+    def on_stage_end(self, stage: str, report: StageReport) -> None: ...
+
+    def on_tokens(self, tokens: list[D.Token]) -> None: ...
+
+    def on_candidates(self, candidates: Any) -> None: ...
+
+    def on_graph(self, graph: D.Graph) -> None: ...
+
+    def on_rank(self, rank: tuple) -> None: ...
+
+    def on_phrases(self, phrases: list[D.Phrase]) -> None: ...
+
 
-    def on_stage(self, stage: str, milliseconds: float) -> None: ...
+class StageTimingObserver(PipelineObserver):
+    def __init__(self) -> None:
+        self.reports: list[tuple[str, StageReport]] = []
+
+    def on_stage_end(self, stage: str, report: StageReport) -> None:
+        self.reports.append((stage, report))
+
+    @property
+    def total_duration_ms(self) -> float:
+        return sum(r.duration_ms for _, r in self.reports)
+
+
+class StageClock:
+    """Microseconds since it was made."""
+
+    def __init__(self) -> None:
+        self.began = time.perf_counter()
+
+    def elapsed_us(self) -> int:
+        return int(1e6 * (time.perf_counter() - self.began))
+
+
+class _Watching(D.Watch):
+    def __init__(self, observers: list[PipelineObserver]):
+        self.observers, self.clocks = observers, {}
+
+    def start(self, stage: str) -> None:
+        self.clocks[stage] = StageClock()
+        for o in self.observers:
+            o.on_stage_start(stage)
+
+    def end(self, stage: str, **metrics: Any) -> None:
+        report = StageReport(self.clocks[stage].elapsed_us(), **metrics)
+        for o in self.observers:
+            o.on_stage_end(stage, report)
+
+    def tell(self, what: str, value: Any) -> None:
+        for o in self.observers:
+            getattr(o, f"on_{what}")(value)
 
 
 class _Extractor:
     variant = "textrank"
 
-    def __init__(self, config: TextRankConfig | None = None, top_n: int | None = None, language: str | None = None, observers: Iterable[Observer] = ()):
+    def __init__(self, config: TextRankConfig | None = None, top_n: int | None = None, language: str | None = None, observers: Iterable[PipelineObserver] = ()):
         changes = {k: v for k, v in (("top_n", top_n), ("language", language)) if v is not None}
         self.config = (config or TextRankConfig()).with_(**changes)
         self.settings: dict[str, Any] = {}
@@ -127,14 +203,22 @@ class _Extractor:
     def plan(self) -> Plan:
         return plan_for(self.variant, self.config, **self.settings)
 
-    def extract_tokens(self, tokens: list[D.Token]) -> TextRankResult:
+    def _set(self, **settings: Any) -> Any:
+        self.settings |= settings
+        return self
+
+    def extract_tokens(self, tokens: list[D.Token], strict: bool = False) -> TextRankResult:
+        """strict: without a token, without a candidate and without convergence there is an error instead of a result."""
         timings: dict[str, float] = {}
-        r = D.run_documents([tokens], self.plan(), timings)[0]
-        for o in self.observers:
-            for stage, ms in timings.items():
-                o.on_stage(stage, ms)
+        r = D.run_documents([tokens], self.plan(), timings, watch=_Watching(self.observers) if self.observers else D.QUIET)[0]
         if r.error:
-            raise ValueError(": ".join(r.error))
+            raise PipelineRuntimeError(*r.error)
+        if strict and not tokens:
+            raise EmptyInput("the text has no token")
+        if strict and not r.iterations:
+            raise NoCandidates("no token or phrase of the text is a candidate")
+        if strict and not r.converged:
+            raise ConvergenceFailure(r.iterations, r.debug["convergence_summary"]["final_delta"] if r.debug else float("nan"))
         return TextRankResult([Phrase(**p._asdict(), rank=i) for i, p in enumerate(r.phrases, 1)], r.converged, r.iterations, DebugPayload.of(r.debug, timings))
 
     def extract_keywords(self, text: str) -> TextRankResult:
@@ -173,7 +257,10 @@ class BiasedTextRank(_Extractor):
         self.settings["focus_terms"] = tuple(t.lower() for t in focus_terms)
         return self
 
-    change_focus = set_focus
+    change_focus = with_focus = set_focus
+
+    def with_bias_weight(self, bias_weight: float) -> BiasedTextRank:
+        return self._set(bias_weight=float(bias_weight))
 
     def extract_keywords(self, text: str, focus_terms: Iterable[str] | None = None) -> TextRankResult:
         """Terms given here stay."""
@@ -194,6 +281,11 @@ class TopicalPageRank(_Extractor):
         self.settings["topic_weights"] = tuple(sorted(topic_weights.items()))
         return self
 
+    with_topic_weights = set_topic_weights
+
+    def with_min_weight(self, min_weight: float) -> TopicalPageRank:
+        return self._set(topic_min_weight=float(min_weight))
+
     def extract_keywords(self, text: str, topic_weights: dict[str, float] | None = None) -> TextRankResult:
         """Weights given here stay."""
         if topic_weights is not None:
@@ -208,6 +300,15 @@ class TopicRank(_Extractor):
         super().__init__(config, top_n, language, observers)
         self.settings |= {"cluster_threshold": min(max(similarity_threshold, 0.0), 1.0), "edge_weight": max(0.0, edge_weight), "max_phrases": max_phrases, "linkage": linkage}
 
+    def with_similarity_threshold(self, x: float) -> TopicRank:
+        return self._set(cluster_threshold=min(max(x, 0.0), 1.0))
+
+    def with_edge_weight(self, x: float) -> TopicRank:
+        return self._set(edge_weight=max(0.0, x))
+
+    def with_max_phrases(self, n: int) -> TopicRank:
+        return self._set(max_phrases=n)
+
 
 class MultipartiteRank(_Extractor):
     variant = "multipartite_rank"
@@ -216,6 +317,15 @@ class MultipartiteRank(_Extractor):
         super().__init__(config, top_n, language, observers)
         self.settings |= {"cluster_threshold": min(max(similarity_threshold, 0.0), 1.0), "alpha": max(0.0, alpha), "max_phrases": max_phrases}
 
+    def with_similarity_threshold(self, x: float) -> MultipartiteRank:
+        return self._set(cluster_threshold=min(max(x, 0.0), 1.0))
+
+    def with_alpha(self, x: float) -> MultipartiteRank:
+        return self._set(alpha=max(0.0, x))
+
+    def with_max_phrases(self, n: int) -> MultipartiteRank:
+        return self._set(max_phrases=n)
+
 
 class SentenceRank(_Extractor):
     variant = "sentence_rank"
@@ -230,3 +340,35 @@ class SentenceRank(_Extractor):
 
 def extract_keywords(text: str, top_n: int = 10, language: str = "en") -> list[Phrase]:
     return BaseTextRank(top_n=top_n, language=language).extract_keywords(text).phrases
+
+
+def _keyphrases(extractor: _Extractor, tokens: list[D.Token]) -> list[Phrase]:
+    return extractor.extract_tokens(tokens).phrases
+
+
+def extract_keyphrases(tokens: list[D.Token], config: TextRankConfig | None = None) -> list[Phrase]:
+    return _keyphrases(BaseTextRank(config), tokens)
+
+
+def extract_keyphrases_position(tokens: list[D.Token], config: TextRankConfig | None = None) -> list[Phrase]:
+    return _keyphrases(PositionRank(config), tokens)
+
+
+def extract_keyphrases_biased(tokens: list[D.Token], focus_terms: Iterable[str], bias_weight: float = 5.0, config: TextRankConfig | None = None) -> list[Phrase]:
+    return _keyphrases(BiasedTextRank(focus_terms, bias_weight, config), tokens)
+
+
+def extract_keyphrases_singlerank(tokens: list[D.Token], config: TextRankConfig | None = None) -> list[Phrase]:
+    return _keyphrases(SingleRank(config), tokens)
+
+
+def extract_keyphrases_topical(tokens: list[D.Token], topic_weights: dict[str, float], config: TextRankConfig | None = None) -> list[Phrase]:
+    return _keyphrases(TopicalPageRank(topic_weights, config=config), tokens)
+
+
+def extract_keyphrases_topic(tokens: list[D.Token], config: TextRankConfig | None = None) -> list[Phrase]:
+    return _keyphrases(TopicRank(config=config), tokens)
+
+
+def extract_keyphrases_multipartite(tokens: list[D.Token], config: TextRankConfig | None = None) -> list[Phrase]:
+    return _keyphrases(MultipartiteRank(config=config), tokens)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame
 
@@ -25,8 +26,14 @@ class Pipeline:
         """operators.document.PHRASES of docs, whose hooks have seen both."""
         return reduce(lambda df, f: f(df), self.after, D.extract(reduce(lambda df, f: f(df), self.before, docs), self.plan))
 
-    def run_documents(self, docs: list[list[D.Token]]) -> list[D.Result]:
-        return D.run_documents(docs, self.plan)
+    def run_documents(self, docs: list[list[D.Token]]) -> list[Any]:
+        """Results, through the plan's format stage if it has one."""
+        found = D.run_documents(docs, self.plan)
+        return list(map(self.plan.stages.format, found)) if self.plan.stages.format else found
+
+    def formatted(self, docs: DataFrame) -> DataFrame:
+        """doc_id, value: what the format stage makes of each document's result, as JSON."""
+        return D.formatted(reduce(lambda df, f: f(df), self.before, docs), self.plan)
 
 
 @dataclass
@@ -68,6 +75,14 @@ class PipelineBuilder:
     def teleport(self, kind: str, focus_terms: Iterable[str] = (), bias_weight: float = 5.0, topic_weights: dict[str, float] | None = None, min_weight: float = 0.0) -> PipelineBuilder:
         return self._with(teleport=kind, focus_terms=tuple(focus_terms), bias_weight=bias_weight, topic_weights=tuple(sorted((topic_weights or {}).items())), topic_min_weight=min_weight)
 
+    def stage(self, **functions) -> PipelineBuilder:
+        """Functions in place of stages: stage(candidates=..., rank=...); see plans.config.Stages."""
+        return self._with(stages=replace(self._plan.stages, **functions))
+
+    def transforms(self, *chain) -> PipelineBuilder:
+        """Transforms of a candidate graph in order: numbers and functions, as operators.document.candidate_graph takes them."""
+        return self._with(transforms=tuple(chain))
+
     def config(self, **changes) -> PipelineBuilder:
         return self._with(config=self._plan.config.with_(**changes))
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from typing import Any
+
+from ..errors import InvalidConfig
 
 GROUPINGS = {"scrubbed_text": "scrubbed_text", "scrubbed": "scrubbed_text", "lemma": "lemma"}
 AGGREGATES = {"sum": "sum", "mean": "mean", "average": "mean", "avg": "mean", "max": "max", "maximum": "max", "rms": "rms", "root_mean_square": "rms"}
@@ -45,13 +49,19 @@ class TextRankConfig:
         )
         for ok, message in checks:
             if not ok:
-                raise ValueError(message)
+                raise InvalidConfig(message)
         return self
 
     def with_(self, **changes) -> TextRankConfig:
         """A copy with some fields changed, validated."""
         return replace(self, **changes).validate()
 
+    def __getattr__(self, name: str) -> Callable[[Any], TextRankConfig]:
+        """with_damping(0.9) and so on, for each field."""
+        if name[:5] == "with_" and name[5:] in type(self).__dataclass_fields__:
+            return lambda value: self.with_(**{name[5:]: value})
+        raise AttributeError(name)
+
 
 def grouping_of(name: str | None) -> str:
     """An unknown name means by lemma, no name the default."""
@@ -70,6 +80,31 @@ def debug_level_of(name: str | None) -> str:
     return low if low in DEBUG_LEVELS else "none"
 
 
+@dataclass(frozen=True)
+class Stages:
+    """Functions that stand for a plan's own stages, each of one document; what is None is as the plan says.
+
+    An error in one is that document's error (stage_failed), with the stage's name.
+    """
+
+    preprocess: Callable[[list], list] | None = None  # tokens to tokens
+    candidates: Callable[[list, Plan], Any] | None = None  # tokens to places of tokens, or to phrase or sentence candidates
+    cluster: Callable[[list, Plan], list[list[int]]] | None = None  # phrase candidates to clusters of their numbers
+    graph: Callable[[list, Any, Plan], Any] | None = None  # tokens and candidates to a Graph
+    transforms: tuple[Callable[[Any, list, Plan], Any], ...] = ()  # a Graph to a Graph, in order
+    teleport: Callable[[Any, list, Plan], Any] | None = None  # Graph to a weight for each node, normalised
+    rank: Callable[[Any, Any, TextRankConfig], tuple] | None = None  # Graph and teleport to (scores, iterations, change, converged)
+    phrases: Callable[[list, Any, Any, Plan], list] | None = None  # tokens, Graph and scores to phrases
+    format: Callable[[Any], Any] | None = None  # a Result to what is returned
+
+    @property
+    def custom(self) -> bool:
+        return self != NO_STAGES
+
+
+NO_STAGES = Stages()
+
+
 @dataclass(frozen=True)
 class Plan:
     """What is done with each document; the kernels in operators.document run it."""
@@ -83,6 +118,7 @@ class Plan:
     min_similarity: float = 0.0
     remove_intra: bool = False
     alpha: float = 0.0
+    transforms: tuple[Any, ...] = ()  # of a candidate graph, in order; see operators.document.candidate_graph
     edge_weight: float = 1.0
     cluster_threshold: float | None = None
     linkage: str = "average"
@@ -94,10 +130,16 @@ class Plan:
     topic_min_weight: float = 0.0
     sort_by_position: bool = False
     config: TextRankConfig = field(default_factory=TextRankConfig)
+    stages: Stages = NO_STAGES
 
     def with_(self, **changes) -> Plan:
         return replace(self, **changes)
 
+    @property
+    def chain(self) -> tuple[Any, ...]:
+        """The transforms; remove_intra and alpha stand for one of their own."""
+        return self.transforms or ((self.alpha,) if self.remove_intra or self.alpha > 0 else ())
+
 
 VARIANTS = {
     "textrank": {},

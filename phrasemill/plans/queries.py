@@ -218,6 +218,12 @@ def cooccur_binary(spark, sf_dir):
     return G.cooccurrences(G.occurrences(toks(spark, sf_dir)), binary=True)
 
 
+@query(TOKENS + """, nxt AS (SELECT doc_id, key AS src, lead(key) OVER (PARTITION BY doc_id, sentence_idx ORDER BY token_idx) AS dst FROM occ)
+  SELECT doc_id, src, dst, count(*)::DOUBLE AS w FROM nxt WHERE dst IS NOT NULL GROUP BY doc_id, src, dst""")
+def directed_edges(spark, sf_dir):
+    return G.directed_edges(G.followers(G.occurrences(toks(spark, sf_dir))))
+
+
 @query(TOKENS + f", {_pairs(4, cross=True)} SELECT doc_id, a, b, w FROM pairs")
 def cooccur_cross(spark, sf_dir):
     return G.cooccurrences(G.occurrences(toks(spark, sf_dir)), 4, cross_sentence=True)
@@ -343,6 +349,53 @@ def topic_graph_given_clusters(spark, sf_dir):
     return rounded(P.topic_graph(P.candidate_gaps(cands), own), "w")
 
 
+_BY_LEMMA_CLUSTERS = ", cl AS (SELECT doc_id, cand, lemma, start_token, dense_rank() OVER (PARTITION BY doc_id ORDER BY lemma) AS cluster FROM cands)"
+
+
+def _clustered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Candidates, and clusters that stand for hac's: those of one lemma."""
+    from pyspark.sql import Window
+
+    cands = P.phrase_candidates(P.chunk_tokens(toks(spark, sf_dir)))
+    return cands, cands.select("doc_id", "cand", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("lemma")).alias("cluster"))
+
+
+@query(TOKENS + _chunks() + _CANDS + _GAPS + _BY_LEMMA_CLUSTERS + """, e AS (
+    SELECT g.doc_id, unnest([a, b]) AS src, unnest([b, a]) AS dst, 1.0::DOUBLE / gap AS w FROM gaps g JOIN cl x ON x.doc_id = g.doc_id AND x.cand = g.a JOIN cl y ON y.doc_id = g.doc_id AND y.cand = g.b WHERE x.cluster <> y.cluster)
+  SELECT doc_id, src, count(*) AS n, round(sum(w), 6) AS w FROM e GROUP BY doc_id, src""")
+def intra_topic_removal(spark, sf_dir):
+    cands, own = _clustered(spark, sf_dir)
+    return P.without_intra(P.candidate_gaps(cands), own).groupBy("doc_id", "src").agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("w"))
+
+
+@query(TOKENS + _chunks() + _CANDS + _GAPS + _BY_LEMMA_CLUSTERS + """, e AS (
+    SELECT g.doc_id, unnest([a, b]) AS src, unnest([b, a]) AS dst, 1.0::DOUBLE / gap AS w FROM gaps g JOIN cl x ON x.doc_id = g.doc_id AND x.cand = g.a JOIN cl y ON y.doc_id = g.doc_id AND y.cand = g.b WHERE x.cluster <> y.cluster),
+  f AS (SELECT doc_id, cluster, min(start_token) AS place, arg_min(cand, start_token) AS first FROM cl GROUP BY doc_id, cluster),
+  boosts AS (SELECT e.doc_id, e.dst AS src, f.first AS dst, 1.1 * exp(1.0::DOUBLE / (1.0 + place)) * sum(e.w) AS boost
+    FROM e JOIN cl ON cl.doc_id = e.doc_id AND cl.cand = e.src JOIN f ON f.doc_id = cl.doc_id AND f.cluster = cl.cluster WHERE cl.cand <> f.first GROUP BY e.doc_id, e.dst, f.first, place)
+  SELECT doc_id, dst, count(*) AS n, round(sum(boost), 5) AS boost FROM boosts GROUP BY doc_id, dst""")
+def multipartite_boost(spark, sf_dir):
+    cands, own = _clustered(spark, sf_dir)
+    found = P.alpha_boosts(P.without_intra(P.candidate_gaps(cands), own), cands, own)
+    return found.groupBy("doc_id", "dst").agg(F.count("*").alias("n"), F.round(F.sum("boost"), 5).alias("boost"))
+
+
+@query(TOKENS + _chunks() + _CANDS + _BY_LEMMA_CLUSTERS + " SELECT doc_id, cluster, arg_min(lemma, start_token) AS lemma, min(start_token) AS start_token, count(*) AS count, round(sum(1.0::DOUBLE / (1 + start_token)), 9) AS score FROM cl GROUP BY doc_id, cluster")
+def topic_representatives(spark, sf_dir):
+    """Each topic by its first candidate; places stand for scores."""
+    cands, own = _clustered(spark, sf_dir)
+    scores = own.join(cands, ["doc_id", "cand"]).groupBy("doc_id", "cluster").agg(F.round(F.sum(1.0 / (1 + F.col("start_token"))), 9).alias("score"))
+    return P.topic_phrases(cands, own, scores)
+
+
+@query(TOKENS + _chunks() + _CANDS + """, sc AS (SELECT *, 1.0::DOUBLE / (1 + start_token % 7) AS score FROM cands)
+  SELECT doc_id, lemma, arg_max(cand, (round(score, 12), cand)) AS cand, round(max(score), 9) AS score, count(*) AS count FROM sc GROUP BY doc_id, lemma""")
+def multipartite_groups(spark, sf_dir):
+    cands = P.phrase_candidates(P.chunk_tokens(toks(spark, sf_dir)))
+    found = P.best_by_lemma(cands, cands.select("doc_id", "cand", (1.0 / (1 + F.col("start_token") % 7)).alias("score")))
+    return found.withColumn("score", F.round("score", 9))
+
+
 def _scored_sql(how: str, top: str) -> str:
     return TOKENS + _rank("1.0") + _chunks() + f""", scored AS (
   SELECT m.doc_id, m.chunk_start AS start_token, max(m.token_idx) + 1 AS end_token, string_agg(m.text, ' ' ORDER BY m.token_idx) AS text, string_agg(m.lemma, ' ' ORDER BY m.token_idx) AS lemma, coalesce({how}, 0.0) AS score
@@ -390,8 +443,8 @@ def phrases_lemma(spark, sf_dir):
     return _flat(P.phrases(_scored(spark, sf_dir), "lemma"))
 
 
-_TOP = """, best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 10) DESC, offsets[1][1], offsets[1][2] - offsets[1][1], lemma) AS rank FROM grouped)
-SELECT doc_id, rank, text, lemma, round(score + 3e-10, 6) AS score, count FROM best WHERE rank <= 10"""
+_BEST = ", best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 10) DESC, offsets[1][1], offsets[1][2] - offsets[1][1], lemma) AS rank FROM grouped)"
+_TOP = _BEST + """ SELECT doc_id, rank, text, lemma, round(score + 3e-10, 6) AS score, count FROM best WHERE rank <= 10"""
 
 
 @query(_scored_sql(_HOW["sum"], _SCRUBBED + _TOP))
@@ -416,6 +469,72 @@ def merge_adjacent(spark, sf_dir):
     return rounded(P.merge_adjacent(P.chunk_scores(own, D.node_scores(docs, fixed())).join(at, ["doc_id", "start_token"])), "score")
 
 
+def _ranked_query(name: str, tele: str, plan: Callable[[], Plan], graph: str = _WORDS, top: str = "") -> None:
+    """A variant's ten best phrases after STEPS rounds, by the document kernel."""
+
+    def run(spark, sf_dir):
+        return rounded(D.extract(documents(spark, sf_dir), plan()).select("doc_id", "rank", "text", "lemma", "score", "count"), "score")
+
+    run.__name__ = name
+    query(_scored_sql(_HOW["sum"], _SCRUBBED + _TOP).replace(_rank("1.0"), _rank(tele, graph)))(run)
+
+
+_ranked_query("position_rank_top_n", _POSITION, lambda: fixed("position_rank"))
+_ranked_query("biased_textrank_top_n", _FOCUS, lambda: fixed("biased_textrank", focus_terms=FOCUS))
+_ranked_query("single_rank_top_n", "1.0", lambda: fixed("single_rank"), _CROSS)
+_ranked_query("topical_pagerank_top_n", _TOPIC, lambda: fixed("topical_pagerank", topic_weights=tuple(sorted(TOPICS.items()))), _CROSS)
+
+
+_OWN_TOPIC = "CASE lemma WHEN 'and' THEN 0.5 * (doc_id % 3) WHEN 'er' THEN 0.25 ELSE 0.0 END"
+
+
+@query(_scored_sql(_HOW["sum"], _SCRUBBED + _TOP).replace(_rank("1.0"), _rank(_OWN_TOPIC, _CROSS)))
+def topical_pagerank_own_weights(spark, sf_dir):
+    """Each document ranks by topic weights of its own, which come as a table."""
+    from ..sources.topic_weights import with_topic_weights
+
+    docs = documents(spark, sf_dir)
+    own = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("and").alias("lemma"), (0.5 * (F.col("doc_id") % 3)).alias("weight")), F.struct(F.lit("er").alias("lemma"), F.lit(0.25).alias("weight")))).alias("w"))
+    found = D.extract(with_topic_weights(docs, own.select("doc_id", "w.*")), fixed("topical_pagerank"))
+    return rounded(found.select("doc_id", "rank", "text", "lemma", "score", "count"), "score")
+
+
+@query(_scored_sql(_HOW["sum"], _SCRUBBED + _BEST + """,
+  ph AS (SELECT doc_id, lemma, max(score) AS score FROM best WHERE rank <= 10 GROUP BY doc_id, lemma),
+  docvec AS (SELECT *, score / sqrt(sum(score * score) OVER (PARTITION BY doc_id)) AS x FROM ph),
+  sw AS (SELECT doc_id, sentence_idx, ' ' || string_agg(lower(lemma), ' ' ORDER BY token_idx) || ' ' AS words FROM tokens GROUP BY doc_id, sentence_idx HAVING count(*) BETWEEN 5 AND 100),
+  hit AS (SELECT sw.doc_id, sentence_idx, lemma, score FROM sw JOIN ph ON ph.doc_id = sw.doc_id AND contains(words, ' ' || lower(lemma) || ' ')),
+  sv AS (SELECT *, score / sqrt(sum(score * score) OVER (PARTITION BY doc_id, sentence_idx)) AS own FROM hit),
+  rel AS (SELECT sv.doc_id, sentence_idx, sum(own * x) AS relevance FROM sv JOIN docvec d ON d.doc_id = sv.doc_id AND d.lemma = sv.lemma GROUP BY sv.doc_id, sentence_idx)
+  SELECT sw.doc_id, sw.sentence_idx, round(coalesce(relevance, 0.0) + 3e-10, 6) AS relevance FROM sw LEFT JOIN rel ON rel.doc_id = sw.doc_id AND rel.sentence_idx = sw.sentence_idx"""))
+def sentence_relevance(spark, sf_dir):
+    """Sentences against the document by the ten best phrases: what a summary chooses from."""
+    from ..operators import summaries as M
+
+    docs = documents(spark, sf_dir)
+    phrases_ = D.extract(docs, fixed()).select("doc_id", "lemma", "score")
+    return rounded(M.relevance(M.sentence_words(toks(spark, sf_dir)), phrases_), "relevance")
+
+
+def _overlaps(how: str) -> None:
+    """Chunks of up to two tokens and of up to four, one over the other."""
+
+    def run(spark, sf_dir):
+        docs = documents(spark, sf_dir)
+        tokens_, scores = toks(spark, sf_dir), D.node_scores(docs, fixed())
+        parts = []
+        for most in (4, 2):
+            members = P.chunk_tokens(tokens_, 1, most)
+            parts.append(P.chunk_scores(members, scores).join(P.chunks(members).select("doc_id", "start_token", "start_char", "end_char"), ["doc_id", "start_token"]))
+        return P.resolve_overlaps(parts[0].unionByName(parts[1]).distinct(), how)
+
+    run.__name__ = f"overlaps_{how}"
+    query()(run)
+
+
+_overlaps("greedy")
+_overlaps("sweep")
+
 _SETS = ", sets AS (SELECT doc_id, sentence_idx, coalesce(list_sort(list_distinct(list(lemma) FILTER (NOT is_stopword))), []) AS lemmas FROM tokens GROUP BY doc_id, sentence_idx)"
 _SIMILAR = """, sims AS (SELECT l.doc_id, l.sentence_idx AS a, r.sentence_idx AS b, CASE WHEN len(l.lemmas) + len(r.lemmas) = 0 THEN 1.0 ELSE len(list_intersect(l.lemmas, r.lemmas))::DOUBLE / len(list_distinct(list_concat(l.lemmas, r.lemmas))) END AS w
   FROM sets l JOIN sets r ON l.doc_id = r.doc_id AND l.sentence_idx < r.sentence_idx)"""

@@ -218,7 +218,8 @@ def validate_pipeline_spec(given: str | dict) -> dict[str, Any]:
 
 
 def debug_level(expose: dict[str, Any]) -> str:
-    if expose.get("phrase_diagnostics") or expose.get("clusters"):
+    pagerank = expose.get("pagerank")
+    if expose.get("phrase_diagnostics") or expose.get("clusters") or isinstance(pagerank, dict) and pagerank.get("residuals"):
         return "full"
     if expose.get("node_scores"):
         return "top_nodes"
@@ -266,6 +267,7 @@ def plan_of(given: str | dict | Spec, config: TextRankConfig | None = None, focu
         min_similarity=graph.get("min_similarity") or 0.0,
         remove_intra=bool(transforms),
         alpha=1.1 if "alpha_boost" in transforms else 0.0,
+        transforms=tuple(1.1 if t == "alpha_boost" else 0.0 for t in transforms),
         cluster_threshold=clusters,
         teleport={"position": "position", "focus_terms": "focus", "topic_weights": "topics"}.get(teleport, "uniform"),
         focus_terms=tuple(focus_terms),

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import PipelineRuntimeError
 from ..functions import text as T
 from ..operators import document as D
 from ..plans import spec as S
@@ -92,7 +93,7 @@ def process(doc: Any, compat: bool = False) -> dict[str, Any]:
     result = D.run_documents([tokens_of(doc, plan.config)], plan, timings)[0]
     if result.error:
         code, stage, message = result.error
-        return {"error": {"code": code, "path": f"/runtime/{stage}", "stage": stage, "message": message}, "error_message": message}
+        return {"error": PipelineRuntimeError(code, stage, message).as_dict(), "error_message": message}
     out: dict[str, Any] = {
         "phrases": [{"text": p.text, "lemma": p.lemma, "score": p.score, "count": p.count, "rank": i} for i, p in enumerate(result.phrases, 1)],
         "converged": result.converged,
