@@ -26,7 +26,7 @@ _RUN = r"[\p{L}\p{M}\p{N}_&&[^\p{IsHan}\p{IsHiragana}]]++"
 BETWEEN_LETTERS, BETWEEN_DIGITS = ":.'’·", ",.;'’"
 #: possessive, so that Java goes through a long row of numbers without a recursion for each
 WORD = rf"{_RUN}(?:(?:(?<=[\p{{L}}\p{{M}}])[{BETWEEN_LETTERS}](?=\p{{L}})|(?<=\p{{N}})[{BETWEEN_DIGITS}](?=\p{{N}})){_RUN})*+"
-GAP = r"[^\p{L}\p{M}\p{N}_]+"
+GAP = r"[^\p{L}\p{M}\p{N}_\x01]+"
 HAS_LETTER = r"[\p{L}\p{N}]"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
@@ -55,17 +55,22 @@ TAG_ALIASES = {
 CONTENT_TAGS = ("NOUN", "VERB", "ADJ", "PROPN")
 
 
-def sentences_of(text: Column) -> Column:
-    """The text cut into sentences, white space and all: joined again, it is the text."""
+def marked(text: Column) -> Column:
+    """The text with MARK behind each sentence but the last."""
     t = F.translate(F.coalesce(text.cast("string"), F.lit("")), MARK, " ")
     for pattern, a, b in SENTENCE_ENDS:
         t = F.regexp_replace(t, pattern, f"${a}{MARK}" + (f"${b}" if b else ""))
-    return F.split(t, MARK)
+    return t
+
+
+def sentences_of(text: Column) -> Column:
+    """The text cut into sentences, white space and all: joined again, it is the text."""
+    return F.split(marked(text), MARK)
 
 
-def items_of(sentence: Column) -> Column:
-    """Words and the gaps between them, in order and complete."""
-    return F.regexp_extract_all(sentence, F.lit(f"{IDEOGRAPH}|{WORD}|{GAP}"), F.lit(0))
+def items_of(text: Column) -> Column:
+    """Words, the gaps between them and marks, in order and complete."""
+    return F.regexp_extract_all(text, F.lit(f"{MARK}|{IDEOGRAPH}|{WORD}|{GAP}"), F.lit(0))
 
 
 def is_word(item: Column) -> Column:

@@ -165,7 +165,7 @@ def resolve_overlaps(scored: DataFrame, how: str = "greedy") -> DataFrame:
 
 def chunk_scores(members: DataFrame, scores: DataFrame, aggregate: str = "sum", use_pos: bool = True) -> DataFrame:
     """chunks() with ``score`` over its tokens' scores(doc_id, key, score); tokens without a node don't count."""
-    keyed = members.withColumn("key", T.graph_key(F.col("lemma"), F.col("pos"), use_pos)).join(scores.select("doc_id", "key", "score"), ["doc_id", "key"], "left")
+    keyed = members.withColumn("key", T.graph_key(F.col("lemma"), F.col("pos"), use_pos)).join(scores.select("doc_id", "key", "score").hint("shuffle_hash"), ["doc_id", "key"], "left")
     how = {"sum": F.sum("score"), "mean": F.avg("score"), "max": F.max("score"), "rms": F.sqrt(F.avg(F.col("score") * F.col("score")))}[aggregate]
     in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_idx", c))), lambda x: x[c]), " ")
     return keyed.groupBy("doc_id", F.col("chunk_start").alias("start_token")).agg(

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,46 +15,48 @@ from ..functions.stopwords import language_of, stopword_table
 from .spread import spread
 
 
-def items(docs: DataFrame, min_length: int = 1) -> DataFrame:
-    """doc_id, lang, items: words and gaps of docs(doc_id, text, lang?) in order, whether each is a word and whether it begins a sentence."""
-    lang = docs["lang"] if "lang" in docs.columns else F.lit("en")
-    whole = spread(docs.select("doc_id", docs["text"].alias("text"), lang.alias("lang")))
-
-    def of(sentence: Column) -> Column:
-        is_word = lambda x: T.is_word(x) & (F.length(x) >= min_length) if min_length > 1 else T.is_word(x)
-        return F.transform(T.items_of(sentence), lambda x, k: F.struct(x.alias("text"), is_word(x).alias("word"), ((k == 0) & sentence.rlike(r"\S")).alias("head")))
-
-    return whole.select("doc_id", "lang", F.flatten(F.transform(T.sentences_of(whole["text"]), of)).alias("items"))
-
-
-def _places(lengths: pa.Array, words: pa.Array, heads: pa.Array) -> pa.Array:
-    """For each item the words and sentences up to it, counted from 0, and where it ends: running sums within each document."""
-    offsets = lengths.offsets.to_numpy().astype(np.int64)
-    offsets -= offsets[0]
-    sizes = np.diff(offsets)
-
-    def upto(x: pa.ListArray, less: int) -> pa.Array:
-        total = np.r_[0, np.cumsum(x.flatten().cast(pa.int32()).to_numpy(zero_copy_only=False), dtype=np.int64)]
-        return pa.array((total[1:] - np.repeat(total[offsets[:-1]], sizes) - less).astype(np.int32))
-
-    places = pa.StructArray.from_arrays([upto(words, 1), upto(heads, 1), upto(lengths, 0)], names=["token_idx", "sentence_idx", "end"])
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), places)
+WORDS = "array<struct<text: string, start: int, end: int, token_idx: int, sentence_idx: int>>"
+SOLID = r"[^ \t\n\x0B\f\r]"
+
+
+def _words_of(min_length: int):
+    def words(items: pa.Array) -> pa.Array:
+        """Each document's items as WORDS: counted and placed all at once, without a loop over them."""
+        flat, offsets = items.flatten(), items.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        sizes = np.diff(offsets)
+        as_numpy = lambda x: x.to_numpy(zero_copy_only=False)
+        mark = as_numpy(pc.equal(flat, T.MARK))
+        length = np.where(mark, 0, as_numpy(pc.utf8_length(flat)))
+        word = as_numpy(pc.match_substring_regex(flat, T.HAS_LETTER)) & (length >= min_length)
+        solid = as_numpy(pc.match_substring_regex(flat, SOLID)) & ~mark
+        begins = mark.copy()  # of a sentence, with its mark
+        begins[offsets[:-1][sizes > 0]] = True
+        of = np.cumsum(begins) - 1
+        counted = np.cumsum(np.bincount(of, solid, minlength=1) > 0)[of] if len(of) else of  # sentences that aren't blank
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        end, number = np.cumsum(length), np.cumsum(word)
+        before = lambda total: np.r_[0, total][offsets[:-1]][doc]
+        end, number = end - before(end), number - before(number) - 1
+        at = np.nonzero(word)[0]
+        texts = [pa.array(x[at].astype(np.int32)) for x in (end - length, end, number, counted - before(counted) - 1)]
+        made = pa.StructArray.from_arrays([flat.take(pa.array(at)), *texts], names=["text", "start", "end", "token_idx", "sentence_idx"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(word)][offsets].astype(np.int32)), made)
+
+    return words
 
 
 def tokens(docs: DataFrame, extra_stopwords: Iterable[str] = (), min_length: int = 1, by_doc: bool = False) -> DataFrame:
     """doc_id, lang, token_idx, sentence_idx, text, lemma, pos, start, end, is_stopword, in no order.
 
     Offsets count characters from the start of the document; token_idx and sentence_idx count from 0.  Words are numbered
-    where the document is read, on arrays of numbers; nothing is shuffled.  by_doc brings a document's tokens together,
+    where the document is read, array by array; nothing is shuffled.  by_doc brings a document's tokens together,
     for what groups by document more than once; words shorter than min_length aren't tokens.
     """
-    cut = items(docs, min_length)
-    of = lambda f: F.transform("items", f)
-    places = F.arrow_udf(_places, "array<struct<token_idx: int, sentence_idx: int, end: int>>")(of(lambda x: F.length(x["text"])), of(lambda x: x["word"]), of(lambda x: x["head"]))
-    each = cut.withColumn("places", places).select("doc_id", "lang", F.explode(F.arrays_zip("items", "places")).alias("x")).where("x.items.word")
-    words = each.select(
-        "doc_id", "lang", "x.places.token_idx", "x.places.sentence_idx", F.col("x.items.text").alias("text"), (F.col("x.places.end") - F.length("x.items.text")).alias("start"), F.col("x.places.end").alias("end")
-    )
+    lang = docs["lang"] if "lang" in docs.columns else F.lit("en")
+    whole = spread(docs.select("doc_id", docs["text"].alias("text"), lang.alias("lang")))
+    cut = whole.select("doc_id", "lang", T.items_of(T.marked(whole["text"])).alias("items"))
+    words = cut.select("doc_id", "lang", F.explode(F.arrow_udf(_words_of(min_length), WORDS)("items")).alias("x")).select("doc_id", "lang", "x.*")
     if by_doc:
         words = words.repartition("doc_id")
     return flag_stopwords(

@@ -408,7 +408,7 @@ _HOW = {"sum": "sum(s.score)", "mean": "avg(s.score)", "max": "max(s.score)", "r
 
 def _scored(spark, sf_dir, how: str = "sum") -> DataFrame:
     docs = documents(spark, sf_dir)
-    return P.chunk_scores(P.chunk_tokens(K.tokens(docs)), D.node_scores(docs, fixed()), how)
+    return P.chunk_scores(P.chunk_tokens(K.tokens(docs, by_doc=True)), D.node_scores(docs, fixed()), how)
 
 
 for _name in _HOW:
