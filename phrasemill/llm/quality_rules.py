@@ -17,7 +17,10 @@ STOP_WORDS = (
     "the of and to in is it that for was as with on be at by this from are or an not he she they "
     "de la le les des et un une du que qui en pas pour dans par sur est au aux avec ne elle "
     "der die das und zu den von mit sich des auf für nicht dem ein eine ist im auch als "
-    "el los las del se no por con su para lo como y o una"
+    "el los las del se no por con su para lo como y o una "
+    "che di il per non sono gli alla anche não uma os um mais dos pelo het een van niet dat met voor zijn och att det som är inte "
+    "nie się jest że jak ale przez tego og på til ikke ja että oli ve bir bu için "
+    "и в не на что с по как это он она из за но от для они было"
 ).split()
 #: one of these; a class that Java and RE2 read alike
 SYMBOLS = r"[#$%&*@^~|<>{}\[\]\\=+]"
@@ -120,8 +123,10 @@ def broken(rule: Rule, column) -> Column:
 def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each row of docs its doc_id, STATISTICS, ``is_kept`` and ``broken_rules``, their names joined by commas.
 
-    A text that is null or has no word is rejected (rule no_words).  Repeated rows have a verdict each, a
-    null doc_id stays null, an empty table has an empty result; columns beside doc_id and text have no part.
+    A text that is null or has no word is rejected (rule no_words).  A value on a threshold breaks no rule.  Whole texts
+    are measured, however long, and what falls with length by itself has a bound that does, too.  Repeated rows
+    have a verdict each, a null doc_id stays null, an empty table has an empty result; columns beside doc_id and
+    text have no part.
     """
     names = [F.when(broken(r, F.col), F.lit(r.name)) for r in rules]
     return with_statistics(docs, [docs["doc_id"].cast("long").alias("doc_id")]).withColumn("broken_rules", F.concat_ws(",", *names)).withColumn("is_kept", F.col("broken_rules") == "").drop("repeat_text_line_ratio")
@@ -141,9 +146,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents"))
 
 
+def _sql_outside(r: Rule, statistic: str) -> str:
+    least = None if r.least is None else repr(float(r.least)) if r.root_least is None else f"least({float(r.least)!r}::DOUBLE, {float(r.root_least)!r}::DOUBLE / sqrt(greatest(n_words, 1)))"
+    sides = ([f"{statistic} < {least}"] if least else []) + ([f"{statistic} > {float(r.most)!r}"] if r.most is not None else [])
+    return f"({' OR '.join(sides)})"
+
+
 def _sql_broken(r: Rule) -> str:
-    sides = [f"{r.statistic} {op} {float(x)!r}" for op, x in (("<", r.least), (">", r.most)) if x is not None]
-    return f"(({' OR '.join(sides)}) AND n_words >= {r.from_words})"
+    return f"({' AND '.join(_sql_outside(r, x) for x in (r.statistic, r.also) if x)} AND n_words >= {r.from_words})"
 
 
 def _sql_count(of: str) -> str:
@@ -156,7 +166,8 @@ def _sql_ratio(a: str, b: str) -> str:
 
 ORACLE = rf"""
 WITH c AS (
-  SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS l
+  SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS l,
+    list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) <> '') AS p
   FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
 s AS (
   SELECT doc_id, length(t) AS n_chars, len(w) AS n_words,
@@ -167,8 +178,9 @@ s AS (
     {_sql_ratio("len(list_distinct(w))", "len(w)")} AS distinct_word_ratio,
     {_sql_ratio("len(l) - len(list_distinct(l))", "len(l)")} AS repeat_line_ratio,
     {_sql_ratio("len(w)", "len(l)")} AS words_a_line,
-    {_sql_ratio(_sql_count("|"), "len(w)")} AS bar_ratio
+    {_sql_ratio(_sql_count("|"), "len(w)")} AS bar_ratio,
+    {_sql_ratio("len(p) - len(list_distinct(p))", "len(p)")} AS repeat_text_line_ratio
   FROM c),
 v AS (SELECT *, concat_ws(',', {", ".join(f"CASE WHEN {_sql_broken(r)} THEN '{r.name}' END" for r in RULES)}) AS broken_rules FROM s)
-SELECT *, broken_rules = '' AS is_kept FROM v
+SELECT * EXCLUDE (repeat_text_line_ratio), broken_rules = '' AS is_kept FROM v
 """

@@ -140,8 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, seed: i
 def scored(docs: DataFrame, model: Ensemble) -> DataFrame:
     """doc_id, quality_score (probability), is_kept (0.5 or more): a row for each of docs.
 
-    A text that is null or empty is judged by its statistics, all zero.  Repeated rows are judged each; a null
-    doc_id stays null; an empty table has an empty result; columns beside doc_id and text have no part.
+    A text that is null or empty is judged by its statistics, all zero; a very long one by all of it.  Odds of 0, a
+    probability of one half, keep a document.  Repeated rows are judged each; a null doc_id stays null; an empty
+    table has an empty result; columns beside doc_id and text have no part.
     """
     odds = with_statistics(docs, [docs["doc_id"].cast("long").alias("doc_id")]).select("doc_id", compiled(model).alias("odds"))
     return odds.select("doc_id", (1 / (1 + F.exp(-F.col("odds")))).alias("quality_score"), (F.col("odds") >= 0).alias("is_kept"))

@@ -75,8 +75,33 @@ def test_run_against_brute_force(spark, tmp_path):
 
 
 def test_every_stage_stands_hard_rows(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and further columns of any name, each with a defined result."""
     docs = hard(spark)
+    given = [(r.doc_id, r.text) for r in docs.collect()]
+    out = {name: stage(spark, docs, "") for name, stage in corpus_pipeline.STAGES}
+    ids = lambda name: Counter(r.doc_id for r in out[name].select("doc_id").collect())
+    assert ids("quality rules") == Counter(i for i, t in given if verdict(statistics(t)) == "")
+    blank = Counter(i for i, t in given if brute_print(t) is None)
+    assert ids("SimHash near-dedup") == blank + Counter({g for i, g, _ in groups(given, simhash.TOTAL) if i not in blank})
+    assert ids("secret scans") == Counter(i for i, _ in given)
+    changed = [r.text for r in out["secret scans"].where("doc_id = 10").collect()]
+    assert changed == [dict(given)[10].replace("Zx81kQp0vTr5mLw", secrets.MASK)]
+    plain = [(i, t, s) for i, t, s in ((r.doc_id, r.text, r.source) for r in docs.collect())]
+    words = Counter()
+    for r in out["mixing sources to target weights"].collect():
+        words[r.source] += len(r.text.split())
+    have = Counter()
+    for _, t, s in plain:
+        have[s] += len((t or "").split())
+    assert words and all(words[s] <= have[s] for s in words)
+    n = Counter()
+    for r in out["packing"].select("doc_id", "n_tokens").collect():
+        n[r.doc_id] += r.n_tokens
+    expected = Counter()
+    for i, t in given:
+        expected[i] += len(tokens.encoding(tokens.VOCABULARY).encode_ordinary(t or ""))
+    assert n == +expected
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, "")
-        out.collect()
+        if name != "packing":
+            assert out[name].columns == docs.columns
         assert stage(spark, docs.limit(0), "").count() == 0, name

@@ -83,3 +83,48 @@ def test_long_and_widely_spaced_texts_are_kept(spark):
     assert "few_words" not in found[0] and "few_words" in found[2]
     assert (found[3], found[4], found[5]) == ("", "", "repeated_lines")
     assert {r.doc_id for r in Q.passing(docs).collect()} >= {0, 3, 4}
+
+
+def test_values_on_a_threshold_break_nothing(spark):
+    """Each text's statistic is just the bound; one step further breaks the rule."""
+    words = lambda n: [f"q{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(n)]
+    on = {
+        "symbols": ("the " * 23 + "########", "the " * 23 + "#########"),  # 8 of 100
+        "exclamations": (" ".join(words(20)) + "!" * 7, " ".join(words(20)) + "!" * 8),  # 7 of 20
+        "stop_words": ("the " + " ".join(words(49)), "the " + " ".join(words(50))),  # 1 of 50
+        "few_words": (" ".join(words(3) * 8 + words(1)), " ".join(words(3) * 8 + words(2))),  # 3 of 25
+        "bars": ("a|b c d e", "a|b c d|e"),  # 1 of 5
+    }
+    texts = [t for pair in on.values() for t in pair]
+    found = {r.doc_id: r for r in Q.verdicts(documents(spark, list(enumerate(texts)))).collect()}
+    for i, name in enumerate(on):
+        rule = next(r for r in Q.RULES if r.name == name)
+        kept, broken = found[2 * i], found[2 * i + 1]
+        assert kept[rule.statistic] in (rule.least, rule.most), name
+        assert name not in kept.broken_rules.split(","), name
+        assert name in broken.broken_rules.split(","), name
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Он сказал, что это было не так, как она думала, и что они из города ушли на север, где по утрам было холодно и тихо, а вечером все говорили о море, за которым лежали другие земли и города.",
+        "Nie wiem, czy to jest prawda, ale mówi się, że stary młyn na rzece przez wiele lat stał pusty, jak gdyby nikt go nie chciał, aż wreszcie przyszli ludzie z miasta i zaczęli od nowa budować dom.",
+        "Il vecchio mulino che stava sul fiume non era più abitato da anni, ma la gente del paese diceva che di notte una luce si vedeva dalle finestre, e per questo nessuno ci voleva andare da solo.",
+    ],
+)
+def test_prose_of_other_languages_is_kept(spark, text):
+    assert Q.verdicts(documents(spark, [(1, text)])).first().broken_rules == ""
+
+
+def test_sql_agrees_on_hard_texts(spark):
+    import duckdb
+
+    long = " ".join(f"word{i * i % 3989} of the" for i in range(9000))
+    texts = [t for t in TEXTS if t is not None] + [long, "\n\n\n".join(f"{PROSE} {i}." for i in range(6)), "\r\n\r\n".join([PROSE] * 5), " \n\t\n" * 4 + PROSE]
+    docs = documents(spark, list(enumerate(texts)))
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    sql = {r[0]: r for r in db.execute(f"SELECT doc_id, broken_rules, is_kept, n_words, repeat_line_ratio FROM ({Q.ORACLE})").fetchall()}
+    for r in Q.verdicts(docs).collect():
+        assert sql[r.doc_id] == (r.doc_id, r.broken_rules, r.is_kept, r.n_words, pytest.approx(r.repeat_line_ratio))
