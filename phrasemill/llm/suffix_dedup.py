@@ -11,6 +11,11 @@ depth further on, which gives its parts pointers of their own, and those updated
 sorting reads, so the depth doubles.  It ends at ``min_words``, as only passages of that length matter.
 Words are compared one by one throughout, as 32-bit hashes.  A bucket that has suffixes of two documents is a
 repeat.  All suffixes of all documents take part.
+
+A first bucket may be as large as a passage is frequent.  Those of ``HOT`` suffixes and more, as estimated from a
+sample of the documents, are split over tasks, and a bucket that turns out to exceed ``STEP`` words goes through its
+task in parts: what neither can settle, which windows another part has too, is settled by a grouped count of the
+windows' 128-bit hashes.  The estimate decides where windows are compared, not which are.
 """
 
 from __future__ import annotations
@@ -24,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Known, kept, table
+from .common import SPACES, Known, kept, table, written
 
 MIN_WORDS, Q = 50, 8
 NONE = np.iinfo(np.int64).max
-#: words that a task sorts at once; whole buckets
+#: words that a task sorts at once
 STEP = 1 << 20
+#: suffixes from which a first bucket is split; the share of documents that the estimate rests on; hot buckets at most
+HOT, SAMPLED, MOST_HOT = 1_000_000, 1 / 32, 2000
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,17 +82,51 @@ def pointers(words: np.ndarray, room: np.ndarray, q: int, depth: int) -> np.ndar
     return ptr
 
 
-def _runs(min_words: int, q: int):
-    names = ["bucket", "words", "places"]
+def _texts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[list, list, list[np.ndarray]]]:
+    """(keys, ids, words) of some documents at once, those of min_words and more."""
+    hashes = kept("suffix-words", lambda: Known(lambda w: xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF))
+    keys, ids, docs, size = [], [], [], 0
+    for batch in batches:
+        for key, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+            words = (text.as_py() or b"").split()
+            if len(words) < min_words:
+                continue
+            keys.append(key)
+            ids.append(doc_id)
+            docs.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+            size += len(words)
+            if size > 500_000:
+                yield keys, ids, docs
+                keys, ids, docs, size = [], [], [], 0
+    if docs:
+        yield keys, ids, docs
+
+
+def _placed(docs: list[np.ndarray], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words, and for each suffix with min_words its document, its place there and among all words."""
+    lengths = np.array([len(d) for d in docs])
+    own = lengths - min_words + 1
+    doc = np.repeat(np.arange(len(docs)), own)
+    start = np.arange(len(doc)) - np.repeat(np.cumsum(own) - own, own)
+    return np.concatenate(docs), doc, start, (np.cumsum(lengths) - lengths)[doc] + start
+
+
+def _sizes(min_words: int, q: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, docs in _texts(batches, min_words):
+            words, _, _, at = _placed(docs, min_words)
+            bucket, n = np.unique(buckets(words, min_words, q)[at].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], names=["bucket", "n"])
+
+    return run
+
+
+def _runs(min_words: int, q: int, hot: dict[int, int]):
+    """hot: into how many parts a bucket is split."""
+    names = ["bucket", "is_part", "words", "places"]
 
     def rows(keys: list, ids: list, docs: list[np.ndarray]) -> pa.RecordBatch:
-        lengths = np.array([len(d) for d in docs])
-        words = np.concatenate(docs)
-        own = lengths - min_words + 1
-        first = np.cumsum(lengths) - lengths
-        doc = np.repeat(np.arange(len(docs)), own)
-        start = np.arange(len(doc)) - np.repeat(np.cumsum(own) - own, own)
-        at = first[doc] + start
+        words, doc, start, at = _placed(docs, min_words)
         bucket = buckets(words, min_words, q)[at]
         cut = np.r_[True, (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])].nonzero()[0]
         # a run that goes on and on, as in a text of one word, is cut
@@ -102,40 +143,39 @@ def _runs(min_words: int, q: int):
         order = np.fromiter((j for x in alike.values() for j in x), np.int64, len(cut))
         offsets = (24 * np.r_[0, np.cumsum(sizes)]).astype(np.int32)
         packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(places[order]))])
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[order[offsets[:-1] // 24]]].view(np.int64)), pa.array(list(alike), pa.binary()), packed], names=names)
+        first = order[offsets[:-1] // 24]
+        own = bucket[cut[first]].view(np.int64)
+        parts = np.array([hot.get(b, 0) for b in own.tolist()], np.int64) if hot else np.zeros(len(own), np.int64)
+        part = _pair(own.view(np.uint64), (places[first, 0] % np.maximum(parts, 1)).astype(np.uint64) + np.uint64(1)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.where(parts > 0, part, own)), pa.array(parts > 0), pa.array(list(alike), pa.binary()), packed], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = kept("suffix-words", lambda: Known(lambda w: xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF))
-        keys, ids, docs, size = [], [], [], 0
-        for batch in batches:
-            for key, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
-                words = (text.as_py() or b"").split()
-                if len(words) < min_words:
-                    continue
-                keys.append(key)
-                ids.append(doc_id)
-                docs.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-                size += len(words)
-                if size > 500_000:
-                    yield rows(keys, ids, docs)
-                    keys, ids, docs, size = [], [], [], 0
-        if docs:
+        for keys, ids, docs in _texts(batches, min_words):
             yield rows(keys, ids, docs)
 
     return run
 
 
-def _repeats(min_words: int, q: int, within: bool):
-    """From runs sorted by bucket, the stretches of suffixes that another document (or place) has too."""
-    names = ["doc_key", "doc_id", "start", "last", "first_doc_id"]
+def _repeats(min_words: int, q: int, within: bool, step: int):
+    """From runs sorted by bucket, the stretches of suffixes that another document (or place) has too.
+
+    Of a part of a bucket each suffix, with its window's hash: it isn't known yet what the other parts have.
+    """
+    names = ["doc_key", "doc_id", "start", "last", "first_doc_id", "w1", "w2"]
     length = lambda a, unit: pc.binary_length(a).to_numpy(zero_copy_only=False).astype(np.int64) // unit
 
-    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def expanded(place: np.ndarray, begin: np.ndarray, times: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of row all its places: the places, and which of row each is of."""
+        n = times[row]
+        of = np.repeat(np.arange(len(row)), n)
+        return place[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[row], n)], of
+
+    def found(parts: list[pa.RecordBatch], is_part: bool) -> pa.RecordBatch | None:
         rows = pa.Table.from_batches(parts).combine_chunks()
         bucket, times = rows["bucket"].to_numpy(), length(rows["places"].combine_chunks(), 24)
         # a bucket of one run in one place has nothing to share, unless the run repeats itself
         _, own = np.unique(bucket, return_inverse=True)
-        use = np.nonzero((np.bincount(own, times)[own] > 1) | within)[0]
+        use = np.nonzero((np.bincount(own, times)[own] > 1) | within | is_part)[0]
         if not len(use):
             return None
         rows, times = rows.take(pa.array(use)), times[use]
@@ -143,11 +183,18 @@ def _repeats(min_words: int, q: int, within: bool):
         size = length(packed, 4)
         words = np.frombuffer(b"".join(packed.to_pylist()), "<u4")
         room = np.repeat(np.cumsum(size), size) - np.arange(len(words))
-        ptr = pointers(words, room, q, min_words)
         at = np.nonzero(room >= min_words)[0]
-        row = np.repeat(np.arange(len(size)), size - min_words + 1)
+        own = size - min_words + 1
+        row = np.repeat(np.arange(len(size)), own)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
         place = np.frombuffer(b"".join(rows["places"].combine_chunks().to_pylist()), np.int64).reshape(-1, 3)
         begin = np.cumsum(times) - times
+        if is_part:
+            p, of = expanded(place, begin, times, row)
+            w1, w2 = (_doubled(words.astype(np.uint64) + np.uint64(seed), min_words, _pair)[at].view(np.int64)[of] for seed in (1, 1 << 40))
+            none = pa.nulls(len(p), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), *[pa.array(p[:, 2] + inner[of])] * 2, none, pa.array(w1), pa.array(w2)], names=names)
+        ptr = pointers(words, room, q, min_words)
         lows, highs, ids = np.minimum.reduceat(place[:, 0], begin), np.maximum.reduceat(place[:, 0], begin), np.minimum.reduceat(place[:, 1], begin)
         order = np.argsort(ptr[at], kind="stable")
         sorted_, r = ptr[at][order], row[order]
@@ -161,37 +208,53 @@ def _repeats(min_words: int, q: int, within: bool):
         begins = is_shared & np.r_[True, ~is_shared[:-1] | (row[1:] != row[:-1])]
         ends = is_shared & np.r_[~is_shared[1:] | (row[1:] != row[:-1]), True]
         b, e = begins.nonzero()[0], ends.nonzero()[0]
-        inner = np.arange(len(row)) - np.repeat(np.cumsum(size - min_words + 1) - (size - min_words + 1), size - min_words + 1)
         least = np.minimum.reduceat(np.where(is_shared, first, NONE), b)
-        n = times[row[b]]
-        stretch = np.repeat(np.arange(len(b)), n)
-        p = place[np.arange(len(stretch)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[row[b]], n)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (p[:, 0], p[:, 1], p[:, 2] + inner[b][stretch], p[:, 2] + inner[e][stretch], least[stretch])], names=names)
+        p, stretch = expanded(place, begin, times, row[b])
+        none = pa.nulls(len(p), pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (p[:, 0], p[:, 1], p[:, 2] + inner[b][stretch], p[:, 2] + inner[e][stretch], least[stretch])), none, none], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[pa.RecordBatch] = []
-        held = 0
+        held, in_parts, before = 0, False, (0, False)  # in_parts: what is held is of a bucket of which a part is out already
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket = batch.column("bucket").to_numpy()
-            cut = int(np.searchsorted(bucket, bucket[-1]))
-            for part in (batch.slice(0, cut), batch.slice(cut)):
-                if not part.num_rows:
+            bucket, is_part = batch.column("bucket").to_numpy(), batch.column("is_part").to_numpy(zero_copy_only=False)
+            for at in np.split(np.arange(len(bucket)), np.nonzero((bucket[1:] != bucket[:-1]) | (is_part[1:] != is_part[:-1]))[0] + 1):
+                if not len(at):
                     continue
-                if held >= STEP and left[-1].column("bucket")[-1] != part.column("bucket")[0]:
-                    if (out := found(left)) is not None:
+                of = (int(bucket[at[0]]), bool(is_part[at[0]]))
+                same = bool(left) and of == before
+                if left and not same and (held >= step or in_parts or of[1] or before[1]):
+                    if (out := found(left, in_parts or before[1])) is not None:
+                        yield out
+                    left, held, in_parts = [], 0, False
+                elif same and held >= step:
+                    # of this bucket there is more than a task sorts at once; what is held besides is settled first
+                    mine = [i for i, b in enumerate(left) if int(b.column("bucket")[0].as_py()) == of[0]]
+                    if mine[0] and (out := found(left[: mine[0]], False)) is not None:
                         yield out
-                    left, held = [], 0
-                left.append(part)
-                held += int(length(part.column("words"), 4).sum())
-        if left and (out := found(left)) is not None:
+                    if (out := found(left[mine[0] :], True)) is not None:
+                        yield out
+                    left, held, in_parts = [], 0, True
+                before = of
+                left.append(batch.slice(int(at[0]), len(at)))
+                held += int(length(left[-1].column("words"), 4).sum())
+        if left and (out := found(left, in_parts or before[1])) is not None:
             yield out
 
     return run
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, q: int = Q, within: bool = False) -> DataFrame:
+def _hot(docs: DataFrame, min_words: int, q: int, hot: int, sampled: float) -> dict[int, int]:
+    """Into how many parts to split the buckets of an estimated hot suffixes or more, the MOST_HOT largest of them.
+
+    Any others go through their task in parts, too (``step``): only the time that one task takes is at stake.
+    """
+    sizes = docs.sample(fraction=sampled, seed=1).mapInArrow(_sizes(min_words, q), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    most = sizes.where(F.col("n") >= hot * sampled).orderBy(F.col("n").desc(), "bucket").limit(MOST_HOT).collect()
+    return {r.bucket: max(2, int(np.ceil(r.n / (hot * sampled)))) for r in most}
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, q: int = Q, within: bool = False, hot: int = HOT, sampled: float = SAMPLED, step: int = STEP) -> DataFrame:
     """Maximal spans of words all of whose ``min_words``-word windows, overlapping, another document has too.
 
     Columns: doc_id, first_word, end_word (exclusive; words are what white space separates, from 0),
@@ -208,12 +271,18 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, q: int = Q, within: boo
     keyed = docs.select(F.xxhash64(doc_id, F.isnull(doc_id), text).alias("doc_key"), doc_id.alias("doc_id"), text.alias("text"))
     if within:  # else a repeated row would be a second place
         keyed = keyed.dropDuplicates(["doc_key"])
-    runs = (
-        keyed.mapInArrow(_runs(min_words, q), "bucket long, words binary, places binary")
+    made = (
+        keyed.mapInArrow(_runs(min_words, q, _hot(keyed, min_words, q, hot, sampled)), "bucket long, is_part boolean, words binary, places binary")
         .repartition("bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_repeats(min_words, q, within), "doc_key long, doc_id long, start long, last long, first_doc_id long")
+        .sortWithinPartitions("bucket", "is_part")
+        .mapInArrow(_repeats(min_words, q, within, step), "doc_key long, doc_id long, start long, last long, first_doc_id long, w1 long, w2 long")
     )
+    found = written(made, "repeats")
+    parts = found.where("w1 IS NOT NULL")
+    is_shared = F.col("n") > 1 if within else F.col("low") != F.col("high")
+    windows = parts.groupBy("w1", "w2").agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high"), F.count("*").alias("n"), F.min("doc_id").alias("first")).where(is_shared)
+    settled = parts.join(windows.select("w1", "w2", "first"), ["w1", "w2"]).select("doc_key", "doc_id", "start", "last", F.col("first").alias("first_doc_id"))
+    runs = found.where("w1 IS NULL").select("doc_key", "doc_id", "start", "last", "first_doc_id").union(settled)
     w = Window.partitionBy("doc_key", "doc_id").orderBy("start", "last")
     end = F.col("last") + min_words
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))

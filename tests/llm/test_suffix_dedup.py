@@ -50,6 +50,10 @@ def test_against_brute_force(spark, k, q):
     found = rows(S.repeats(documents(spark, docs), k, q))
     assert found == brute(docs, k)
     assert rows(S.repeats(documents(spark, docs), k, q, within=True)) == brute(docs, k, within=True)
+    # every bucket split over tasks; and none, but all in parts of a few words
+    for settings in ({"hot": 1, "sampled": 1.0}, {"step": 1}, {"hot": 20, "sampled": 1.0, "step": 15}):
+        assert rows(S.repeats(documents(spark, docs), k, q, **settings)) == found
+    assert rows(S.repeats(documents(spark, docs), k, q, within=True, hot=1, sampled=1.0, step=1)) == brute(docs, k, within=True)
 
 
 def test_production_parameters(spark):
@@ -87,8 +91,10 @@ def test_a_text_that_half_of_the_rows_have(spark):
     text = " ".join(f"w{i}" for i in range(300))
     docs = [(i, text) for i in range(200)] + [(1000 + i, f"{i} " + text[:-200]) for i in range(20)] + [(2000, "the " * 700), (2001, "the " * 400 + "end")]
     assert rows(S.repeats(documents(spark, docs))) == brute(docs, S.MIN_WORDS)
+    assert rows(S.repeats(documents(spark, docs), hot=1000, sampled=1.0, step=2000)) == brute(docs, S.MIN_WORDS)
+    assert S._hot(documents(spark, docs).selectExpr("doc_id AS doc_key", "doc_id", "text"), 50, 8, 1000, 1.0)
     batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(range(200)), pa.array([text] * 200)], names=["doc_key", "doc_id", "text"])
-    (out,) = S._runs(50, 8)(iter([batch]))
+    (out,) = S._runs(50, 8, {})(iter([batch]))
     assert out.num_rows < 60 and out.column("words").nbytes < 60 * 400
 
 
