@@ -214,32 +214,45 @@ def _repeats(min_words: int, q: int, within: bool, step: int):
         return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (p[:, 0], p[:, 1], p[:, 2] + inner[b][stretch], p[:, 2] + inner[e][stretch], least[stretch])), none, none], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[pa.RecordBatch] = []
-        held, in_parts, before = 0, False, (0, False)  # in_parts: what is held is of a bucket of which a part is out already
+        left: list[pa.RecordBatch] = []  # what the last bucket is in, which may go on, is in slices of its own
+        held, open_, in_parts = 0, None, False  # that bucket; whether a part of it is out already
+
+        def settle(is_part: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal left, held
+            if left and (out := found(left, is_part)) is not None:
+                yield out
+            left, held = [], 0
+
         for batch in batches:
+            if not batch.num_rows:
+                continue
             bucket, is_part = batch.column("bucket").to_numpy(), batch.column("is_part").to_numpy(zero_copy_only=False)
-            for at in np.split(np.arange(len(bucket)), np.nonzero((bucket[1:] != bucket[:-1]) | (is_part[1:] != is_part[:-1]))[0] + 1):
-                if not len(at):
-                    continue
-                of = (int(bucket[at[0]]), bool(is_part[at[0]]))
-                same = bool(left) and of == before
-                if left and not same and (held >= step or in_parts or of[1] or before[1]):
-                    if (out := found(left, in_parts or before[1])) is not None:
+            # at the last bucket, where parts begin and end, and behind the bucket that was open
+            cuts = {0, int(np.searchsorted(bucket, bucket[-1])), int(np.searchsorted(bucket, open_, "right")) if open_ is not None else 0, *(np.nonzero(is_part[1:] != is_part[:-1])[0] + 1).tolist()}
+            edges = sorted(c for c in cuts if c < batch.num_rows) + [batch.num_rows]
+            for i, j in zip(edges, edges[1:]):
+                now, first, last = batch.slice(i, j - i), int(bucket[i]), int(bucket[j - 1])
+                if is_part[i]:
+                    if (out := found([now], True)) is not None:
                         yield out
-                    left, held, in_parts = [], 0, False
-                elif same and held >= step:
-                    # of this bucket there is more than a task sorts at once; what is held besides is settled first
-                    mine = [i for i, b in enumerate(left) if int(b.column("bucket")[0].as_py()) == of[0]]
-                    if mine[0] and (out := found(left[: mine[0]], False)) is not None:
-                        yield out
-                    if (out := found(left[mine[0] :], True)) is not None:
-                        yield out
-                    left, held, in_parts = [], 0, True
-                before = of
-                left.append(batch.slice(int(at[0]), len(at)))
-                held += int(length(left[-1].column("words"), 4).sum())
-        if left and (out := found(left, in_parts or before[1])) is not None:
-            yield out
+                    continue
+                if left and first != open_ and (in_parts or held >= step):
+                    yield from settle(in_parts)
+                    in_parts = False
+                elif left and held >= step:  # of the open bucket there may be more than a task sorts at once
+                    at = next(k for k, b in enumerate(left) if int(b.column("bucket")[0].as_py()) == open_)
+                    mine, left = left[at:], left[:at]
+                    yield from settle(False)
+                    left, held = mine, sum(int(length(b.column("words"), 4).sum()) for b in mine)
+                    if in_parts or held >= step:
+                        yield from settle(True)
+                        in_parts = True
+                if first != open_:
+                    in_parts = False
+                open_ = last
+                left.append(now)
+                held += int(length(now.column("words"), 4).sum())
+        yield from settle(in_parts)
 
     return run
 
