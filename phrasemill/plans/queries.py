@@ -123,6 +123,23 @@ it(step, doc_id, key, s) AS (
 scores AS (SELECT doc_id, key, s / sum(s) OVER (PARTITION BY doc_id) AS score FROM it WHERE step = {STEPS})"""
 
 
+def _converged(tele: str, graph: str = _WORDS, d: float = 0.85, threshold: float = 1e-6, most: int = 100) -> str:
+    """The same until each document's scores stand still, with the number of rounds and whether they do."""
+    head = _rank(tele, graph)
+    return head[: head.index("it(step, doc_id, key, s) AS")] + f"""it(step, doc_id, key, s, delta) AS (
+  SELECT 0, doc_id, key, 1.0::DOUBLE / n, 1e9::DOUBLE FROM base
+  UNION ALL
+  SELECT step + 1, doc_id, key, s2, sum(abs(s2 - s)) OVER (PARTITION BY doc_id)
+  FROM (SELECT it.step, b.doc_id, b.key, it.s, {1 - d} * b.p + {d} * b.p * coalesce(l.lost, 0) + {d} * coalesce(c.got, 0) AS s2
+    FROM it JOIN base b ON b.doc_id = it.doc_id AND b.key = it.key
+    LEFT JOIN (SELECT it.doc_id, sum(it.s) AS lost FROM it JOIN base ON base.doc_id = it.doc_id AND base.key = it.key AND base.idle GROUP BY it.doc_id) l ON l.doc_id = b.doc_id
+    LEFT JOIN (SELECT it.doc_id, dst, sum(it.s * share.s) AS got FROM it JOIN share ON share.doc_id = it.doc_id AND share.src = it.key GROUP BY it.doc_id, dst) c ON c.doc_id = b.doc_id AND c.dst = b.key
+    WHERE it.delta > {threshold} AND it.step < {most})),
+ends AS (SELECT * FROM it QUALIFY step = max(step) OVER (PARTITION BY doc_id)),
+scores AS (SELECT doc_id, key, s / sum(s) OVER (PARTITION BY doc_id) AS score FROM ends),
+rounds AS (SELECT doc_id, max(step) AS iterations, max(delta) <= {threshold} AS converged FROM ends GROUP BY doc_id)"""
+
+
 def _chunks(least: int = 1, most: int = 4) -> str:
     return f""", kinds AS (SELECT *, CASE WHEN is_stopword THEN NULL WHEN pos = 'ADJ' THEN 'A' WHEN pos IN ('NOUN', 'PROPN') THEN 'N' END AS kind FROM tokens),
 begun AS (SELECT *, CASE WHEN kind IS NOT NULL AND (lag(kind) OVER w IS NULL OR (lag(kind) OVER w = 'N' AND kind = 'A')) THEN 1 ELSE 0 END AS begins FROM kinds WINDOW w AS (PARTITION BY doc_id, sentence_idx ORDER BY token_idx)),
@@ -485,6 +502,23 @@ _ranked_query("single_rank_top_n", "1.0", lambda: fixed("single_rank"), _CROSS)
 _ranked_query("topical_pagerank_top_n", _TOPIC, lambda: fixed("topical_pagerank", topic_weights=tuple(sorted(TOPICS.items()))), _CROSS)
 
 
+def _converged_query(name: str, tele: str, graph: str = _WORDS, **settings) -> None:
+    """A variant as it is, until it converges: its ten best phrases, rounds, and whether it does."""
+
+    def run(spark, sf_dir):
+        found = D.extract(documents(spark, sf_dir), plan_for(name, TextRankConfig(), **settings))
+        return rounded(found.select("doc_id", "rank", "text", "lemma", "score", "count", "iterations", "converged"), "score")
+
+    run.__name__ = f"converged_{name}"
+    sql = _scored_sql(_HOW["sum"], _SCRUBBED + _BEST).replace(_rank("1.0"), _converged(tele, graph))
+    query(sql + " SELECT doc_id, rank, text, lemma, round(score + 3e-10, 6) AS score, count, iterations, converged FROM best JOIN rounds USING (doc_id) WHERE rank <= 10")(run)
+
+
+_converged_query("textrank", "1.0")
+_converged_query("position_rank", _POSITION)
+_converged_query("biased_textrank", _FOCUS, focus_terms=FOCUS)
+_converged_query("single_rank", "1.0", _CROSS)
+_converged_query("topical_pagerank", _TOPIC, _CROSS, topic_weights=tuple(sorted(TOPICS.items())))
 _OWN_TOPIC = "CASE lemma WHEN 'and' THEN 0.5 * (doc_id % 3) WHEN 'er' THEN 0.25 ELSE 0.0 END"
 
 
@@ -553,11 +587,25 @@ def sentence_jaccard(spark, sf_dir):
 _SENTENCE_GRAPH = _SETS + _SIMILAR + ", pairs AS (SELECT doc_id, a::VARCHAR AS a, b::VARCHAR AS b, w FROM sims WHERE w > 0), " + _EDGES
 
 
-@query((TOKENS + _rank("1.0", _SENTENCE_GRAPH)).replace("nodes AS (SELECT doc_id, key,", "words AS (SELECT doc_id, key,").replace(", pairs AS (SELECT doc_id, a::", ", nodes AS (SELECT doc_id, sentence_idx::VARCHAR AS key FROM sets), pairs AS (SELECT doc_id, a::") + " SELECT doc_id, key, round(score + 3e-10, 6) AS score FROM scores")
+_SENTENCE_RANK = (TOKENS + _rank("1.0", _SENTENCE_GRAPH)).replace("nodes AS (SELECT doc_id, key,", "words AS (SELECT doc_id, key,").replace(
+    ", pairs AS (SELECT doc_id, a::", ", nodes AS (SELECT doc_id, sentence_idx::VARCHAR AS key FROM sets), pairs AS (SELECT doc_id, a::"
+)
+
+
+@query(_SENTENCE_RANK + " SELECT doc_id, key, round(score + 3e-10, 6) AS score FROM scores")
 def sentence_rank_k(spark, sf_dir):
     return rounded(D.node_scores(documents(spark, sf_dir), fixed("sentence_rank")).select("doc_id", "key", "score"), "score")
 
 
+@query(_SENTENCE_RANK + """, sents AS (SELECT doc_id, sentence_idx::VARCHAR AS key, string_agg(text, ' ' ORDER BY token_idx) AS text, min(start) AS start, max("end") AS "end" FROM tokens GROUP BY doc_id, sentence_idx),
+  best AS (SELECT s.doc_id, t.text, s.score, t.start, t."end", row_number() OVER (PARTITION BY s.doc_id ORDER BY round(s.score, 10) DESC, t.start) AS rank FROM scores s JOIN sents t ON t.doc_id = s.doc_id AND t.key = s.key)
+  SELECT doc_id, rank, text, round(score + 3e-10, 6) AS score, start, "end" FROM best WHERE rank <= 10""")
+def sentence_rank_top_n(spark, sf_dir):
+    """Each document's ten best sentences."""
+    found = D.extract(documents(spark, sf_dir), fixed("sentence_rank"))
+    return rounded(found.select("doc_id", "rank", "text", "score", F.col("offsets")[0]["start"].alias("start"), F.col("offsets")[0]["end"].alias("end")), "score")
+
+
 # ---- what iterates until it converges or depends on an order; pinned by goldens in the tests
 
 

@@ -181,3 +181,19 @@ def test_lda_learns_from_all_documents(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     found = QUERIES["lda_topic_weights"](spark, str(tmp_path)).groupBy("doc_id").count().collect()
     assert len(found) == 40 and all(r["count"] > 5 * 20 for r in found)  # 10 topics of 50 words
+
+
+def test_the_rest_stands_without_llm(tmp_path):
+    """A copy without the llm folders and the pipeline: the entry module imports and keeps its other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "phrasemill", tmp_path / "phrasemill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'tokens' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**__import__("os").environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[-1]) >= 62
