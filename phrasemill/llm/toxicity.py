@@ -64,38 +64,49 @@ class Rows(NamedTuple):
     def of(cls, docs: list[np.ndarray]) -> Rows:
         return cls(np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate([np.empty(0, np.int64), *docs]).astype(np.int64), len(docs))
 
+    def share(self, n_features: int) -> np.ndarray:
+        return np.bincount(self.feature, minlength=n_features) / max(1, self.n)
+
     def score(self, w: np.ndarray, b: float) -> np.ndarray:
         return np.bincount(self.row, w[self.feature], minlength=self.n) + b
 
 
+def _terms(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    soft = lambda z: float(np.logaddexp(0, z).mean())
+    return prior * soft(-zp), soft(zu) - prior * soft(zp)
+
+
 def risk(p: Rows, u: Rows, w: np.ndarray, b: float, prior: float) -> tuple[float, float]:
     """The two terms: prior * R_p(+), and R_u(-) - prior * R_p(-), which the estimator holds at 0 or more."""
-    soft = lambda z: float(np.logaddexp(0, z).mean())
-    zp = p.score(w, b)
-    return prior * soft(-zp), soft(u.score(w, b)) - prior * soft(zp)
+    return _terms(p.score(w, b), u.score(w, b), prior)
+
 
+def gradient(p: Rows, u: Rows, w: np.ndarray, b: float, prior: float, share: np.ndarray | None = None) -> tuple[np.ndarray, float, bool]:
+    """By w and b, and whether the second term is clipped: of the risk, or, where that is so, of less the second term, to get it back.
 
-def gradient(p: Rows, u: Rows, w: np.ndarray, b: float, prior: float) -> tuple[np.ndarray, float, bool]:
-    """By w and b, and whether the second term is clipped: of the risk, or, where that is so, of less the second term, to get it back."""
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    share: how many of p have each feature, over their number, where that is known.
+    """
 
-    def one(x: Rows, target: float) -> tuple[np.ndarray, float]:
-        each = (sigmoid(x.score(w, b)) - target) / x.n
+    def clean(x: Rows, z: np.ndarray) -> tuple[np.ndarray, float]:  # of R(-)
+        each = 1 / (1 + np.exp(-np.clip(z, -30, 30))) / x.n
         return np.bincount(x.feature, each[x.row], minlength=len(w)), float(each.sum())
 
-    (pg, pgb), (ng, ngb), (ug, ugb) = one(p, 1.0), one(p, 0.0), one(u, 0.0)
-    if risk(p, u, w, b, prior)[1] >= 0:
-        return prior * pg + ug - prior * ng, prior * pgb + ugb - prior * ngb, False
+    zp, zu = p.score(w, b), u.score(w, b)
+    (ng, ngb), (ug, ugb) = clean(p, zp), clean(u, zu)
+    if _terms(zp, zu, prior)[1] >= 0:
+        # R_p(+) and R_p(-) differ by the scores alone: prior * (ng - share) + ug - prior * ng
+        share = p.share(len(w)) if share is None else share
+        return ug - prior * share, ugb - prior, False
     return prior * ng - ug, prior * ngb - ugb, True
 
 
 def fit(p: Rows, u: Rows, n_features: int, prior: float, l1: float = L1, steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, float, int]:
     """Weights and bias, the means of the last third of the steps, and the number of clipped steps, which go back and forth."""
     w, b, clipped = np.zeros(n_features), -1.0, 0
-    sum_w, sum_b, counted_ = np.zeros(n_features), 0.0, 0
+    sum_w, sum_b, counted_, share = np.zeros(n_features), 0.0, 0, p.share(n_features)
     first, second, fb, sb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for step in range(1, steps + 1):
-        g, gb, below = gradient(p, u, w, b, prior)
+        g, gb, below = gradient(p, u, w, b, prior, share)
         clipped += below
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         fb, sb = 0.9 * fb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
