@@ -875,22 +875,25 @@ def _documents(plan: Plan, batches: Iterator[pa.RecordBatch], size: int = 128) -
     tokenise = tokenizer(plan.config.stopwords)
     extra = {w.lower() for w in plan.config.stopwords}
     gc.disable()  # tokens are many small objects without a cycle among them
-    for batch in batches:
-        gc.collect(1)
-        for i in range(0, batch.num_rows, size):
-            part = batch.slice(i, size)
-            ids = part.column(0).to_pylist()
-            if "tokens" in part.schema.names:
-                docs = [from_structs(r) for r in part.column("tokens").to_pylist()]
-                if extra:
-                    docs = [[t._replace(is_stopword=t.is_stopword or t.text.lower() in extra) for t in d] for d in docs]
-            else:
-                docs = [tokenise(text, lang) for text, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-            plans = None
-            for name, of in (("focus_terms", lambda x: tuple(t.lower() for t in x if t is not None)), ("topic_weights", lambda x: tuple(sorted((k, v) for k, v in x if v is not None)))):
-                if name in part.schema.names:
-                    plans = [p if x is None else p.with_(**{name: of(x)}) for p, x in zip(plans or [plan] * len(ids), part.column(name).to_pylist())]
-            yield ids, docs, plans
+    try:
+        for batch in batches:
+            gc.collect(1)
+            for i in range(0, batch.num_rows, size):
+                part = batch.slice(i, size)
+                ids = part.column(0).to_pylist()
+                if "tokens" in part.schema.names:
+                    docs = [from_structs(r) for r in part.column("tokens").to_pylist()]
+                    if extra:
+                        docs = [[t._replace(is_stopword=t.is_stopword or t.text.lower() in extra) for t in d] for d in docs]
+                else:
+                    docs = [tokenise(text, lang) for text, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                plans = None
+                for name, of in (("focus_terms", lambda x: tuple(t.lower() for t in x if t is not None)), ("topic_weights", lambda x: tuple(sorted((k, v) for k, v in x if v is not None)))):
+                    if name in part.schema.names:
+                        plans = [p if x is None else p.with_(**{name: of(x)}) for p, x in zip(plans or [plan] * len(ids), part.column(name).to_pylist())]
+                yield ids, docs, plans
+    finally:
+        gc.enable()
 
 
 def _input(docs: DataFrame, plan: Plan) -> DataFrame:
