@@ -15,13 +15,13 @@ from ..functions.stopwords import language_of, stopword_table
 from .spread import spread
 
 
-WORDS = "array<struct<text: string, start: int, end: int, token_idx: int, sentence_idx: int>>"
+WORDS = "array<struct<text: string, lemma: string, pos: string, start: int, end: int, token_idx: int, sentence_idx: int>>"
 SOLID = r"[^ \t\n\x0B\f\r]"
 
 
 def _words_of(min_length: int):
     def words(items: pa.Array) -> pa.Array:
-        """Each document's items as WORDS: counted and placed all at once, without a loop over them."""
+        """Each document's items as WORDS: counted and placed all at once, without a loop over them; lemma and tag once for each word."""
         flat, offsets = items.flatten(), items.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         sizes = np.diff(offsets)
@@ -39,8 +39,11 @@ def _words_of(min_length: int):
         before = lambda total: np.r_[0, total][offsets[:-1]][doc]
         end, number = end - before(end), number - before(number) - 1
         at = np.nonzero(word)[0]
-        texts = [pa.array(x[at].astype(np.int32)) for x in (end - length, end, number, counted - before(counted) - 1)]
-        made = pa.StructArray.from_arrays([flat.take(pa.array(at)), *texts], names=["text", "start", "end", "token_idx", "sentence_idx"])
+        coded = flat.take(pa.array(at)).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        of_words = [pa.array([f(w) for w in known], pa.string()).take(coded.indices) for f in (T.py_lemma, T.py_tag)]
+        places = [pa.array(x[at].astype(np.int32)) for x in (end - length, end, number, counted - before(counted) - 1)]
+        made = pa.StructArray.from_arrays([coded.dictionary_decode(), *of_words, *places], names=["text", "lemma", "pos", "start", "end", "token_idx", "sentence_idx"])
         return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(word)][offsets].astype(np.int32)), made)
 
     return words
@@ -55,22 +58,21 @@ def tokens(docs: DataFrame, extra_stopwords: Iterable[str] = (), min_length: int
     """
     lang = docs["lang"] if "lang" in docs.columns else F.lit("en")
     whole = spread(docs.select("doc_id", docs["text"].alias("text"), lang.alias("lang")))
-    cut = whole.select("doc_id", "lang", T.items_of(T.marked(whole["text"])).alias("items"))
-    words = cut.select("doc_id", "lang", F.explode(F.arrow_udf(_words_of(min_length), WORDS)("items")).alias("x")).select("doc_id", "lang", "x.*")
+    # the list's language is found once for each document, before its words are rows
+    cut = whole.select("doc_id", "lang", language_of(F.col("lang")).alias("list"), T.items_of(T.marked(whole["text"])).alias("items"))
+    words = cut.select("doc_id", "lang", "list", F.explode(F.arrow_udf(_words_of(min_length), WORDS)("items")).alias("x")).select("doc_id", "lang", "list", "x.*")
     if by_doc:
         words = words.repartition("doc_id")
-    return flag_stopwords(
-        words.withColumn("lemma", T.lemma_of(F.col("text"))).withColumn("pos", T.tag_of(F.col("text"))), extra_stopwords
-    ).select("doc_id", "lang", "token_idx", "sentence_idx", "text", "lemma", "pos", "start", "end", "is_stopword")
+    return flag_stopwords(words, extra_stopwords, F.col("list")).select("doc_id", "lang", "token_idx", "sentence_idx", "text", "lemma", "pos", "start", "end", "is_stopword")
 
 
-def flag_stopwords(rows: DataFrame, extra: Iterable[str] = (), lang: Column | None = None) -> DataFrame:
-    """rows(text, lang, ...) with is_stopword: the lower-case text is in its language's list.
+def flag_stopwords(rows: DataFrame, extra: Iterable[str] = (), code: Column | None = None) -> DataFrame:
+    """rows(text, lang, ...) with is_stopword: the lower-case text is in its language's list; code is the list's key, if it is known.
 
     The lists are a table of fixed size (18 languages, a few thousand words), so this join broadcasts it.
     """
     stop = F.broadcast(stopword_table(rows.sparkSession, extra))
-    code = language_of(rows["lang"] if lang is None else lang)
+    code = language_of(rows["lang"]) if code is None else code
     joined = rows.withColumn("_code", code).withColumn("_low", F.lower("text")).join(stop, (F.col("_code") == F.col("stop_lang")) & (F.col("_low") == F.col("stop_word")), "left")
     return joined.withColumn("is_stopword", F.col("stop_word").isNotNull()).drop("_code", "_low", "stop_lang", "stop_word")
 
