@@ -14,6 +14,10 @@ trees live with their shards' rows instead of being broadcast: all trees togethe
 What lies below an edge is exactly that edge's length from the parent.  Below edges within the radius all
 are linked to the parent when the tree grows, so a query that is linked to the parent needs none of them: a family
 of copies costs a comparison or two for each, not one for each pair, and groups are the same.
+
+Unrelated fingerprints are nearly all about as far from each other, so edges hardly keep a query from any of them.
+Rows without a partner in their shard are therefore left out before its tree grows (``partnered``), by comparing them
+row by row in arrays; that costs a small part of a tree's step, and the pairs within the radius are the same.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ MEMBERS = 256
 HOT = 1 / 1000
 #: pairs of a query and a node that are looked at together
 STEP = 1 << 20
+#: pairs of a shard up to which, and beyond which, its trees take all its rows; pairs that are looked at together, and members of those
+FEW_PAIRS, MOST_PAIRS, TILE, SIDE = 1 << 10, 1 << 34, 1 << 15, 1 << 11
 
 
 def _bits(token: bytes) -> bytes | None:
@@ -187,11 +193,46 @@ def _keys(plan: Scheme):
     return run
 
 
+def partnered(shard: np.ndarray, visits: np.ndarray, values: np.ndarray, total: int) -> np.ndarray:
+    """Whether a row may have a partner: false only if no member of its shard is within the radius, or, of a member, no row.
+
+    Rows lie shard by shard, members first.  A pair is looked at by the two halves' exclusive or, whose places differ no
+    more often than the fingerprints do.  Shards of few pairs go to their trees as they are, and those of too many, too.
+    """
+    first = np.nonzero(np.r_[True, shard[1:] != shard[:-1]])[0] if len(shard) else np.empty(0, np.int64)
+    count = np.diff(np.r_[first, len(shard)])
+    members = np.add.reduceat(~visits, first, dtype=np.int64) if len(shard) else first
+    pairs = members * count
+    some = (members > 0) & (count > 1)
+    out = np.repeat(some & ((pairs < FEW_PAIRS) | (pairs > MOST_PAIRS)), count)
+    folded = values[:, 0] ^ values[:, 1]
+    for i in np.nonzero(some & (pairs >= FEW_PAIRS) & (pairs <= MOST_PAIRS))[0].tolist():
+        low, last, end = int(first[i]), int(first[i] + members[i]), int(first[i] + count[i])
+        for v0 in range(low, last, SIDE):
+            v1 = min(v0 + SIDE, last)
+            step = TILE // (v1 - v0)
+            for q0 in range(v0, end, step):
+                q1 = min(q0 + step, end)
+                to = min(v1, q1)  # a pair of members is looked at once
+                near = np.bitwise_count(folded[q0:q1, None] ^ folded[v0:to]) <= total
+                at = np.flatnonzero(near)
+                if len(at) > near.size // 8:  # a family
+                    out[q0:q1] |= near.any(1)
+                    out[v0:to] |= near.any(0)
+                    continue
+                q, v = np.divmod(at, to - v0)
+                q, v = q + q0, v + v0
+                q, v = q[q > v], v[q > v]
+                if len(q):
+                    near = _apart(values[q], values[v]) <= total
+                    out[q[near]] = out[v[near]] = True
+    return out
+
+
 def shard_links(shard: np.ndarray, visits: np.ndarray, values: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows, within the radius, that connect just what all such pairs of a member and a row of its shard connect."""
-    names, own, count = np.unique(shard, return_inverse=True, return_counts=True)
-    members = np.bincount(own[~visits], minlength=len(names))
-    use = np.nonzero(((members > 0) & (count > 1))[own])[0]
+    use = np.argsort(shard * 2 + visits, kind="stable")  # shard by shard, members first
+    use = use[partnered(shard[use], visits[use], values[use], total)]
     shard, visits, values = shard[use], visits[use], values[use]
     at = np.nonzero(~visits)[0]
     if not len(at):

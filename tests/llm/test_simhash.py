@@ -76,6 +76,41 @@ def test_a_family_of_copies_costs_no_pairs():
     assert len(a) < 4 * len(v) and set(connected(len(v), zip(a.tolist(), b.tolist()))) == {0}
 
 
+def test_rows_without_a_partner_grow_no_tree(monkeypatch):
+    """A shard of thousands of unrelated rows and a few pairs: trees take the pairs, and links connect what all pairs do."""
+    rng = np.random.default_rng(4)
+    alone = rng.integers(0, 2**63, (6000, 2)).astype(np.uint64)
+    v = np.unique(np.concatenate([alone, near(rng, 30, 17)]), axis=0)
+    shard, visits = rng.integers(0, 2, len(v)), rng.random(len(v)) < 0.4
+    grown, grow = [], S.BKForest.__init__
+    monkeypatch.setattr(S.BKForest, "__init__", lambda self, values, *a: grown.append(len(values)) or grow(self, values, *a))
+    a, b = S.shard_links(shard, visits, v, 17)
+    q, x = np.nonzero(S._apart(v[:, None], v[None]) <= 17)
+    meet = (q != x) & (shard[q] == shard[x]) & ~(visits[q] & visits[x])
+    assert connected(len(v), zip(a.tolist(), b.tolist())) == connected(len(v), zip(q[meet].tolist(), x[meet].tolist()))
+    assert len(set(q[meet].tolist())) > 300 and sum(grown) <= len(set(q[meet].tolist()))
+
+
+@pytest.mark.parametrize("few,most,tile,side", [(0, 1 << 34, 1 << 15, 1 << 11), (0, 1 << 34, 64, 7), (1 << 10, 1 << 12, 1 << 15, 1 << 11), (1 << 40, 1 << 40, 64, 8)])
+def test_partners_against_all_pairs(monkeypatch, few, most, tile, side):
+    for name, value in (("FEW_PAIRS", few), ("MOST_PAIRS", most), ("TILE", tile), ("SIDE", side)):
+        monkeypatch.setattr(S, name, value)
+    rng = np.random.default_rng(6)
+    family = np.zeros((200, 2), np.uint64)
+    family[:, 1] = np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)
+    v = np.concatenate([near(rng, 20, 17), rng.integers(0, 2**63, (300, 2)).astype(np.uint64), np.unique(family, axis=0)])
+    shard, visits = np.sort(rng.integers(0, 5, len(v))), rng.random(len(v)) < 0.5
+    visits[shard == 3] = True
+    order = np.lexsort((visits, shard))
+    visits, v = visits[order], v[order][rng.permutation(len(v))]
+    meet = (S._apart(v[:, None], v[None]) <= 17) & (shard[:, None] == shard[None]) & ~(visits[:, None] & visits[None]) & ~np.eye(len(v), dtype=bool)
+    may = S.partnered(shard, visits, v, 17)
+    assert may[meet.any(1)].all() and not may[shard == 3].any()
+    if (few, tile) == (0, 1 << 15):
+        assert (may == meet.any(1)).mean() > 0.9
+    assert S.partnered(shard[:0], visits[:0], v[:0], 17).tolist() == []
+
+
 @pytest.mark.parametrize("total,n", [(1, 10), (6, 10), (17, 10), (17, 10**7), (17, 10**10), (3, 10**12)])
 def test_a_pair_within_the_radius_meets(total, n):
     """One of any two such fingerprints is a member of a shard that the other is in, however many there are."""
