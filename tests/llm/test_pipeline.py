@@ -3,6 +3,9 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from phrasemill.llm import mixing, packing, quality_rules, secrets, simhash, tokens
 
@@ -105,3 +108,18 @@ def test_every_stage_stands_hard_rows(spark):
         if name != "packing":
             assert out[name].columns == docs.columns
         assert stage(spark, docs.limit(0), "").count() == 0, name
+
+
+def test_near_dedup_search_does_not_walk_unrelated_rows(monkeypatch):
+    """The second stage's search over batches: 5,000 unrelated fingerprints that share a block, and 50 pairs among them."""
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 2**63, (5000, 2))
+    v[:, 0] &= (1 << 49) - 1  # the first block of 15 bits is 0
+    v = np.concatenate([v, v[:50] ^ np.array([0, 7])])
+    keyed = pa.Table.from_batches(simhash._keys(simhash.scheme(simhash.TOTAL, len(v)))(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in v.T], names=["hi", "lo"])])))
+    shard = keyed.filter(pc.equal(keyed["shard"], 0)).combine_chunks().to_batches(max_chunksize=1000)
+    walked, grow = [], simhash.BKForest.__init__
+    monkeypatch.setattr(simhash.BKForest, "__init__", lambda self, values, *a: walked.append(len(values)) or grow(self, values, *a))
+    found = pa.Table.from_batches(simhash._search(simhash.TOTAL)(iter(shard))).to_pylist()
+    assert {frozenset([(r["a_hi"], r["a_lo"]), (r["b_hi"], r["b_lo"])]) for r in found} == {frozenset(map(tuple, (v[i].tolist(), v[5000 + i].tolist()))) for i in range(50)}
+    assert sum(walked) == 100
