@@ -7,7 +7,11 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
@@ -93,6 +97,14 @@ def row_hash(df: DataFrame, columns: list[str] | None = None, seed: int | None =
     return F.xxhash64(*([] if seed is None else [F.lit(seed)]), *(x for f in fields for c in [column(df, f.name)] for x in (_hashable(c, f.dataType), F.isnull(c))))
 
 
+def by_bytes(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """texts in slices of about ``most`` bytes, one text at least."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+    bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(texts)] if len(texts) else [0]
+    for begin, end in zip(bounds, bounds[1:]):
+        yield texts.slice(begin, end - begin)
+
+
 def kept(name: str, make):
     """make()'s value, one for each Python process: kernels keep vocabularies here from task to task."""
     cache = sys.modules.setdefault("_phrasemill_kept", types.ModuleType("_phrasemill_kept")).__dict__

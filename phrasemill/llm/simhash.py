@@ -23,16 +23,18 @@ row by row in arrays; that costs a small part of a tree's step, and the pairs wi
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Known, discard, kept, plain, row_hash, row_of, table, written
+from .common import SPACES, by_bytes, discard, plain, row_hash, row_of, table, written
 
 TOTAL = 17
 #: members of a shard, on average, beyond which blocks get wider
@@ -44,6 +46,9 @@ STEP = 1 << 20
 #: pairs of a shard up to which, and beyond which, its trees take all its rows; pairs that are looked at together, and members of those
 FEW_PAIRS, MOST_PAIRS, TILE, SIDE = 1 << 10, 1 << 34, 1 << 15, 1 << 11
 
+#: what plain() leaves out of words that line breaks set apart; distinct words of a text whose bits are unpacked together
+NO_WORD, AT_ONCE = re.compile(r"[^\w\n]+|_+"), 1 << 16
+
 
 def _bits(token: bytes) -> bytes | None:
     word = plain(token)
@@ -60,16 +65,40 @@ def fingerprint(tokens: list[bytes], digests: dict) -> bytes | None:
     return np.packbits(bits.sum(0, dtype=np.int32) * 2 > len(words)).tobytes()
 
 
+def prints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """fingerprint() of each text, n x 2 int64, and whether it has one: words are cut, told apart and made plain all at once.
+
+    Only distinct plain words have a digest made.
+    """
+    out, found = np.zeros((len(texts), 16), np.uint8), np.zeros(len(texts), bool)
+    words = pc.ascii_split_whitespace(texts)
+    doc, own = pc.list_parent_indices(words).to_numpy(), words.flatten().dictionary_encode()
+    if len(own):
+        tokens = pa.ListArray.from_arrays(pa.array([0, len(own.dictionary)], pa.int32()), own.dictionary.cast(pa.binary()))
+        # no token has a line break; what \w matches beside the underscore is what isalnum() holds of
+        plain_words = NO_WORD.sub("", pc.binary_join(tokens, b"\n")[0].as_py().decode("utf-8", "replace").lower()).encode().split(b"\n")
+        number = dict.fromkeys(plain_words)
+        number.update(zip(number, range(len(number))))
+        digests = np.frombuffer(b"".join([hashlib.md5(w).digest() for w in number]), np.uint8).reshape(-1, 16)
+        key = doc * len(number) + np.fromiter(map(number.__getitem__, plain_words), np.int64, len(plain_words))[own.indices.to_numpy()]
+        key.sort()
+        doc, word = np.divmod(key[np.r_[True, key[1:] != key[:-1]]], len(number))
+        some = word != number.get(b"", -1)
+        doc, word = doc[some], word[some]
+        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+        for i in np.flatnonzero(np.diff(bounds)).tolist():
+            begin, end = int(bounds[i]), int(bounds[i + 1])
+            bits = sum(np.unpackbits(digests[word[at : min(at + AT_ONCE, end)]], axis=1).sum(0, dtype=np.int32) for at in range(begin, end, AT_ONCE))
+            out[i], found[i] = np.packbits(bits * 2 > end - begin), True
+    return out.view(">i8").astype(np.int64), found
+
+
 def fingerprints(text: Column) -> Column:
     """struct(hi, lo), null for texts that are null or have no word.  Whole texts, however long."""
 
     def run(texts: pa.Array) -> pa.Array:
-        digests = kept("digests", lambda: Known(_bits))
-        found = [None if t is None else fingerprint(t.split(), digests) for t in map(lambda x: x.as_py(), texts.cast(pa.binary()))]
-        halves = np.frombuffer(b"".join(x or bytes(16) for x in found), ">i8").astype(np.int64).reshape(-1, 2)
-        return pa.StructArray.from_arrays(
-            [pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["hi", "lo"], mask=pa.array([x is None for x in found], pa.bool_())
-        )
+        halves, found = (np.concatenate(x) for x in zip(*map(prints, by_bytes(texts)))) if len(texts) else (np.zeros((0, 2), np.int64), np.zeros(0, bool))
+        return pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["hi", "lo"], mask=pa.array(~found))
 
     return F.arrow_udf(run, "hi long, lo long")(text)
 

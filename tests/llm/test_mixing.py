@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,15 @@ def test_rows_alike_in_id_and_text(spark):
     cut = lambda d: sorted((r.extra.m["k"], r.text) for r in mixing.mixed(d, block_tokens=30, fraction=0.5).collect())
     kept = spark.createDataFrame(docs.collect(), docs.schema)
     assert cut(kept) == cut(kept.repartition(3)) and cut(kept)
+
+
+def test_words_are_counted_without_being_cut(spark, capsys):
+    texts = [None, "", "a", " a", "a ", " \x0b\x0c", "a\x1cb\x85c d", "naïve 日本語\r\n🎉", "x" * 70_000, "word\t" * 5000]
+    expected = [len(re.findall(mixing.PIECE, t or "")) for t in texts]
+    assert mixing.word_counts(pa.array(texts)).tolist() == expected
+    assert mixing.word_counts(pa.array(texts).slice(2, 5)).tolist() == expected[2:7] and mixing.word_counts(pa.array([], pa.string())).tolist() == []
+    docs = documents(spark, list(enumerate(texts)))
+    counted = mixing._streams(docs, [], 1, 1)
+    assert {r.id: r.n for r in counted.collect()} == {i: n for i, n in enumerate(expected) if n}
+    counted.explain()
+    assert "regexp_extract_all" not in capsys.readouterr().out

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import time
 
 import pytest
@@ -140,3 +141,13 @@ def test_stage(spark):
     same = lambda df: rows(df.where("doc_id IS NULL OR doc_id <> 10"))
     assert same(out) == same(docs)
     assert secrets.without_secrets(empty(spark)).count() == 0
+
+
+def test_candidates_are_found_by_strings(spark, capsys):
+    """The same texts as by CANDIDATE, which isn't searched for itself."""
+    texts = [None, "", "a=b", "a: b", "f('x')", "f(\n \"x", "f(x)", "</a", "< /a", "AKIA1", "AKI", "ghp_1", "ghx_1", "night_", "xoxb-1", "xox", "xoxc-", "sk_live_1", "sk_", "AIza", "-----BEGIN", "----BEGIN", "plain words"]
+    docs = documents(spark, list(enumerate(texts)))
+    found = docs.select("doc_id", secrets._candidates(docs["text"]).alias("t"))
+    assert {r.doc_id: r.t for r in found.collect()} == {i: t if t and re.search(secrets.CANDIDATE, t) else None for i, t in enumerate(texts)}
+    found.explain()
+    assert "AKIA|" not in capsys.readouterr().out

@@ -249,3 +249,17 @@ def test_rows_without_a_word_all_stay(spark):
     assert S.deduplicated(docs).count() == 6
     long = documents(spark, [(1, LONG), (2, LONG + " word1x1")])
     assert rows(S.groups(long), "doc_id", "is_kept") == [(1, True), (2, False)]
+
+
+def test_a_word_has_one_digest_however_it_is_written(monkeypatch):
+    """All texts of a slice at once, their plain words told apart before digests are made; the fingerprints are the same."""
+    import pyarrow as pa
+
+    texts = [None, "", " \t", "_ -- !!", "The boats, the Boats; THE boats", "boats the", "Σας ΑΣ İI x_y naïve 日本語 🎉", " \x0b a\x0cb ", "a\x1cb\x85c d", "word " * 9 + "x" * 100_000]
+    texts += [t for _, t in corpus()[:20]]
+    made, md5 = [], hashlib.md5
+    monkeypatch.setattr(S.hashlib, "md5", lambda w: made.append(w) or md5(w))
+    halves, found = S.prints(pa.array(texts))
+    monkeypatch.undo()
+    assert len(made) == len(set(made)) and {b"the", b"boats"} < set(made) and b"boats," not in made
+    assert [int.from_bytes(h.astype(">i8").tobytes(), "big") if x else None for h, x in zip(halves, found)] == [brute_print(t) for t in texts]
