@@ -51,6 +51,22 @@ def test_a_few_documents_at_once(monkeypatch):
     assert [p.column("items").to_pylist() for p in B.few([batch])] == [[["a"] * n for n in part] for part in ((3, 7), (1,), (25,), (0, 4), (9,))]
 
 
+def test_lda_weights_without_a_shuffle_of_documents(spark):
+    bags = spark.createDataFrame([(i, ["a", "b", "c"] * 2 if i % 2 else ["d", "e", "a"]) for i in range(20)], "doc_id long, words array<string>")
+    model, vectors, vocabulary = L.fit_lda_bags(bags, k=3, vocabulary=5, iterations=2)
+    assert vectors.is_cached
+    for how in ("max", "mean"):
+        found = L.topic_weights_from_lda(model, vectors, vocabulary, 2, how)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join Cross") < plan.index("Aggregate")  # no aggregate of documents' rows
+        p = {r.doc_id: list(r.topicDistribution) for r in model.transform(vectors).collect()}
+        topics = spark.createDataFrame([(d, t, x) for d, xs in p.items() for t, x in enumerate(map(float, xs))], "doc_id long, topic int, p double")
+        terms = spark.createDataFrame([(r.topic, vocabulary[i], float(x)) for r in model.describeTopics(2).collect() for i, x in zip(r.termIndices, r.termWeights)], "topic int, word string, p double")
+        want = {(r.doc_id, r.lemma): r.weight for r in L.weights_from_topics(topics, terms, how).collect()}
+        got = {(r.doc_id, r.lemma): r.weight for r in found.collect()}
+        assert got == pytest.approx(want)
+
+
 def test_a_sentence_of_a_no_break_space_counts():
     text = "One.\n\u00a0\nTwo."
     assert [t.sentence_idx for t in D.tokenizer()(text, "en")] == [0, 2]
