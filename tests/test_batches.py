@@ -16,6 +16,7 @@ from phrasemill.sources import topic_weights as L
 SMALL = "/root/testdata/sf0.001"
 NARROW = (
     "intra_topic_removal",
+    "merge_adjacent",
 )
 
 
