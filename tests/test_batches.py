@@ -17,6 +17,7 @@ SMALL = "/root/testdata/sf0.001"
 NARROW = (
     "intra_topic_removal",
     "merge_adjacent",
+    "multipartite_boost",
 )
 
 
