@@ -18,6 +18,7 @@ NARROW = (
     "intra_topic_removal",
     "merge_adjacent",
     "multipartite_boost",
+    "overlaps_greedy",
 )
 
 
@@ -53,6 +54,17 @@ def test_a_few_documents_at_once(monkeypatch):
     assert [p.column("items").to_pylist() for p in B.few([batch])] == [[["a"] * n for n in part] for part in ((3, 7), (1,), (25,), (0, 4), (9,))]
 
 
+def test_greedy_overlaps_by_search():
+    rng = random.Random(2)
+    for _ in range(200):
+        chunks = [D.Scored((0, i), a := rng.randrange(30), a + rng.randrange(5), "", "", rng.randrange(6)) for i in range(25)]
+        kept, dropped = [], []
+        for c in sorted(chunks, key=lambda c: -c.score):
+            other = next((k for k in kept if c.start_char < k.end_char and k.start_char < c.end_char), None)
+            dropped.append((c, other)) if other else kept.append(c)
+        assert D.resolve_overlaps_greedy(chunks) == (sorted(kept, key=lambda c: c.start_char), dropped)
+
+
 def test_lda_weights_without_a_shuffle_of_documents(spark):
     bags = spark.createDataFrame([(i, ["a", "b", "c"] * 2 if i % 2 else ["d", "e", "a"]) for i in range(20)], "doc_id long, words array<string>")
     model, vectors, vocabulary = L.fit_lda_bags(bags, k=3, vocabulary=5, iterations=2)
