@@ -19,6 +19,7 @@ NARROW = (
     "merge_adjacent",
     "multipartite_boost",
     "overlaps_greedy",
+    "overlaps_sweep",
 )
 
 
