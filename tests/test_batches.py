@@ -20,6 +20,7 @@ NARROW = (
     "multipartite_boost",
     "overlaps_greedy",
     "overlaps_sweep",
+    "phrases_lemma",
 )
 
 
