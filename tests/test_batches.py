@@ -21,6 +21,7 @@ NARROW = (
     "overlaps_greedy",
     "overlaps_sweep",
     "phrases_lemma",
+    "phrases_scrubbed",
 )
 
 
