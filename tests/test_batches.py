@@ -22,6 +22,7 @@ NARROW = (
     "overlaps_sweep",
     "phrases_lemma",
     "phrases_scrubbed",
+    "textrank_top_n",
 )
 
 
