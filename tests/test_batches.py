@@ -23,6 +23,7 @@ NARROW = (
     "phrases_lemma",
     "phrases_scrubbed",
     "textrank_top_n",
+    "topic_graph_given_clusters",
 )
 
 
