@@ -24,6 +24,7 @@ NARROW = (
     "phrases_scrubbed",
     "textrank_top_n",
     "topic_graph_given_clusters",
+    "chunk_scores_sum",
 )
 
 
