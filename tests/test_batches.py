@@ -41,6 +41,27 @@ def words(*docs: str) -> B.Words:
     return B.Cutter()(pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(["en"] * len(docs)), pa.array(["en"] * len(docs)), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "lang", "list", "items"]))
 
 
+def test_boosts_of_all_candidates():
+    """A plain loop over all pairs, of more candidates than 200, block by block."""
+    rng = random.Random(1)
+    w = words(" the ".join(rng.choice("cat dog fox owl bee".split()) if k % 3 else f"word{k}" for k in range(450)))
+    c = B.candidates(w, None)
+    assert len(c.doc) == 450 and "cand < 200" not in SQL["multipartite_boost"]
+    start, cluster = c.start.tolist(), c.clusters().tolist()
+    want = {}
+    for k in set(cluster):
+        own = [i for i in range(450) if cluster[i] == k]
+        if len(own) > 1:
+            gain = sum(1.0 / max(1, abs(start[i] - start[j])) for i in own[1:] for j in range(450) if cluster[j] != k)
+            want[own[0]] = (450 - len(own), 1.1 * np.exp(1.0 / (1.0 + start[own[0]])) * gain)
+    for most in (B.MOST_PAIRS, 1000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(B, "MOST_PAIRS", most)
+            (found,) = B.alpha_boosts(1.1, None)(w)
+        got = {i: (n, x) for i, n, x in zip(found["dst"].tolist(), found["n"].tolist(), found["boost"].tolist())}
+        assert got.keys() == want.keys() and all(got[i] == (want[i][0], pytest.approx(want[i][1])) for i in want)
+
+
 def test_pairs_that_share_in_parts(monkeypatch):
     rng = np.random.default_rng(1)
     rows = np.unique(rng.integers(0, 40, (300, 2)), axis=0)
