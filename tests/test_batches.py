@@ -25,6 +25,7 @@ NARROW = (
     "textrank_top_n",
     "topic_graph_given_clusters",
     "chunk_scores_sum",
+    "chunk_scores_mean",
 )
 
 
