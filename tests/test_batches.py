@@ -26,6 +26,7 @@ NARROW = (
     "topic_graph_given_clusters",
     "chunk_scores_sum",
     "chunk_scores_mean",
+    "chunk_scores_max",
 )
 
 
