@@ -27,6 +27,7 @@ NARROW = (
     "chunk_scores_sum",
     "chunk_scores_mean",
     "chunk_scores_max",
+    "sentence_relevance",
 )
 
 
