@@ -28,6 +28,7 @@ NARROW = (
     "chunk_scores_mean",
     "chunk_scores_max",
     "sentence_relevance",
+    "chunk_scores_rms",
 )
 
 
