@@ -38,6 +38,11 @@ def test_words_are_not_shuffled(spark, name):
     assert plan.count("Exchange") == plan.count("RoundRobinPartitioning") <= 1 and "Join" not in plan  # texts, dealt out
 
 
+def test_words_are_counted_before_they_are_shuffled(spark):
+    plan = QUERIES["pos_tags"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "sum(n" in plan
+
+
 def words(*docs: str) -> B.Words:
     import re
 
