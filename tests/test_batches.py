@@ -29,6 +29,7 @@ NARROW = (
     "chunk_scores_max",
     "sentence_relevance",
     "chunk_scores_rms",
+    "dangling_nodes",
 )
 
 
