@@ -30,6 +30,7 @@ NARROW = (
     "sentence_relevance",
     "chunk_scores_rms",
     "dangling_nodes",
+    "graph_limits",
 )
 
 
