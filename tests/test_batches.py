@@ -31,6 +31,7 @@ NARROW = (
     "chunk_scores_rms",
     "dangling_nodes",
     "graph_limits",
+    "node_degree",
 )
 
 
