@@ -32,6 +32,7 @@ NARROW = (
     "dangling_nodes",
     "graph_limits",
     "node_degree",
+    "cooccur_cross",
 )
 
 
