@@ -33,6 +33,7 @@ NARROW = (
     "graph_limits",
     "node_degree",
     "cooccur_cross",
+    "teleport_focus",
 )
 
 
