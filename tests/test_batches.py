@@ -34,6 +34,7 @@ NARROW = (
     "node_degree",
     "cooccur_cross",
     "teleport_focus",
+    "teleport_sparse",
 )
 
 
