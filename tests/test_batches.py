@@ -35,6 +35,7 @@ NARROW = (
     "cooccur_cross",
     "teleport_focus",
     "teleport_sparse",
+    "noun_chunks",
 )
 
 
