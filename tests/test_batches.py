@@ -36,6 +36,7 @@ NARROW = (
     "teleport_focus",
     "teleport_sparse",
     "noun_chunks",
+    "chunk_len_cap",
 )
 
 
