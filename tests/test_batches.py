@@ -37,6 +37,7 @@ NARROW = (
     "teleport_sparse",
     "noun_chunks",
     "chunk_len_cap",
+    "topic_representatives",
 )
 
 
