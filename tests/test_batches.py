@@ -38,6 +38,7 @@ NARROW = (
     "noun_chunks",
     "chunk_len_cap",
     "topic_representatives",
+    "sentence_jaccard",
 )
 
 
