@@ -39,6 +39,7 @@ NARROW = (
     "chunk_len_cap",
     "topic_representatives",
     "sentence_jaccard",
+    "sentences",
 )
 
 
@@ -111,6 +112,14 @@ def test_greedy_overlaps_by_search():
         assert D.resolve_overlaps_greedy(chunks) == (sorted(kept, key=lambda c: c.start_char), dropped)
 
 
+def test_long_tasks_are_cut(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    monkeypatch.setattr(S, "MOST_SPREAD", 1)
+    assert S.spread(docs).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(S, "A_TASK", 10_000)
+    assert S.spread(docs).rdd.getNumPartitions() > 5
+
+
 def test_lda_weights_without_a_shuffle_of_documents(spark):
     bags = spark.createDataFrame([(i, ["a", "b", "c"] * 2 if i % 2 else ["d", "e", "a"]) for i in range(20)], "doc_id long, words array<string>")
     model, vectors, vocabulary = L.fit_lda_bags(bags, k=3, vocabulary=5, iterations=2)
