@@ -99,6 +99,7 @@ def test_a_few_documents_at_once(monkeypatch):
     monkeypatch.setattr(B, "MOST_ITEMS", 10)
     batch = pa.RecordBatch.from_arrays([pa.array([["a"] * n for n in (3, 7, 1, 25, 0, 4, 9)])], names=["items"])
     assert [p.column("items").to_pylist() for p in B.few([batch])] == [[["a"] * n for n in part] for part in ((3, 7), (1,), (25,), (0, 4), (9,))]
+    assert max(p.num_rows for p in B.few([batch], 1)) == 1 and sum(p.num_rows for p in B.few([batch], 1)) == 7
 
 
 def test_greedy_overlaps_by_search():
